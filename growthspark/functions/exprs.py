@@ -99,25 +99,32 @@ def date_feature_columns(d) -> dict[str, Column]:
 def format_large_number(v, precision: int = 1) -> Column:
     """1.2K / 3.4M / 5.6B text; below 1000 the plain value with ``precision``."""
     v = col(v).cast("double")
-    fmt = f"%.{precision}f"
     a = F.abs(v)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(a >= 1e9, F.format_string(fmt + "B", v / 1e9))
-            .when(a >= 1e6, F.format_string(fmt + "M", v / 1e6))
-            .when(a >= 1e3, F.format_string(fmt + "K", v / 1e3))
-            .otherwise(F.format_string(fmt, v)))
+
+    def fmt(x, suffix):
+        # format_number rounds half-even on the exact binary value, as Python does
+        txt = F.regexp_replace(F.format_number(x, precision), ",", "")
+        return F.concat(txt, F.lit(suffix))
+
+    return (F.when(v.isNull() | F.isnan(v), F.lit(None).cast("string"))
+            .when(v == float("inf"), F.lit("infB"))
+            .when(v == float("-inf"), F.lit("-infB"))
+            .when(a >= 1e9, fmt(v / 1e9, "B"))
+            .when(a >= 1e6, fmt(v / 1e6, "M"))
+            .when(a >= 1e3, fmt(v / 1e3, "K"))
+            .otherwise(fmt(v, "")))
 
 
 # FN7 ------------------------------------------------------------------------
 def coerce_int(c) -> Column:
     """Numeric parse of text/float; failures -> 0; fractional parts truncate."""
-    return F.coalesce(F.try_cast(F.try_cast(col(c).cast("string"), "double"), "long"),
+    return F.coalesce(col(c).cast("string").try_cast("double").try_cast("long"),
                       F.lit(0).cast("long"))
 
 
 def coerce_float(c) -> Column:
     """Numeric parse; failures -> NULL; NaN -> NULL."""
-    v = F.try_cast(col(c).cast("string"), "double")
+    v = col(c).cast("string").try_cast("double")
     return F.when(~F.isnan(v), v)
 
 
@@ -225,9 +232,10 @@ def time_cost_minutes(posts="posts", reels="reels", stories="stories") -> Column
 
 # FN20 -----------------------------------------------------------------------
 def roi_follows_per_hour(follows="follows", minutes="minutes_spent") -> Column:
+    """follows / hours, one hour assumed when no time was spent."""
     m = col(minutes).cast("double")
     hours = F.when(m > 0, m / 60.0).otherwise(F.lit(1.0))
-    return F.when(m > 0, col(follows).cast("double") / hours).otherwise(F.lit(0.0))
+    return col(follows).cast("double") / hours
 
 
 # FN21 -----------------------------------------------------------------------

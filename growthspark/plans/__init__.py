@@ -4,6 +4,8 @@ import importlib
 
 QUERY_MODULES = [
     "q_weekly",
+    "q_functions",
+    "q_windows",
 ]
 
 

@@ -198,22 +198,32 @@ FROM (SELECT *, CAST(date - DATE '1995-01-01' AS BIGINT)
                + CAST(regexp_extract(username, '(\\d+)$', 1) AS BIGINT) AS h FROM f1) x
 """
 
-F3U_SQL = """
-SELECT * EXCLUDE (h) FROM f3d
-UNION ALL SELECT * EXCLUDE (h) FROM f3d WHERE h % 41 = 0
-UNION ALL SELECT * EXCLUDE (h, posts, seq) REPLACE (0 AS seq), posts + 1 AS posts, 1 AS seq FROM f3d WHERE h % 43 = 0
-"""
+F3_COLUMNS = ["username", "date", "followers", "growth", "follows", "unfollows", "posts", "reels",
+              "stories", "ads_posted", "post_time", "hashtags_used", "avg_hashtag_count", "reach",
+              "profile_visits", "post_likes", "comments", "saves", "shares", "engagement_rate",
+              "minutes_spent", "roi_follows_per_hour", "seq"]
+
+
+def _f3_union_sql() -> str:
+    plain = ", ".join(F3_COLUMNS)
+    keyd = ", ".join("posts + 1 AS posts" if c == "posts" else "1 AS seq" if c == "seq" else c
+                     for c in F3_COLUMNS)
+    return (f"SELECT {plain} FROM f3d UNION ALL SELECT {plain} FROM f3d WHERE h % 41 = 0 "
+            f"UNION ALL SELECT {keyd} FROM f3d WHERE h % 43 = 0")
+
+
+F3U_SQL = _f3_union_sql()
 
 
 def with_ctes(body: str, *names: str) -> str:
     """Prefix an oracle query with the fixture CTEs it needs (in order)."""
-    defs = {"f1": F1_SQL, "f2": F2_SQL, "f2f": F2F_SQL, "f3d": F3_SQL}
+    defs = {"f1": F1_SQL, "f2": F2_SQL, "f2f": F2F_SQL, "f3d": F3_SQL, "f3": F3U_SQL}
+    deps = {"f2f": ["f2"], "f3d": ["f1"], "f3": ["f1", "f3d"]}
     need = []
     for n in names:
-        if n == "f2f" and "f2" not in need:
-            need.append("f2")
-        if n == "f3d" and "f1" not in need:
-            need.append("f1")
+        for dep in deps.get(n, []):
+            if dep not in need:
+                need.append(dep)
         if n not in need:
             need.append(n)
     parts = [f"{n} AS ({defs[n]})" for n in need]
