@@ -80,32 +80,32 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
               .select("x.ci", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set]) -> dict:
+def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set],
+                           first: dict[int, tuple]) -> dict:
     """k-th smallest values (0-based) per column index, by distributed selection.
 
-    ``wanted`` maps column index -> set of ranks; returns {(ci, k): value}.
+    ``wanted``: column index -> set of ranks; ``first``: column index ->
+    (count, min, max) from one earlier aggregate.  Returns {(ci, k): value}.
+    Each round costs at most two jobs (one bounded collect, one histogram).
     """
     spark = df.sparkSession
     base = df.select(*[F.col(c) for c in cols])
-    first = base.agg(*[F.min(F.col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(cols)],
-                     *[F.max(F.col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(cols)]).collect()[0]
-    # probe = (ci, lo, hi, below, ranks)
+    # probe = (ci, lo, hi, below, n_inside, ranks)
     probes = []
     for ci, ks in wanted.items():
-        lo, hi = first[f"mn{ci}"], first[f"mx{ci}"]
-        if lo is None:
+        n, lo, hi = first[ci]
+        if not n:
             continue
-        probes.append((ci, float(lo), float(hi), 0, sorted(ks)))
+        probes.append((ci, float(lo), float(hi), 0, int(n), sorted(ks)))
     result: dict = {}
     long = _long_form(base, cols)
     schema = T.StructType([T.StructField("ci", T.IntegerType()), T.StructField("pid", T.IntegerType()),
                            T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
     for _ in range(MAX_PASSES):
-        # resolve single-value intervals without touching data
         open_probes = []
         for pr in probes:
-            ci, lo, hi, below, ks = pr
-            if lo == hi:
+            ci, lo, hi, below, n_in, ks = pr
+            if lo == hi:  # one distinct value left: no data needed
                 for k in ks:
                     result[(ci, k)] = lo
             else:
@@ -115,16 +115,14 @@ def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set
             break
         ptab = spark.createDataFrame([(pr[0], j, pr[1], pr[2]) for j, pr in enumerate(probes)], schema)
         hits = long.join(F.broadcast(ptab), "ci").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        counts = {r["pid"]: r["n"] for r in hits.groupBy("pid").agg(F.count("*").alias("n")).collect()} \
-            if len(probes) > 0 else {}
-        small = [j for j, pr in enumerate(probes) if counts.get(j, 0) <= FINAL_MAX]
-        big = [j for j, pr in enumerate(probes) if counts.get(j, 0) > FINAL_MAX]
+        small = [j for j, pr in enumerate(probes) if pr[4] <= FINAL_MAX]
+        big = [j for j, pr in enumerate(probes) if pr[4] > FINAL_MAX]
         if small:
             vals = (hits.where(F.col("pid").isin(small)).groupBy("pid")
                         .agg(F.sort_array(F.collect_list("v")).alias("vs")).collect())
             byp = {r["pid"]: r["vs"] for r in vals}
             for j in small:
-                ci, lo, hi, below, ks = probes[j]
+                ci, lo, hi, below, n_in, ks = probes[j]
                 vs = byp.get(j, [])
                 for k in ks:
                     result[(ci, k)] = vs[k - below]
@@ -136,22 +134,18 @@ def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set
         hist = (hits.where(F.col("pid").isin(big)).withColumn("b", bucket)
                     .groupBy("pid", "b").agg(F.count("*").alias("n"), F.min("v").alias("mn"),
                                              F.max("v").alias("mx")).collect())
-        per = {}
+        per: dict = {}
         for r in hist:
             per.setdefault(r["pid"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
         nxt = []
         for j in big:
-            ci, lo, hi, below, ks = probes[j]
-            rows = sorted(per.get(j, []))
-            groups: dict = {}
+            ci, lo, hi, below, n_in, ks = probes[j]
             cum = below
-            for b, n, mn, mx in rows:
+            for b, n, mn, mx in sorted(per.get(j, [])):
                 inside = [k for k in ks if cum <= k < cum + n]
                 if inside:
-                    groups[(mn, mx, cum)] = inside
+                    nxt.append((ci, float(mn), float(mx), cum, int(n), inside))
                 cum += n
-            for (mn, mx, cum0), inside in groups.items():
-                nxt.append((ci, float(mn), float(mx), cum0, inside))
         probes = nxt
     if probes:
         raise RuntimeError("quantile selection did not converge")
@@ -172,19 +166,24 @@ def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,
                        for n, (c, p) in specs.items()]).collect()[0]
         return row.asDict()
     idx = {c: i for i, c in enumerate(cols)}
-    counts = df.agg(*[F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(f"n{i}")
-                      for i, c in enumerate(cols)]).collect()[0]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+    row = df.agg(*aggs).collect()[0]
+    first = {i: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i in range(len(cols))}
     wanted: dict = {}
     plan = {}
     for name, (c, p) in specs.items():
-        n = counts[f"n{idx[c]}"]
+        n = first[idx[c]][0]
         if not n:
             plan[name] = None
             continue
         h, lo, hi = _ranks(n, float(p))
         wanted.setdefault(idx[c], set()).update({lo, hi})
         plan[name] = (idx[c], h, lo, hi)
-    got = exact_order_statistics(df, cols, wanted) if wanted else {}
+    got = exact_order_statistics(df, cols, wanted, first) if wanted else {}
     out = {}
     for name, pl in plan.items():
         if pl is None:

@@ -6,6 +6,8 @@ QUERY_MODULES = [
     "q_weekly",
     "q_functions",
     "q_windows",
+    "q_quality",
+    "q_clean",
 ]
 
 

@@ -28,19 +28,28 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+def edge_round_col(c) -> F.Column:
+    """floor(x * 1e6 + 0.5) / 1e6 in IEEE doubles: the same bits in Spark and
+    DuckDB (unlike ``round``, which Spark applies to the decimal string);
+    |x| >= 1e12, +-inf, NaN and NULL pass through."""
+    x = F.col(c).cast("double")
+    return F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.5).cast("double") / 1e6).otherwise(x)
+
+
 def finalize(df: DataFrame) -> DataFrame:
-    """Round every double column at the edge: round(x, 6) + 0.0."""
+    """Round every double column at the edge (see ``edge_round_col``)."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append((F.round(F.col(f.name), 6) + F.lit(0.0)).alias(f.name))
+            out.append(edge_round_col(f.name).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
 
 
 def r6(expr: str) -> str:
-    return f"(ROUND(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN ABS({x}) < 1e12 THEN floor({x} * 1e6 + 0.5) / 1e6 ELSE {x} END)"
 
 
 def edge_sql(sql: str, doubles) -> str:

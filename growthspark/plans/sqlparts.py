@@ -97,9 +97,21 @@ def weekly_feature_ctes(src: str = "f1") -> str:
         "NULLIF(m2, 0) + 0.3 * reach_efficiency / NULLIF(m3, 0), 0.0) AS roi_score FROM wm, wmx)")
 
 
-def q(body: str, *fixtures: str, extra: str = "") -> str:
+def q(body: str, *fixtures: str, extra: str = "", recursive: bool = False) -> str:
     """Full oracle text: fixture CTEs, extra CTEs, then the body."""
     base = with_ctes("", *fixtures).rstrip()
+    if recursive:
+        base = "WITH RECURSIVE" + base[len("WITH"):]
     if extra:
         base = base + ",\n" + extra
     return base + "\n" + body
+
+
+def clip_sql(x: str, lo=None, hi=None) -> str:
+    """NULL-keeping clip (DuckDB GREATEST/LEAST skip NULLs like Spark's)."""
+    e = x
+    if hi is not None:
+        e = f"LEAST({hi}, {e})"
+    if lo is not None:
+        e = f"GREATEST({lo}, {e})"
+    return f"(CASE WHEN {x} IS NULL THEN NULL ELSE {e} END)"

@@ -198,6 +198,11 @@ FROM (SELECT *, CAST(date - DATE '1995-01-01' AS BIGINT)
                + CAST(regexp_extract(username, '(\\d+)$', 1) AS BIGINT) AS h FROM f1) x
 """
 
+F1_COLUMNS = ["username", "date", "posts", "reels", "stories", "ads_posted", "post_time", "hashtags_used",
+              "follows", "unfollows", "post_likes", "comments", "saves", "shares", "reach", "profile_visits",
+              "growth", "minutes_spent", "followers", "engagement_rate", "roi_follows_per_hour",
+              "avg_hashtag_count"]
+
 F3_COLUMNS = ["username", "date", "followers", "growth", "follows", "unfollows", "posts", "reels",
               "stories", "ads_posted", "post_time", "hashtags_used", "avg_hashtag_count", "reach",
               "profile_visits", "post_likes", "comments", "saves", "shares", "engagement_rate",
