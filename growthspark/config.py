@@ -160,21 +160,17 @@ MODEL_QUALITY_THRESHOLDS = {
 CONFIDENCE_LEVEL = 0.95
 CV_FOLDS = 5
 NONZERO_COEF_TOL = 1e-10
-FEATURE_MEANINGS = {
-    "weekly_posting_frequency": "Posting frequency impact",
-    "share_posts": "Regular posts content share",
-    "share_reels": "Reels content share",
-    "share_stories": "Stories content share",
-    "engagement_rate": "Audience engagement level",
-    "avg_hashtag_count": "Hashtag usage",
-    "post_consistency_variance_7d": "Posting consistency",
-    "posted_in_optimal_window": "Optimal timing usage",
-    "roi_follows_per_hour": "Time efficiency",
-    "minutes_spent": "Time investment",
-    "month": "Seasonal effect (month)",
-    "quarter": "Seasonal effect (quarter)",
-    "saturation_flag": "Content saturation",
+BUSINESS_MEANINGS = {
+    "weekly_posting_frequency": "Expected follower growth per additional weekly post",
+    "engagement_rate": "Growth impact of higher engagement rates",
+    "share_reels": "Effect of having more reels in content mix",
+    "share_posts": "Effect of having more posts in content mix",
+    "roi_follows_per_hour": "Growth impact of content efficiency",
+    "posted_in_optimal_window": "Benefit of posting at optimal times",
+    "saturation_flag": "Impact of potential posting saturation",
 }
+DEFAULT_BUSINESS_MEANING = "Impact on follower growth"
+ALPHA_STRENGTHS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 
 # KPI buckets
 GROWTH_RANGES = [("negative", None, 0), ("low", 0, 100), ("medium", 100, 500), ("high", 500, None)]

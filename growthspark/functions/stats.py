@@ -8,12 +8,14 @@ Exact quantiles at scale
 Spark's ``percentile`` keeps a value->count map per group; over a whole
 100 TB column of doubles that map is as big as the column and is merged in
 one task.  For whole-table scope we therefore run an exact *distributed
-selection*: each pass is one Spark aggregate that histograms the values of
-every still-open target into ``B`` equal-width buckets (count, min, max per
-bucket); the driver keeps the bucket holding the wanted rank and narrows to
-its [min, max].  Once the interval holds at most ``FINAL_MAX`` values (or a
-single distinct value) one last aggregate returns those values, bounded.  The
-driver only ever sees ``targets x B`` histogram rows and bounded final lists.
+selection*: the columns are melted into (column, value) pairs; each pass is
+one Spark aggregate that histograms the values of every still-open target
+into ``B`` equal-width buckets (count, min, max per bucket); the driver keeps
+the bucket holding the wanted rank and narrows to its [min, max].  Once an
+interval holds at most ``TASK_MAX`` values (or one distinct value) a window
+``row_number`` partitioned by interval ranks them and only the wanted ranks
+come back.  The driver only ever sees ``targets x B`` histogram rows and the
+wanted order statistics; no task sorts more than ``TASK_MAX`` values.
 Linear interpolation between order statistics ``floor(h)`` and ``ceil(h)``,
 ``h = (n-1) p`` (numpy / pandas / Spark ``percentile`` / DuckDB
 ``quantile_cont`` all agree).
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1024
-FINAL_MAX = 200_000
+TASK_MAX = 5_000_000  # values one task may sort in the final selection step
 MAX_PASSES = 16
 
 
@@ -80,16 +82,16 @@ def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
               .select("x.ci", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set],
-                           first: dict[int, tuple]) -> dict:
+def exact_order_statistics(long: DataFrame, wanted: dict[int, set], first: dict[int, tuple]) -> dict:
     """k-th smallest values (0-based) per column index, by distributed selection.
 
-    ``wanted``: column index -> set of ranks; ``first``: column index ->
-    (count, min, max) from one earlier aggregate.  Returns {(ci, k): value}.
-    Each round costs at most two jobs (one bounded collect, one histogram).
+    ``long``: (ci, v) pairs without NULL/NaN; ``wanted``: column index -> set
+    of ranks; ``first``: column index -> (count, min, max).  Returns
+    {(ci, k): value}.  A round is one job: intervals holding at most
+    ``TASK_MAX`` values are ranked by a window partitioned per interval (only
+    the wanted ranks come back); larger ones are histogrammed and narrowed.
     """
-    spark = df.sparkSession
-    base = df.select(*[F.col(c) for c in cols])
+    spark = long.sparkSession
     # probe = (ci, lo, hi, below, n_inside, ranks)
     probes = []
     for ci, ks in wanted.items():
@@ -98,7 +100,6 @@ def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set
             continue
         probes.append((ci, float(lo), float(hi), 0, int(n), sorted(ks)))
     result: dict = {}
-    long = _long_form(base, cols)
     schema = T.StructType([T.StructField("ci", T.IntegerType()), T.StructField("pid", T.IntegerType()),
                            T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
     for _ in range(MAX_PASSES):
@@ -115,17 +116,16 @@ def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set
             break
         ptab = spark.createDataFrame([(pr[0], j, pr[1], pr[2]) for j, pr in enumerate(probes)], schema)
         hits = long.join(F.broadcast(ptab), "ci").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        small = [j for j, pr in enumerate(probes) if pr[4] <= FINAL_MAX]
-        big = [j for j, pr in enumerate(probes) if pr[4] > FINAL_MAX]
+        small = [j for j, pr in enumerate(probes) if pr[4] <= TASK_MAX]
+        big = [j for j, pr in enumerate(probes) if pr[4] > TASK_MAX]
         if small:
-            vals = (hits.where(F.col("pid").isin(small)).groupBy("pid")
-                        .agg(F.sort_array(F.collect_list("v")).alias("vs")).collect())
-            byp = {r["pid"]: r["vs"] for r in vals}
-            for j in small:
-                ci, lo, hi, below, n_in, ks = probes[j]
-                vs = byp.get(j, [])
-                for k in ks:
-                    result[(ci, k)] = vs[k - below]
+            want = spark.createDataFrame(
+                [(j, k - probes[j][3], k) for j in small for k in probes[j][5]],
+                "pid int, rn int, k int")
+            ranked = (hits.where(F.col("pid").isin(small))
+                          .withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("v")) - 1))
+            for r in ranked.join(F.broadcast(want), ["pid", "rn"]).select("pid", "k", "v").collect():
+                result[(probes[r["pid"]][0], r["k"])] = r["v"]
         if not big:
             probes = []
             break
@@ -152,27 +152,23 @@ def exact_order_statistics(df: DataFrame, cols: list[str], wanted: dict[int, set
     return result
 
 
-def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,
-                     accuracy: int = 100000) -> dict:
-    """{name: (column, p)} -> {name: value} over the whole table (eager).
+def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
+    """{name: (column, p)} -> {name: (a, b, frac)} with quantile = a + frac (b - a).
 
-    Columns with no non-NULL value give None.
+    ``a``/``b`` are the bracketing order statistics, so a caller can apply a
+    monotone map (e.g. a clip) before interpolating.  None if no value.
+    The columns are melted once into (ci, v) pairs; count/min/max come from
+    a ``groupBy(ci)`` (narrow codegen whatever the number of columns).
     """
     cols = sorted({c for c, _ in specs.values()})
     if not cols:
         return {}
-    if not exact:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), float(p), accuracy).alias(n)
-                       for n, (c, p) in specs.items()]).collect()[0]
-        return row.asDict()
     idx = {c: i for i, c in enumerate(cols)}
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
-    row = df.agg(*aggs).collect()[0]
-    first = {i: (row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"]) for i in range(len(cols))}
+    long = _long_form(df.select(*[F.col(c) for c in cols]), cols)
+    first = {i: (0, None, None) for i in range(len(cols))}
+    for r in long.groupBy("ci").agg(F.count("v").alias("n"), F.min("v").alias("mn"),
+                                    F.max("v").alias("mx")).collect():
+        first[r["ci"]] = (r["n"], r["mn"], r["mx"])
     wanted: dict = {}
     plan = {}
     for name, (c, p) in specs.items():
@@ -183,16 +179,31 @@ def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,
         h, lo, hi = _ranks(n, float(p))
         wanted.setdefault(idx[c], set()).update({lo, hi})
         plan[name] = (idx[c], h, lo, hi)
-    got = exact_order_statistics(df, cols, wanted, first) if wanted else {}
-    out = {}
-    for name, pl in plan.items():
-        if pl is None:
-            out[name] = None
-            continue
-        ci, h, lo, hi = pl
-        a, b = got[(ci, lo)], got[(ci, hi)]
-        out[name] = a + (h - lo) * (b - a)
-    return out
+    got = exact_order_statistics(long, wanted, first) if wanted else {}
+    return {name: (None if pl is None else (got[(pl[0], pl[2])], got[(pl[0], pl[3])], pl[1] - pl[2]))
+            for name, pl in plan.items()}
+
+
+def interpolate(stat) -> float | None:
+    if stat is None:
+        return None
+    a, b, f = stat
+    return a + f * (b - a)
+
+
+def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,
+                     accuracy: int = 100000) -> dict:
+    """{name: (column, p)} -> {name: value} over the whole table (eager).
+
+    Columns with no non-NULL value give None.
+    """
+    if exact:
+        return {k: interpolate(v) for k, v in global_order_stats(df, specs).items()}
+    if not specs:
+        return {}
+    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), float(p), accuracy).alias(n)
+                   for n, (c, p) in specs.items()]).collect()[0]
+    return row.asDict()
 
 
 def scoped_quantiles(df: DataFrame, specs: dict[str, tuple], scope) -> DataFrame:

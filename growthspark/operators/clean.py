@@ -441,6 +441,10 @@ def clean_raw_data(df: DataFrame, fill_missing: bool = True, handle_outliers_: b
         if collect_stats:
             stats["missing_values_handled"] = missing_handled(before, out)
     if handle_outliers_:
+        # the outlier step runs several statistics jobs over this frame: write
+        # it once to the shared checkpoint folder instead of recomputing the
+        # dedup shuffle and the fill windows for every job
+        out = cut_lineage(out)
         out, stats["outliers_handled"] = handle_outliers(out, outlier_method, action=outlier_action)
     if validate_ranges:
         if collect_stats:

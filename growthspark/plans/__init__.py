@@ -8,6 +8,8 @@ QUERY_MODULES = [
     "q_windows",
     "q_quality",
     "q_clean",
+    "q_features",
+    "q_models",
 ]
 
 
