@@ -173,8 +173,9 @@ DEFAULT_BUSINESS_MEANING = "Impact on follower growth"
 ALPHA_STRENGTHS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 
 # KPI buckets
-GROWTH_RANGES = [("negative", None, 0), ("low", 0, 100), ("medium", 100, 500), ("high", 500, None)]
-POSTING_RANGES = [("low", None, 3), ("medium", 3, 7), ("high", 7, None)]
+GROWTH_RANGES = [("negative", None, 0), ("low_growth", 0, 100), ("medium_growth", 100, 500),
+                 ("high_growth", 500, None)]
+POSTING_RANGES = [("low_posting", None, 3), ("medium_posting", 3, 7), ("high_posting", 7, None)]
 AGREEMENT_THRESHOLDS = [0, 50, 100, 200, 500, 1000]
 GRADE_CUTS = [(0.9, "A+"), (0.8, "A"), (0.7, "B+"), (0.6, "B"), (0.5, "C+"), (0.4, "C")]
 GRADE_FLOOR = "D"

@@ -28,12 +28,22 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
+# magnitude bands (exact comparisons) -> decimal scale: about 9 significant
+# digits, never more than 6 decimals; beyond 1e9 the value passes through
+BANDS = [(1e3, 1e6), (1e4, 1e5), (1e5, 1e4), (1e6, 1e3), (1e7, 1e2), (1e8, 1e1), (1e9, 1.0)]
+
+
 def edge_round_col(c) -> F.Column:
-    """floor(x * 1e6 + 0.5) / 1e6 in IEEE doubles: the same bits in Spark and
-    DuckDB (unlike ``round``, which Spark applies to the decimal string);
-    |x| >= 1e12, +-inf, NaN and NULL pass through."""
+    """floor(x * s + 0.5) / s in IEEE doubles with a band-chosen scale s: the
+    same bits in Spark and DuckDB (unlike ``round``, which Spark applies to
+    the decimal string); +-inf, NaN, NULL and |x| >= 1e9 pass through."""
     x = F.col(c).cast("double")
-    return F.when(F.abs(x) < 1e12, F.floor(x * 1e6 + 0.5).cast("double") / 1e6).otherwise(x)
+    a = F.abs(x)
+    e = None
+    for lim, s in BANDS:
+        r = F.floor(x * s + 0.5).cast("double") / s
+        e = F.when(a < lim, r) if e is None else e.when(a < lim, r)
+    return e.otherwise(x)
 
 
 def finalize(df: DataFrame) -> DataFrame:
@@ -49,7 +59,8 @@ def finalize(df: DataFrame) -> DataFrame:
 
 def r6(expr: str) -> str:
     x = f"CAST({expr} AS DOUBLE)"
-    return f"(CASE WHEN ABS({x}) < 1e12 THEN floor({x} * 1e6 + 0.5) / 1e6 ELSE {x} END)"
+    arms = " ".join(f"WHEN ABS({x}) < {lim!r} THEN floor({x} * {s!r} + 0.5) / {s!r}" for lim, s in BANDS)
+    return f"(CASE {arms} ELSE {x} END)"
 
 
 def edge_sql(sql: str, doubles) -> str:
