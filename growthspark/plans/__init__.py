@@ -11,6 +11,7 @@ QUERY_MODULES = [
     "q_features",
     "q_models",
     "q_eval",
+    "q_apps",
 ]
 
 
