@@ -449,3 +449,46 @@ def ag1_stream(spark, sf):
     name = f"weekly_{uuid.uuid4().hex[:8]}"
     out = ST.weekly_stream(spark, src, d.schema, name)
     return out.select("username", "week_start", "posts", "reels", "stories", "growth", "follows", "unfollows", "reach")
+
+
+# ---------------------------------------------------------------- inventory IDs whose work lives in another query
+def _alias(new: str, old: str, doc: str):
+    from .registry import REGISTRY, Query
+    q0 = REGISTRY[old]
+    REGISTRY[new] = Query(new, q0.fn, q0.sql, q0.doubles, doc)
+
+
+_alias("ag4", "rp3", "AG4 engagement totals by type and share of the total (computed by RP3).")
+_alias("ag5", "kp2", "AG5 conditional accuracy buckets (computed by KP2).")
+_alias("ag6", "kp9", "AG6 overlapping categories via explode (computed by KP9).")
+_alias("ag7", "kp12", "AG7 threshold agreement with a broadcast 6-row table (computed by KP12).")
+_alias("wn12", "dg2", "WN12 residual sum of squared steps per creator (computed by DG2).")
+_alias("jn3", "kp15", "JN3 metric-to-benchmark inner join on metric (computed by KP15).")
+_alias("snk1", "src1", "SNK1 versioned CSV write (round trip with SRC1).")
+_alias("snk2", "src4", "SNK2 train/test split write (round trip with SRC4).")
+_alias("snk3", "src5", "SNK3 format-dispatched write (JSON round trip with SRC5).")
+
+
+@register("wn10", sql=qp("SELECT seg, COUNT(*) AS n_rows, MIN(date) AS date_from, MAX(date) AS date_to FROM (SELECT date, "
+                         "CASE WHEN date < (SELECT d FROM (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS pos, COUNT(*) "
+                         "OVER () AS nd FROM (SELECT DISTINCT date AS d FROM pe) x) r WHERE pos = LEAST(nd - 1, (nd * 1) // 5)) "
+                         "THEN 'first_fifth' WHEN date >= (SELECT d FROM (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS "
+                         "pos, COUNT(*) OVER () AS nd FROM (SELECT DISTINCT date AS d FROM pe) x) r WHERE pos = LEAST(nd - "
+                         "1, (nd * 4) // 5)) THEN 'last_fifth' ELSE 'middle' END AS seg FROM pe) s GROUP BY seg"))
+def wn10(spark, sf):
+    """WN10 position split on the distinct dates: first fifth, middle, last fifth."""
+    from ..operators.kpi import date_cut
+    pred = predictions(spark, sf)
+    early, late = date_cut(pred, 1, 5), date_cut(pred, 4, 5)
+    seg = (F.when(F.col("date") < F.lit(early), "first_fifth").when(F.col("date") >= F.lit(late), "last_fifth")
+           .otherwise("middle"))
+    return pred.groupBy(seg.alias("seg")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("date_from"),
+                                              F.max("date").alias("date_to"))
+
+
+@register("wn9")
+def wn9(spark, sf):
+    """WN9 average descending rank of the compared models by CV R2 (rows-only)."""
+    rows = M.compare_models(model_frame(spark, sf))
+    return spark.createDataFrame([(r["model_type"], r["cv_r2_mean"], r["rank"]) for r in rows],
+                                 "model_type string, cv_r2_mean double, rank double")
