@@ -38,8 +38,10 @@ def main():
     from growthspark.session import get_spark
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
                       conf={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")})
-    import __spark_entry__ as E
-    qs = E.queries()
+    from growthspark.plans import load_all
+    from growthspark.plans.registry import raw_queries
+    load_all()
+    qs = raw_queries()  # the operators' own output (no comparison-edge rounding)
     spark.range(10).count()  # warm the JVM
     times, rows = {}, {}
     for n in names:

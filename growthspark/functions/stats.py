@@ -43,15 +43,14 @@ MAX_PASSES = 16
 def attach_scope_stats(df: DataFrame, stats: dict[str, Column], scope=()) -> DataFrame:
     """Add aggregate columns computed over ``scope`` to every row.
 
-    Whole table: a one-row aggregate cross-joined with a broadcast hint (the
-    size is proven: exactly one row).  Per scope key: a window aggregate
+    Whole table: a one-row aggregate, collected and inlined as literals (no
+    join is planned; the row count is one by construction).  Per scope key: a window aggregate
     partitioned by the key, so no join and no extra shuffle when the frame is
     already partitioned by it.
     """
     scope = list(scope or ())
     if not scope:
-        one = df.agg(*[e.alias(n) for n, e in stats.items()])
-        return df.crossJoin(F.broadcast(one))
+        return attach_row(df, df.agg(*[e.alias(n) for n, e in stats.items()]))
     w = Window.partitionBy(*scope)
     out = df
     for n, e in stats.items():
@@ -59,6 +58,27 @@ def attach_scope_stats(df: DataFrame, stats: dict[str, Column], scope=()) -> Dat
     return out
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row statistics frame to every row of ``df`` as
+    literals: the row is collected (exactly one row, proven by construction:
+    a global aggregate) and inlined, so no join of any kind is planned."""
+    rows = one.collect()
+    if len(rows) != 1:
+        raise ValueError(f"attach_row expects exactly one row, got {len(rows)}")
+    r = rows[0]
+    return df.select("*", *[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in one.schema.fields])
+
+
+def merge_rows(*ones: DataFrame) -> DataFrame:
+    """Several one-row frames side by side as one one-row frame (collected, no join)."""
+    rows = [o.collect() for o in ones]
+    if any(len(r) != 1 for r in rows):
+        raise ValueError("merge_rows expects one row per frame")
+    fields = [f for o in ones for f in o.schema.fields]
+    values = tuple(v for r in rows for v in r[0])
+    return ones[0].sparkSession.createDataFrame([values], T.StructType(fields))
+
+
 def scalar_stats(df: DataFrame, stats: dict[str, Column]) -> dict:
     """Eager one-row aggregate -> python dict (used as literals afterwards)."""
     row = df.agg(*[e.alias(n) for n, e in stats.items()]).collect()[0]

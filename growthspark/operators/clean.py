@@ -7,7 +7,7 @@ Scale notes
 -----------
 * Statistics that parameterise a row rule (means, modes, quartiles, maxima)
   are computed in one aggregate pass per step.  Whole-table scope: the result
-  is a handful of numbers, inlined as literals (or a one-row broadcast);
+  is a handful of numbers, inlined as literals (no join);
   per-creator scope: window aggregates partitioned by creator.
 * Quartiles use the exact distributed selection of ``functions.stats``.
 * Key de-duplication (CL19) is an aggregate (``max`` of a struct led by the
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.stats import attach_scope_stats, global_quantiles, scalar_stats
+from ..functions.stats import attach_row, attach_scope_stats, global_quantiles, scalar_stats
 from ..session import cut_lineage
 from . import windows as WN
 
@@ -82,7 +82,7 @@ def scoped_mode(df: DataFrame, c: str, scope=()) -> DataFrame:
     scope = list(scope or ())
     counts = df.where(F.col(c).isNotNull()).groupBy(*scope, c).count()
     best = counts.groupBy(*scope).agg(F.max("count").alias("_mc"))
-    top = counts.join(best, scope, "inner") if scope else counts.crossJoin(F.broadcast(best))
+    top = counts.join(best, scope, "inner") if scope else attach_row(counts, best)
     top = top.where(F.col("count") == F.col("_mc"))
     # with no scope this is a global aggregate: exactly one row (NULL if empty)
     return top.groupBy(*scope).agg(F.min(c).alias(f"_mode_{c}"))
@@ -96,7 +96,7 @@ def fill_mode(df: DataFrame, cols, scope=()) -> DataFrame:
             out = out.withColumn(c, F.coalesce(F.col(c), F.mode(c, True).over(Window.partitionBy(*scope))))
         else:
             m = scoped_mode(df, c)
-            out = out.crossJoin(F.broadcast(m)).withColumn(c, F.coalesce(F.col(c), F.col(f"_mode_{c}"))).drop(
+            out = attach_row(out, m).withColumn(c, F.coalesce(F.col(c), F.col(f"_mode_{c}"))).drop(
                 f"_mode_{c}")
     return out
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.stats import corr_expr, global_quantiles
+from ..functions.stats import attach_row, corr_expr, global_quantiles, merge_rows
+from ..session import cut_lineage
 from . import gram as G
 from .metrics import metric_columns, r2_expr
 
@@ -163,11 +164,11 @@ def temporal_kpis(pred: DataFrame) -> DataFrame:
     mid = date_cut(pred, 1, 2)
     days = F.datediff(F.col("date"), F.col("d0")).cast("double")
     half = F.when(F.col("date") < F.lit(mid), F.lit(1)).otherwise(F.lit(2))
-    t = pred.crossJoin(F.broadcast(first)).agg(
+    t = attach_row(pred, first).agg(
         F.first("n").alias("n"),
         corr_expr(days, AE).alias("trend"),
         F.avg(F.when(half == 1, AE)).alias("first_half_mae"), F.avg(F.when(half == 2, AE)).alias("last_half_mae"))
-    out = prof.crossJoin(t).select(
+    out = merge_rows(prof, t).select(
         F.try_divide(F.col("sd"), F.col("mean")).alias("seasonal_consistency"),
         F.when(F.col("n") > 2, F.col("trend")).otherwise(F.lit(0.0)).alias("performance_trend_correlation"),
         "best_month", "worst_month", "monthly_performance_range",
@@ -221,7 +222,7 @@ def growth_categories(pred: DataFrame) -> DataFrame:
     n = pred.agg(F.count(F.lit(1)).alias("n_all"))
     x = pred.select(AE.alias("ae"), F.explode(F.array_compact(cats)).alias("category"))
     g = x.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("ae").alias("mae"))
-    return (g.crossJoin(F.broadcast(n))
+    return (attach_row(g, n)
              .select("category", "n", (F.col("n") / F.col("n_all") * 100).alias("percentage"), "mae",
                      (1 / (1 + F.col("mae") / 100)).alias("accuracy_score")))
 
@@ -251,10 +252,10 @@ def momentum_kpis(pred: DataFrame, creator: str = "username") -> DataFrame:
 
 # KP12 / AG7 -----------------------------------------------------------------
 def threshold_accuracy(pred: DataFrame) -> DataFrame:
-    """Both sides above each threshold? (6-row threshold table, broadcast)."""
+    """Both sides above each threshold? (explode of the 6 literal thresholds, then one aggregate)."""
     Y, P, E, AE = _cols()
-    th = pred.sparkSession.createDataFrame([(float(t),) for t in C.AGREEMENT_THRESHOLDS], "threshold double")
-    x = pred.select(Y.alias("y"), P.alias("p")).crossJoin(F.broadcast(th))
+    ths = F.array(*[F.lit(float(t)) for t in C.AGREEMENT_THRESHOLDS])
+    x = pred.select(Y.alias("y"), P.alias("p"), F.explode(ths).alias("threshold"))
     a, p = F.col("y") > F.col("threshold"), F.col("p") > F.col("threshold")
     g = x.groupBy("threshold").agg((F.avg((a == p).cast("double")) * 100).alias("accuracy"),
                                    F.sum(a.cast("long")).alias("actual_exceeds_count"),
@@ -275,17 +276,20 @@ def grade_expr(score: Column) -> Column:
 
 
 def overall_score(pred: DataFrame, with_dates: bool = True) -> DataFrame:
-    """.4 R2 part + .3 direction + .2 consistency + .1 (1 - seasonal CV) and grade (B15: from current results)."""
+    """.4 R2 part + .3 direction + .2 consistency + .1 (1 - seasonal CV) and grade (B15: from current results).
+
+    Several statistics jobs read the predictions: they are checkpointed once.
+    """
+    pred = cut_lineage(pred)
     s = statistical_kpis(pred).select("r2", "mape")
     b = business_kpis(pred).where(F.col("kind") == "all").select("directional_accuracy")
     qk = prediction_quality(pred).select("prediction_consistency")
-    parts = s.crossJoin(b).crossJoin(qk)
     if with_dates:
         t = temporal_kpis(pred).select("seasonal_consistency", "stable")
-        parts = parts.crossJoin(t)
+        parts = merge_rows(s, b, qk, t)
         temporal = _clip01(1 - F.coalesce(F.col("seasonal_consistency"), F.lit(1.0)))
     else:
-        parts = parts.withColumn("seasonal_consistency", F.lit(None).cast("double")).withColumn("stable", F.lit(None).cast("boolean"))
+        parts = merge_rows(s, b, qk).withColumn("seasonal_consistency", F.lit(None).cast("double")).withColumn("stable", F.lit(None).cast("boolean"))
         temporal = F.lit(0.0)
     score = (0.4 * _clip01((F.col("r2") + 1) / 2) + 0.3 * (F.col("directional_accuracy") / 100)
              + 0.2 * _clip01(F.col("prediction_consistency")) + 0.1 * temporal)
@@ -317,7 +321,7 @@ def compare_against_benchmarks(stats_long: DataFrame, benchmark: DataFrame) -> D
     sc = j.agg(F.avg(F.col("better_than_benchmark").cast("double")).alias("benchmark_score"))
     verdict = (F.when(F.col("benchmark_score") >= 0.75, "excellent").when(F.col("benchmark_score") >= 0.5, "good")
                .when(F.col("benchmark_score") >= 0.25, "average").otherwise("below_average"))
-    return j.crossJoin(F.broadcast(sc.withColumn("performance_vs_benchmark", verdict)))
+    return attach_row(j, sc.withColumn("performance_vs_benchmark", verdict))
 
 
 def metrics_long(one_row: DataFrame, metrics=("r2", "rmse", "mae", "mape")) -> DataFrame:
@@ -327,8 +331,8 @@ def metrics_long(one_row: DataFrame, metrics=("r2", "rmse", "mae", "mape")) -> D
 
 # KP16 -----------------------------------------------------------------------
 def all_kpis(pred: DataFrame) -> DataFrame:
-    """Union of KP1-KP13 as long rows ``section, metric, value`` (predictions cached once)."""
-    pred = pred.persist()
+    """Union of KP1-KP13 as long rows ``section, metric, value`` (predictions checkpointed once)."""
+    pred = cut_lineage(pred)
     parts = {"statistical": statistical_kpis(pred), "roi": roi_kpis(pred) if "roi_actual" in pred.columns else None,
              "decision_support": decision_support(pred), "quality": prediction_quality(pred),
              "confidence": confidence_kpis(pred), "temporal": temporal_kpis(pred),

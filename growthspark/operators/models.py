@@ -45,7 +45,8 @@ def fit_single_feature(df: DataFrame, x: str, y: str) -> DataFrame:
 def predict_single(model: DataFrame, df: DataFrame, x: str, out: str = "y_pred") -> DataFrame:
     """Score with a one-row model table (broadcast: exactly one row)."""
     m = model.select(F.col("coef").alias("_b"), F.col("intercept").alias("_a"))
-    return (df.crossJoin(F.broadcast(m))
+    from ..functions.stats import attach_row
+    return (attach_row(df, m)
               .withColumn(out, F.col("_a") + F.col("_b") * F.col(x).cast("double"))
               .drop("_a", "_b"))
 

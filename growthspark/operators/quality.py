@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
+from ..functions.stats import merge_rows
 
 ISSUE_SCHEMA = "check_name string, column_name string, n bigint, value double, is_issue boolean"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -121,7 +122,7 @@ def reference_comparison(df: DataFrame, ref: DataFrame) -> DataFrame:
     common = len(set(df.columns) & set(ref.columns))
     a = df.agg(F.count(F.lit(1)).alias("na"))
     b = ref.agg(F.count(F.lit(1)).alias("nb"))
-    ab = a.crossJoin(b)
+    ab = merge_rows(a, b)
     return ab.select(F.explode(F.array(
         F.struct(F.lit("row_count_mismatch").alias("check_name"), F.lit(None).cast("string").alias("column_name"),
                  (F.col("na") - F.col("nb")).cast("long").alias("n"), F.col("nb").cast("double").alias("value"),
@@ -199,7 +200,7 @@ def validate_cleaning_quality(before: DataFrame, after: DataFrame) -> DataFrame:
     b = after.agg(*aggs)
     missing_critical = [c for c in C.CRITICAL_COLUMNS if c not in after.columns]
     ncols = len(after.columns)
-    j = a.crossJoin(b)
+    j = merge_rows(a, b)
     kept = F.when(F.col("original_rows") > 0, F.col("cleaned_rows") / F.col("original_rows")).otherwise(F.lit(0.0))
     miss_ratio = F.try_divide(F.col("missing_values_after").cast("double"), F.col("cleaned_rows") * F.lit(ncols))
     score = (F.lit(1.0) - F.when(kept < 0.95, 0.2).otherwise(0.0) - F.coalesce(miss_ratio, F.lit(0.0)) * 0.3

@@ -71,7 +71,8 @@ def residual_histogram(pred: DataFrame, bins: int = 30) -> DataFrame:
     mm = pred.agg(F.min(e).alias("lo"), F.max(e).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.least(F.floor((e - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    x = pred.crossJoin(F.broadcast(mm)).select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin"),
+    from ..functions.stats import attach_row
+    x = attach_row(pred, mm).select(F.when(width > 0, b).otherwise(F.lit(0)).alias("bin"),
                                                "lo", "hi")
     return x.groupBy("bin").agg(F.count(F.lit(1)).alias("n"),
                                 (F.first("lo") + F.col("bin") * (F.first("hi") - F.first("lo")) / bins).alias("bin_left"))

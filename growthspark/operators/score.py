@@ -109,9 +109,10 @@ SCENARIO_MIXES = [  # engine's own mixes (the reference documents the names only
 
 
 def scenario_sweep(base: DataFrame, model) -> DataFrame:
-    """Every base row under each content mix (3-row table, broadcast) scored by SC5."""
-    mixes = base.sparkSession.createDataFrame(SCENARIO_MIXES, "scenario string, mp double, mr double, ms double")
-    x = (base.drop(*[c for c in C.SHARE_COLUMNS if c in base.columns]).crossJoin(F.broadcast(mixes))
-         .withColumnRenamed("mp", "share_posts").withColumnRenamed("mr", "share_reels")
-         .withColumnRenamed("ms", "share_stories"))
+    """Every base row under each content mix (explode of a 3-entry literal array) scored by SC5."""
+    mixes = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(a)).alias("share_posts"),
+                               F.lit(float(b)).alias("share_reels"), F.lit(float(c)).alias("share_stories"))
+                      for n, a, b, c in SCENARIO_MIXES])
+    x = (base.drop(*[c for c in C.SHARE_COLUMNS if c in base.columns])
+         .select("*", F.explode(mixes).alias("_mix")).select("*", "_mix.*").drop("_mix"))
     return predict_batch(x, model)

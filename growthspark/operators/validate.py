@@ -60,8 +60,8 @@ def cross_validate(df: DataFrame, model_type: str = "linear", alpha: float = 1.0
                    n_splits: int = 5, test_size=None, gap: int = 0, max_train_size=None,
                    cv_scale: str = "all") -> dict:
     """CV10: prepare X, y (training medians for gaps), fold fits, fold detail, summaries."""
-    probe = M.build_design(df, n_splits=None)
-    dates = G.distinct_dates(probe.df, probe.date_col)
+    date_col = "week_start" if "week_start" in df.columns else "date"
+    dates = G.distinct_dates(df, date_col)
     fp = G.time_series_folds(len(dates), n_splits, test_size, gap, max_train_size)
     des = M.build_design(df, folds_pos=fp)
     full = G.solve(des.total, model_type, alpha, l1_ratio)

@@ -10,7 +10,7 @@ Scale notes
   a pure expression.  JN1 (the positional concat in the reference) and JN2
   (day -> week range match) therefore disappear: both are this one aggregate.
 * The ROI-score normalisers are maxima over ``scope``: for the whole table a
-  one-row aggregate cross-joined with a broadcast hint (size proven: 1 row);
+  one-row aggregate whose values are inlined as literals (no join);
   per creator a window max partitioned by creator (bounded by weeks/creator).
 """
 

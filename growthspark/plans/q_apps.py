@@ -455,7 +455,7 @@ def ag1_stream(spark, sf):
 def _alias(new: str, old: str, doc: str):
     from .registry import REGISTRY, Query
     q0 = REGISTRY[old]
-    REGISTRY[new] = Query(new, q0.fn, q0.sql, q0.doubles, doc)
+    REGISTRY[new] = Query(new, q0.fn, q0.sql, q0.doubles, doc, q0.raw)
 
 
 _alias("ag4", "rp3", "AG4 engagement totals by type and share of the total (computed by RP3).")
@@ -492,3 +492,34 @@ def wn9(spark, sf):
     rows = M.compare_models(model_frame(spark, sf))
     return spark.createDataFrame([(r["model_type"], r["cv_r2_mean"], r["rank"]) for r in rows],
                                  "model_type string, cv_r2_mean double, rank double")
+
+
+# ---------------------------------------------------------------- KP18
+COMP_CLASSES = [("comp_posts", "1-URGENT"), ("comp_reels", "2-HIGH"), ("comp_stories", "3-MEDIUM")]
+MAX_BROADCAST_DAYS = 100_000  # a per-day table is bounded by the calendar; checked before the hint
+
+
+def _daily_with_competitors(spark, sf):
+    """Stand-in competitor cadence: per-day order counts by priority class (from ``orders``)."""
+    o = spark.read.parquet(f"{sf.rstrip('/')}/orders.parquet").select("o_orderdate", "o_orderpriority")
+    comp = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(
+        *[F.sum((F.col("o_orderpriority") == p).cast("long")).alias(c) for c, p in COMP_CLASSES])
+    n_days = comp.count()
+    comp_side = F.broadcast(comp) if n_days <= MAX_BROADCAST_DAYS else comp
+    d = FX.daily_metrics(spark, sf).join(comp_side, "date", "left")
+    return d.fillna(0, subset=[c for c, _ in COMP_CLASSES])
+
+
+@register("kp18", doubles=("content_ratio",),
+          sql=q("SELECT username, week_start, own_content, competitor_content, own_content - competitor_content AS "
+                "content_difference, CASE WHEN competitor_content <> 0 THEN own_content / CAST(competitor_content AS "
+                "DOUBLE) ELSE 0.0 END AS content_ratio FROM (SELECT username, CAST(date - CAST(isodow(date) - 1 AS INTEGER) "
+                "AS DATE) AS week_start, CAST(SUM(posts + reels + stories) AS BIGINT) AS own_content, CAST(SUM(COALESCE(cp, 0) "
+                "+ COALESCE(cr, 0) + COALESCE(cs, 0)) AS BIGINT) AS competitor_content FROM f1 LEFT JOIN (SELECT "
+                "CAST(o_orderdate AS DATE) AS date, SUM(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS cp, "
+                "SUM(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS cr, SUM(CASE WHEN o_orderpriority = "
+                "'3-MEDIUM' THEN 1 ELSE 0 END) AS cs FROM orders GROUP BY 1) c USING (date) GROUP BY 1, 2) w", "f1"))
+def kp18(spark, sf):
+    """KP18 own vs competitor cadence per creator-week: totals, difference, ratio."""
+    from ..operators.kpi import competitor_benchmark
+    return competitor_benchmark(_daily_with_competitors(spark, sf))

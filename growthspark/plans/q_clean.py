@@ -47,7 +47,7 @@ def cl2(spark, sf):
                 "engagement_rate, COALESCE(avg_hashtag_count, (SELECT AVG(avg_hashtag_count) FROM f3t)) AS "
                 "avg_hashtag_count FROM f3t", "f3", extra=chain()))
 def cl3(spark, sf):
-    """CL3 mean fill of rate columns (whole-table mean, one-row broadcast)."""
+    """CL3 mean fill of rate columns (whole-table means inlined as literals)."""
     from ..functions.stats import attach_scope_stats
     d = typed(spark, sf)
     d = attach_scope_stats(d, {"_m1": F.avg("engagement_rate"), "_m2": F.avg("avg_hashtag_count")})

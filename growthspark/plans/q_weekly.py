@@ -83,7 +83,7 @@ def fe2(spark, sf):
 @register("fe3", doubles=("roi_score",),
           sql=q("SELECT username, week_start, roi_score FROM wf", "f1", extra=weekly_feature_ctes("f1")))
 def fe3(spark, sf):
-    """FE3: ROI score normalised by whole-table maxima (one-row broadcast)."""
+    """FE3: ROI score normalised by whole-table maxima (one-row aggregate inlined as literals)."""
     w = W.weekly_feature_table(FX.daily_metrics(spark, sf))
     return w.select("username", "week_start", "roi_score")
 

@@ -28,6 +28,26 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Settings for a large cluster run, sized from the input volume.
+
+    Shuffle partitions start at input / 256 MB (AQE then coalesces small
+    ones and splits skewed ones); scans split files at 256 MB; a broadcast
+    is never planned implicitly beyond 64 MB (the engine inlines its one-row
+    statistics as literals and broadcasts nothing else).
+    """
+    parts = max(200, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def get_spark(master: str | None = None, app: str = "growthspark",
               shuffle_partitions: int | None = None,
               conf: dict | None = None) -> SparkSession:

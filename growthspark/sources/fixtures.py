@@ -30,8 +30,10 @@ def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     qty = F.col("l_quantity").cast("long")
-    slot = F.element_at(F.array(*[F.lit(t) for t in ("08:00", "12:30", "18:30", "21:00")]),
-                        (F.pmod(F.col("l_orderkey"), F.lit(4)) + 1).cast("int"))
+    # min over the slot index (its text order equals the index order): keeps the
+    # aggregate hash-based instead of a sort-based string min
+    slots = F.array(*[F.lit(t) for t in ("08:00", "12:30", "18:30", "21:00")])
+    slot_ix = F.pmod(F.col("l_orderkey"), F.lit(4)).cast("int")
     d = li.groupBy(
         F.concat(F.lit("supp_"), F.col("l_suppkey").cast("string")).alias("username"),
         F.to_date("l_shipdate").alias("date"),
@@ -40,7 +42,7 @@ def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         _cnt(F.col("l_returnflag") == "R").alias("reels"),
         _cnt(F.col("l_returnflag") == "N").alias("stories"),
         _cnt(F.col("l_linenumber") == 1).alias("ads_posted"),
-        F.min(slot).alias("post_time"),
+        F.min(slot_ix).alias("_slot"),
         F.sum(F.pmod(F.col("l_partkey"), F.lit(18)) + 4).cast("long").alias("hashtags_used"),
         F.sum(F.when(F.col("l_linestatus") == "O", qty).otherwise(0)).cast("long").alias("follows"),
         F.sum(F.when(F.col("l_linestatus") == "F", qty).otherwise(0)).cast("long").alias("unfollows"),
@@ -51,6 +53,8 @@ def daily_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.floor("l_extendedprice").cast("long")).cast("long").alias("reach"),
         F.sum(F.floor(F.col("l_extendedprice") / 20).cast("long")).cast("long").alias("profile_visits"),
     )
+    d = d.select(*[F.element_at(slots, F.col("_slot") + 1).alias("post_time") if c == "_slot" else F.col(c)
+                   for c in d.columns])
     m = (d.withColumn("growth", F.col("follows") - F.col("unfollows"))
           .withColumn("minutes_spent", F.col("posts") * 45 + F.col("reels") * 120 + F.col("stories") * 8))
     from pyspark.sql import Window
