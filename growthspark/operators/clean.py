@@ -434,7 +434,9 @@ def clean_raw_data(df: DataFrame, fill_missing: bool = True, handle_outliers_: b
     if fix_types:
         out, stats["data_type_fixes"] = fix_data_types(out)
     if dedup_first:
-        out = dedup_keys(out)
+        # missing-value handling runs statistics jobs (means, modes) over the
+        # de-duplicated table: write it once to the shared checkpoint folder
+        out = cut_lineage(dedup_keys(out))
     if fill_missing:
         before = out
         out = handle_missing_values(out, scope)

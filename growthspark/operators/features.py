@@ -222,7 +222,7 @@ def transform_to_model_ready(daily: DataFrame, target_frequency: str = "weekly",
     """
     cut = cut_lineage if checkpoint else (lambda d: d)
     if target_frequency == "weekly":
-        t = cut(W.weekly_feature_table(daily, scope))
+        t = W.weekly_feature_table(daily, scope, checkpoint=checkpoint)
     else:
         t = cut(create_daily_features(daily))
     if include_advanced_features:

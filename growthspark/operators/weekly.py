@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import exprs as X
 from ..functions.stats import attach_scope_stats
+from ..session import cut_lineage
 
 
 def add_week_columns(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -129,8 +130,15 @@ def add_roi_score(df: DataFrame, scope=()) -> DataFrame:
         "_mx_roi", "_mx_fpp", "_mx_re")
 
 
-def weekly_feature_table(daily: DataFrame, scope=()) -> DataFrame:
-    """AG1 + AG2 + FE1 + FE2 + FE3: the reference's weekly frame."""
-    w = create_weekly_features(daily)
-    w = add_content_mix_features(w)
+def weekly_feature_table(daily: DataFrame, scope=(), checkpoint: bool = True) -> DataFrame:
+    """AG1 + AG2 + FE1 + FE2 + FE3: the reference's weekly frame.
+
+    With whole-table scope the ROI maxima are a statistics job over the weekly
+    table; ``checkpoint`` writes the weekly table once to the shared
+    checkpoint folder first, so that job and every later pass read it instead
+    of repeating the daily -> weekly shuffle.
+    """
+    w = add_content_mix_features(create_weekly_features(daily))
+    if checkpoint and not scope:
+        w = cut_lineage(w)
     return add_roi_features(w, scope)
