@@ -318,6 +318,8 @@ def smooth_follower_jumps(df: DataFrame, creator: str = "username", order: str =
 
     Each creator's rows are folded in date order with ``aggregate`` (JVM
     higher-order function); the row structs ride along, so no join back.
+    Precondition: one row per creator-day (``dedup_keys`` first, as
+    ``clean_raw_data`` does), so a group is bounded by the calendar.
     """
     if "followers" not in df.columns:
         return df

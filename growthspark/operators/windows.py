@@ -123,13 +123,8 @@ def step_change(c, creator="username", order="date") -> Column:
     return X.col(c) - F.lag(X.col(c)).over(w)
 
 
-# WN9 ------------------------------------------------------------------------
-def average_rank_desc(c, partition=()) -> Column:
-    """pandas ``rank(ascending=False)``, ties get the mean rank."""
-    w = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(
-        X.col(c).desc())
-    tie = Window.partitionBy(*(list(partition) + [X.col(c)])) if partition else Window.partitionBy(X.col(c))
-    return F.rank().over(w) + (F.count(F.lit(1)).over(tie) - 1) / 2.0
+# WN9: the average descending rank of compared models is computed on the
+# driver over the few model rows (models.compare_models); no table-wide rank.
 
 
 # WN10 -----------------------------------------------------------------------

@@ -34,15 +34,22 @@ REGISTRY: dict[str, Query] = {}
 BANDS = [(1e3, 1e6), (1e4, 1e5), (1e5, 1e4), (1e6, 1e3), (1e7, 1e2), (1e8, 1e1), (1e9, 1.0)]
 
 
+# the rounding boundary sits at .4998765432 of the last digit instead of .5:
+# short binary fractions (x.xxxxxx5 exactly, e.g. averages of dyadic values)
+# never fall on it, so one ulp of summation-order noise cannot flip a digit
+EDGE_OFFSET = 0.4998765432
+
+
 def edge_round_col(c) -> F.Column:
-    """floor(x * s + 0.5) / s in IEEE doubles with a band-chosen scale s: the
-    same bits in Spark and DuckDB (unlike ``round``, which Spark applies to
-    the decimal string); +-inf, NaN, NULL and |x| >= 1e9 pass through."""
+    """floor(x * s + c) / s in IEEE doubles with a band-chosen scale s and the
+    fixed offset c: the same bits in Spark and DuckDB (unlike ``round``, which
+    Spark applies to the decimal string); +-inf, NaN, NULL and |x| >= 1e9 pass
+    through."""
     x = F.col(c).cast("double")
     a = F.abs(x)
     e = None
     for lim, s in BANDS:
-        r = F.floor(x * s + 0.5).cast("double") / s
+        r = F.floor(x * s + EDGE_OFFSET).cast("double") / s
         e = F.when(a < lim, r) if e is None else e.when(a < lim, r)
     return e.otherwise(x)
 
@@ -60,7 +67,8 @@ def finalize(df: DataFrame) -> DataFrame:
 
 def r6(expr: str) -> str:
     x = f"CAST({expr} AS DOUBLE)"
-    arms = " ".join(f"WHEN ABS({x}) < {lim!r} THEN floor({x} * {s!r} + 0.5) / {s!r}" for lim, s in BANDS)
+    arms = " ".join(f"WHEN ABS({x}) < {lim!r} THEN floor({x} * {s!r} + CAST({EDGE_OFFSET!r} AS DOUBLE)) / {s!r}"
+                    for lim, s in BANDS)
     return f"(CASE {arms} ELSE {x} END)"
 
 

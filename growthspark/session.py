@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # reliable checkpoints are removed once their DataFrame is garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # statistics tables joined to big tables are one row per scope key; the
     # size bound is checked by ``stats.broadcast_if_small`` before hinting.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),

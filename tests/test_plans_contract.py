@@ -61,3 +61,12 @@ def test_stream_scoring_equals_batch(spark, sf):
     a = sorted(tuple(r) for r in sc5(spark, sf).collect())
     b = sorted(tuple(r) for r in sc5_stream(spark, sf).collect())
     assert a == b
+
+
+def test_no_cartesian_or_nested_loop_joins(spark, sf):
+    from growthspark.operators import kpi as K
+    from growthspark.plans.q_eval import predictions
+    w = W.weekly_feature_table(FX.daily_metrics(spark, sf))
+    for df in (w, K.comparative_kpis(predictions(spark, sf)), K.threshold_accuracy(predictions(spark, sf))):
+        p = plan(df)
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
