@@ -115,3 +115,19 @@ def test_shapiro_wilk_reasonable():
     assert 0.97 < w <= 1.0 and p > 0.01
     w2, p2 = D.shapiro_wilk_values(rng.exponential(size=200))
     assert w2 < 0.95 and p2 < 1e-4
+
+
+def test_partitioning_does_not_change_results(spark, sf):
+    """SURVEY 5.5: repartitioning / shuffling the input leaves weekly features and windows unchanged."""
+    from growthspark.sources import fixtures as FX
+    d = FX.daily_metrics(spark, sf).persist()
+    cols = ["username", "week_start", "posts", "followers", "post_time", "max_gap_days", "posting_regularity_score"]
+    a = sorted(tuple(r) for r in W.create_weekly_features(d.repartition(1)).select(*cols).collect())
+    b = sorted(tuple(r) for r in W.create_weekly_features(d.repartition(7, "date")).select(*cols).collect())
+    assert a == b
+    wa = sorted(tuple(r) for r in WN.add_daily_rolling_features(d.repartition(3)).select(
+        "username", "date", "reach_7d_sum", "growth_7d_sum").collect())
+    wb = sorted(tuple(r) for r in WN.add_daily_rolling_features(d.orderBy(F.rand(7)).repartition(5)).select(
+        "username", "date", "reach_7d_sum", "growth_7d_sum").collect())
+    assert wa == wb
+    d.unpersist()
