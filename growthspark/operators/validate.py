@@ -32,11 +32,11 @@ def time_series_split(df: DataFrame, n_splits: int = 5, test_size: int | None =
     ranked = dates.withColumn("pos", F.row_number().over(Window.orderBy("d")) - 1)
     n = ranked.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
     folds = G.time_series_folds(n, n_splits, test_size, gap, max_train_size)
-    spark = df.sparkSession
-    ftab = spark.createDataFrame(
-        [(i + 1, s, lo, hi) for i, (a, b, c, d) in enumerate(folds) for s, lo, hi in (("train", a, b), ("test", c, d))],
-        "fold int, split string, lo int, hi int")
-    j = ranked.join(F.broadcast(ftab), (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi")))
+    # fold membership as an expression (explode of the matching folds): no join
+    member = F.array_compact(F.array(*[
+        F.when((F.col("pos") >= lo) & (F.col("pos") < hi), F.struct(F.lit(i + 1).alias("fold"), F.lit(s).alias("split")))
+        for i, (a, b, c, d) in enumerate(folds) for s, lo, hi in (("train", a, b), ("test", c, d))]))
+    j = ranked.select("d", F.explode(member).alias("x")).select("d", "x.fold", "x.split")
     return j.groupBy("fold", "split").agg(F.min("d").alias("date_from"), F.max("d").alias("date_to"),
                                            F.count(F.lit(1)).alias("n_dates"))
 
