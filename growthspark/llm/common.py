@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from growthspark.session import ensure_checkpoint_dir
 
@@ -103,3 +104,27 @@ def components(edges: DataFrame) -> DataFrame:
         later = out.select(F.col("node").alias("up"), "root")
         out = stage(move.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("root")), "roots")
     return out
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def text_mark(text_col: str) -> F.Column:
+    """64-bit hash of a text; with the id it tells the rows of a table apart (equal rows share it)."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def keep_marked(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, one for each row (doc_id, mark) of ``keep``, with all their columns."""
+    mark = free_name(docs.columns, "mark")
+    number = free_name([*docs.columns, mark], "number")
+    marked = docs.withColumn(mark, text_mark(text_col))
+    wanted = keep.select(F.col("doc_id").alias("_keep_id"), F.col("mark").alias("_keep_mark"))
+    found = marked.join(wanted, marked[id_col].cast("long").eqNullSafe(wanted["_keep_id"]) & (marked[mark] == wanted["_keep_mark"]), "left_semi")
+    one = W.partitionBy(F.col(id_col).cast("long"), mark).orderBy(F.lit(0))
+    return found.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -162,6 +162,7 @@ def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float = MA
     named = (unique.select("id", "embedding", "least_id", "weight").join(links, "id", "left").join(linked, "id", "left")
              .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
                      F.coalesce("component_id", "least_id").alias("component_id")))
-    good = rows.where("usable").join(named, "embedding").select("vec_id", "n_links", "component_id")
+    # written, so that the join's two sides are plain shuffles, which Spark splits where a vector is common
+    good = rows.where("usable").join(stage(named, "named_vectors"), "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

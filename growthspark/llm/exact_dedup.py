@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from growthspark.llm.common import small_batches, stage, utf8
+from growthspark.llm.common import keep_marked, small_batches, stage, text_mark, utf8
 
 WINDOW = 16          # bytes that decide a cut
 MIN_CHUNK = 512      # bytes
@@ -51,12 +51,12 @@ def cuts(data: np.ndarray) -> list[int]:
 
 
 RECIPE = pa.struct([("key", pa.int64()), ("digest", pa.binary())])
-_SCHEMA = "doc_id long, code_points long, text_sha256 string, chunks array<struct<key:long,digest:binary>>"
+_SCHEMA = "doc_id long, mark long, code_points long, text_sha256 string, chunks array<struct<key:long,digest:binary>>"
 
 
 def _recipes(batches):
     for batch in batches:
-        raw, off = utf8(batch.column(1))
+        raw, off = utf8(batch.column("text"))
         whole = raw.tobytes()
         points, shas, lists = [], [], []
         for s, e in zip(off[:-1], off[1:]):
@@ -72,14 +72,14 @@ def _recipes(batches):
                 start = end
             lists.append(chunks)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(points, pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(RECIPE))],
-            names=["doc_id", "code_points", "text_sha256", "chunks"])
+            [batch.column("doc_id"), batch.column("mark"), pa.array(points, pa.int64()), pa.array(shas, pa.string()), pa.array(lists, pa.list_(RECIPE))],
+            names=["doc_id", "mark", "code_points", "text_sha256", "chunks"])
 
 
 def named_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged rows (row_id, doc_id, code_points, text_sha256, recipe binary)."""
+    """Rows (row_id, doc_id, mark, code_points, text_sha256, recipe), staged but for the recipe's spelling."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_mark(text_col).alias("mark"))
     rows = stage(source.mapInArrow(_recipes, _SCHEMA).withColumn("row_id", F.monotonically_increasing_id()), "recipes")
     # a key that names two contents is no identifier: such chunks go by their digest
     parts = rows.select("row_id", F.posexplode("chunks").alias("pos", "c")).select("row_id", "pos", "c.key", "c.digest")
@@ -96,7 +96,19 @@ def named_recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         named = rows.withColumn("recipe", plain)
     else:
         named = rows.join(fixed, "row_id", "left").withColumn("recipe", F.coalesce("renamed", plain))
-    return named.select("row_id", "doc_id", "code_points", "text_sha256", "recipe")
+    return named.select("row_id", "doc_id", "mark", "code_points", "text_sha256", "recipe")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of :func:`named_recipes` with group_size, keep (the kept row's id) and keep_row (null: alone)."""
+    named = named_recipes(docs, id_col, text_col)
+    best = F.min(F.struct((-F.col("code_points")).alias("p"), F.col("doc_id").isNull().alias("z"),
+                          F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id")))
+    groups = (named.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("b"))
+              .where("group_size > 1")
+              .select("recipe", "group_size", F.col("b.doc_id").alias("keep"), F.col("b.row_id").alias("keep_row")))
+    # written, so that the join's two sides are plain shuffles, which Spark splits where a group is large
+    return named.join(stage(groups, "groups"), "recipe", "left")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,15 +121,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text) all count in group_size; exactly one of them is kept.  Extra columns
     are ignored.  Empty input gives no rows.
     """
-    named = named_recipes(docs, id_col, text_col)
-    best = F.min(F.struct((-F.col("code_points")).alias("p"), F.col("doc_id").isNull().alias("z"),
-                          F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id")))
-    groups = (named.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("b"))
-              .where("group_size > 1")
-              .select("recipe", "group_size", F.col("b.doc_id").alias("keep"), F.col("b.row_id").alias("keep_row")))
-    return (named.join(groups, "recipe", "left")
+    return (_grouped(docs, id_col, text_col)
             .select("doc_id",
                     F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
                     F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
                     F.coalesce(F.col("keep_row") == F.col("row_id"), F.lit(True)).alias("kept"),
                     "text_sha256"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of equal texts, with all its columns."""
+    kept = _grouped(docs, id_col, text_col).where("keep_row is null or keep_row = row_id")
+    return keep_marked(docs, kept.select("doc_id", "mark"), id_col, text_col)

@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthspark.llm import chat_format, embedding_dedup, exact_dedup, sharding, simhash
-from growthspark.llm.common import stage
+from growthspark.llm import bpe, chat_format, embedding_dedup, exact_dedup, line_dedup, packing, quality, sharding, simhash, warc
+from growthspark.llm.common import new_path, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document; labels are learned from rows that are not held out."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes, equal texts together."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every whole document and of the text they decode to."""
+    coded = bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of 50 words or more, in whole lines, that an earlier one has."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_words=50)
+
+
 CONTROL_TURN = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -55,6 +73,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words_per=3, max_bits=2)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    path = new_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    back = warc.records(warc.read_archives(spark, path))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens with their lexical neighbours."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that are equal once white space is deleted."""
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
@@ -76,5 +118,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op5_chat_format, op6_simhash, op9_exact_dedup, op10_embedding_dedup)}
-ORACLES = {"op5_chat_format": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_sharding, op3_bpe, op4_line_dedup, op5_chat_format, op6_simhash, op7_warc, op8_packing,
+    op9_exact_dedup, op10_embedding_dedup)}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL}

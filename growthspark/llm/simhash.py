@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from growthspark.llm.common import components, local_roots, small_batches, stage, utf8
+from growthspark.llm.common import components, keep_marked, local_roots, small_batches, stage, text_mark, utf8
 
 PLACES = 32                                       # two bits each
 REFERENCES = [0] + [3 << (2 * i) for i in range(PLACES)]
@@ -48,18 +48,18 @@ def fingerprint(text: bytes, words_per: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, mark, fp): the fingerprint as a signed 64-bit integer; mark tells rows of one id apart."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            raw, off = utf8(batch.column(1))
+            raw, off = utf8(batch.column("text"))
             whole = raw.tobytes().lower()
             got = np.array([fingerprint(whole[s:e], words_per) for s, e in zip(off[:-1], off[1:])], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(got.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_mark(text_col).alias("mark"))
+    return source.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -177,6 +177,19 @@ def fingerprint_links(distinct: DataFrame, max_bits: int, block: int = BLOCK) ->
     return dealt.mapInArrow(_links(max_bits), "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, words_per: int, max_bits: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, mark, fp, component_id)."""
+    rows = stage(fingerprints(docs, words_per, id_col, text_col), "fingerprints")
+    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct_fp")
+    comps = stage(components(stage(fingerprint_links(distinct, max_bits, block), "links")), "fp_components")
+    members = comps.join(distinct, comps["node"] == distinct["fp"]).select("node", "root", "least_id")
+    least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    # written, so that the join's two sides are plain shuffles, which Spark splits where a fingerprint is common
+    return rows.join(stage(named, "named_fp"), "fp")
+
+
 def simhash_groups(docs: DataFrame, words_per: int = 3, max_bits: int = 2, block: int = BLOCK,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: doc_id, fingerprint (16 hex digits), component_id.
@@ -188,11 +201,15 @@ def simhash_groups(docs: DataFrame, words_per: int = 3, max_bits: int = 2, block
     Repeated rows fall into one component and all are returned.  Extra columns
     are ignored; empty input gives no rows.
     """
-    rows = stage(fingerprints(docs, words_per, id_col, text_col), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct_fp")
-    comps = stage(components(stage(fingerprint_links(distinct, max_bits, block), "links")), "fp_components")
-    members = comps.join(distinct, comps["node"] == distinct["fp"]).select("node", "root", "least_id")
-    least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows = _grouped(docs, words_per, max_bits, block, id_col, text_col)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words_per: int = 3, max_bits: int = 2, block: int = BLOCK,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, that of the smallest doc_id (then mark), with all its columns."""
+    rows = _grouped(docs, words_per, max_bits, block, id_col, text_col).where("doc_id <=> component_id")
+    kept = rows.groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    # rows without an id are told apart by their component only
+    return keep_marked(docs, kept.where("doc_id is not null").union(
+        rows.where("doc_id is null").groupBy("fp").agg(F.min("mark").alias("mark")).select(F.lit(None).cast("long").alias("doc_id"), "mark")), id_col, text_col)
