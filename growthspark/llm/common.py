@@ -126,5 +126,5 @@ def keep_marked(docs: DataFrame, keep: DataFrame, id_col: str = "doc_id", text_c
     marked = docs.withColumn(mark, text_mark(text_col))
     wanted = keep.select(F.col("doc_id").alias("_keep_id"), F.col("mark").alias("_keep_mark"))
     found = marked.join(wanted, marked[id_col].cast("long").eqNullSafe(wanted["_keep_id"]) & (marked[mark] == wanted["_keep_mark"]), "left_semi")
-    one = W.partitionBy(F.col(id_col).cast("long"), mark).orderBy(F.lit(0))
+    one = W.partitionBy(F.col(id_col).cast("long"), mark).orderBy(mark)
     return found.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

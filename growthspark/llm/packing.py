@@ -196,7 +196,7 @@ def pack(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, window: i
     mean = total["tokens"] / max(1, total["docs"])
     shards = max(1, round(total["tokens"] / shard_tokens))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         shard = key[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("crc", "ascending")])
         blobs = table.column("ids").to_pylist()

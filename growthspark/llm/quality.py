@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col
 
     rows = _text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     seen = rows.mapInArrow(extract, "doc_id long, quality int, seen binary")
-    got = seen.groupBy(F.lit(0)).applyInArrow(solve, "weights binary, squares binary, bias double, slope double, shift double").collect()
+    got = seen.withColumn("model", F.lit(1)).groupBy("model").applyInArrow(solve, "weights binary, squares binary, bias double, slope double, shift double").collect()
     if not got:
         return fit([], np.zeros(0, np.int64))
     r = got[0]
