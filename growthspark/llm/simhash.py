@@ -178,14 +178,14 @@ def fingerprint_links(distinct: DataFrame, max_bits: int, block: int = BLOCK) ->
 
 
 def _grouped(docs: DataFrame, words_per: int, max_bits: int, block: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, mark, fp, component_id)."""
+    """Rows (doc_id, mark, fp, grp, component_id): grp names the component."""
     rows = stage(fingerprints(docs, words_per, id_col, text_col), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct_fp")
     comps = stage(components(stage(fingerprint_links(distinct, max_bits, block), "links")), "fp_components")
     members = comps.join(distinct, comps["node"] == distinct["fp"]).select("node", "root", "least_id")
     least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = members.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    linked = members.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("grp"), F.coalesce("component_id", "least_id").alias("component_id"))
     # written, so that the join's two sides are plain shuffles, which Spark splits where a fingerprint is common
     return rows.join(stage(named, "named_fp"), "fp")
 
@@ -208,8 +208,7 @@ def simhash_groups(docs: DataFrame, words_per: int = 3, max_bits: int = 2, block
 def keep_one(docs: DataFrame, words_per: int = 3, max_bits: int = 2, block: int = BLOCK,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that of the smallest doc_id (then mark), with all its columns."""
-    rows = _grouped(docs, words_per, max_bits, block, id_col, text_col).where("doc_id <=> component_id")
-    kept = rows.groupBy("doc_id").agg(F.min("mark").alias("mark"))
-    # rows without an id are told apart by their component only
-    return keep_marked(docs, kept.where("doc_id is not null").union(
-        rows.where("doc_id is null").groupBy("fp").agg(F.min("mark").alias("mark")).select(F.lit(None).cast("long").alias("doc_id"), "mark")), id_col, text_col)
+    rows = _grouped(docs, words_per, max_bits, block, id_col, text_col)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("mark")))
+    kept = rows.groupBy("grp").agg(first.alias("f")).select("f.doc_id", "f.mark")
+    return keep_marked(docs, kept, id_col, text_col)
