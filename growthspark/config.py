@@ -219,3 +219,30 @@ class EngineConfig:
 
 
 DEFAULT = EngineConfig()
+
+
+# cross-validation report: metrics and limits (fixed values)
+CV_METRICS = ("r2", "mse", "mae")
+CV_STABLE_BELOW = 0.2      # coefficient of variation of a stable metric
+CV_STABLE_SHARE = 0.8      # share of stable metrics of a stable model
+CV_TREND_LIMIT = 0.3       # correlation with the fold number that is a trend
+CV_FLAT_LIMIT = 0.2        # and below which there is none
+
+# diagnostics: points taken off the health score and advice (fixed values).  Conditions are SQL
+# over the columns of one metrics row: r2, assumption_score, outlier_rate, degraded, normal,
+# equal_variance, collinear.
+HEALTH_PENALTIES = (
+    ("r2 < 0.6", "0.2"),
+    ("assumption_score < 1", "0.3 * (1 - assumption_score)"),
+    ("outlier_rate > 0.1", "0.2 * least(outlier_rate, 0.5)"),
+    ("degraded", "0.1"),
+)
+DIAGNOSTIC_ADVICE = (
+    ("r2 < 0.7", "Consider adding more features or feature engineering"),
+    ("not normal", "Consider transforming target variable for normality"),
+    ("not equal_variance", "Consider using robust regression or weighted least squares"),
+    ("collinear", "Remove highly correlated features or use regularization"),
+    ("outlier_rate > 0.1", "Investigate and potentially remove outliers"),
+    ("degraded", "Model performance is degrading over time - consider retraining"),
+)
+DIAGNOSTIC_ALL_GOOD = "Model diagnostics look good"

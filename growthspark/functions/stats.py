@@ -34,7 +34,6 @@ from pyspark.sql import types as T
 
 BUCKETS = 1024
 TASK_MAX = 5_000_000  # values one task may sort in the final selection step
-MAX_PASSES = 16
 
 
 # ---------------------------------------------------------------------------
@@ -122,7 +121,7 @@ def exact_order_statistics(long: DataFrame, wanted: dict[int, set], first: dict[
     result: dict = {}
     schema = T.StructType([T.StructField("ci", T.IntegerType()), T.StructField("pid", T.IntegerType()),
                            T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
-    for _ in range(MAX_PASSES):
+    while True:  # every pass shrinks each open interval to one bucket's own smallest and largest value
         open_probes = []
         for pr in probes:
             ci, lo, hi, below, n_in, ks = pr
@@ -149,7 +148,9 @@ def exact_order_statistics(long: DataFrame, wanted: dict[int, set], first: dict[
         if not big:
             probes = []
             break
-        bucket = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS),
+        # halves: the width of an interval may exceed the largest double
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bucket = F.least(F.floor(share * BUCKETS),
                          F.lit(BUCKETS - 1)).cast("int")
         hist = (hits.where(F.col("pid").isin(big)).withColumn("b", bucket)
                     .groupBy("pid", "b").agg(F.count("*").alias("n"), F.min("v").alias("mn"),
@@ -167,8 +168,6 @@ def exact_order_statistics(long: DataFrame, wanted: dict[int, set], first: dict[
                     nxt.append((ci, float(mn), float(mx), cum, int(n), inside))
                 cum += n
         probes = nxt
-    if probes:
-        raise RuntimeError("quantile selection did not converge")
     return result
 
 
@@ -185,21 +184,30 @@ def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
         return {}
     idx = {c: i for i, c in enumerate(cols)}
     long = _long_form(df.select(*[F.col(c) for c in cols]), cols)
-    first = {i: (0, None, None) for i in range(len(cols))}
-    for r in long.groupBy("ci").agg(F.count("v").alias("n"), F.min("v").alias("mn"),
-                                    F.max("v").alias("mx")).collect():
-        first[r["ci"]] = (r["n"], r["mn"], r["mx"])
+    inf = float("inf")
+    finite = F.when(F.abs("v") < inf, F.col("v"))
+    first, ends = {i: (0, None, None) for i in range(len(cols))}, {i: (0, 0) for i in range(len(cols))}
+    for r in long.groupBy("ci").agg(F.count(finite).alias("n"), F.min(finite).alias("mn"), F.max(finite).alias("mx"),
+                                    F.count(F.when(F.col("v") == -inf, 1)).alias("low"),
+                                    F.count(F.when(F.col("v") == inf, 1)).alias("high")).collect():
+        first[r["ci"]], ends[r["ci"]] = (r["n"], r["mn"], r["mx"]), (r["low"], r["high"])
     wanted: dict = {}
-    plan = {}
+    plan, got = {}, {}
     for name, (c, p) in specs.items():
-        n = first[idx[c]][0]
-        if not n:
+        ci = idx[c]
+        (n, _, _), (low, high) = first[ci], ends[ci]
+        if not n + low + high:
             plan[name] = None
             continue
-        h, lo, hi = _ranks(n, float(p))
-        wanted.setdefault(idx[c], set()).update({lo, hi})
-        plan[name] = (idx[c], h, lo, hi)
-    got = exact_order_statistics(long, wanted, first) if wanted else {}
+        h, lo, hi = _ranks(n + low + high, float(p))
+        for k in (lo, hi):  # infinities stand at the ends; only ranks between them need a search
+            if k < low or k >= low + n:
+                got[(ci, k)] = -inf if k < low else inf
+            else:
+                wanted.setdefault(ci, set()).add(k - low)
+        plan[name] = (ci, h, lo, hi)
+    found = exact_order_statistics(long.where(F.abs("v") < inf), wanted, first) if wanted else {}
+    got |= {(ci, k + ends[ci][0]): v for (ci, k), v in found.items()}
     return {name: (None if pl is None else (got[(pl[0], pl[2])], got[(pl[0], pl[3])], pl[1] - pl[2]))
             for name, pl in plan.items()}
 
@@ -208,7 +216,7 @@ def interpolate(stat) -> float | None:
     if stat is None:
         return None
     a, b, f = stat
-    return a + f * (b - a)
+    return a if f == 0 or a == b else a + f * (b - a)
 
 
 def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,

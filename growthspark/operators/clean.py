@@ -331,19 +331,28 @@ def smooth_follower_jumps(df: DataFrame, creator: str = "username", order: str =
         F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("d")).alias("_o"),
         F.col("followers").cast("double").alias("_f"), row.alias("_r")))).alias("_xs"))
     lim, cap, frac = C.FOLLOWER_JUMP_LIMIT, C.FOLLOWER_JUMP_MAX_CHANGE, C.FOLLOWER_JUMP_MAX_FRACTION
-    init = F.array().cast("array<double>")
 
-    def step(acc, x):
-        prev = F.try_element_at(acc, F.lit(-1))
-        cur = x["_f"]
+    def smooth(prev, cur):
         change = cur - prev
         fixed = prev + F.signum(change) * F.least(F.lit(float(cap)), prev * frac)
-        new = F.when(F.size(acc) == 0, cur).when(F.abs(change) > lim, fixed).otherwise(cur)
-        return F.concat(acc, F.array(new))
+        return F.when(prev.isNull(), cur).when(F.abs(change) > lim, fixed).otherwise(cur)
+
+    # Between two jumps the smoothed value is the value itself, so a row depends on its neighbour's raw value
+    # unless that was changed: fold the changes only, as (position, new value), and look each row up in them
+    first = F.struct(F.lit(None).cast("double").alias("prev"), F.lit(-1).alias("at"), F.array().cast("array<struct<at:int,v:double>>").alias("changed"))
 
-    smoothed = F.aggregate(F.col("_xs"), init, step)
-    z = g.select(F.explode(F.arrays_zip(F.col("_xs").alias("x"), smoothed.alias("s"))).alias("z"))
-    out = z.select(*[F.col(f"z.x._r.{c}").alias(c) for c in cols], F.col("z.s").alias("_sf"))
+    def step(acc, x):
+        new = smooth(acc["prev"], x["_f"])
+        at = acc["at"] + 1
+        moved = new.isNotNull() & (new != x["_f"])
+        return F.struct(new.alias("prev"), at.alias("at"),
+                        F.when(moved, F.array_append(acc["changed"], F.struct(at.alias("at"), new.alias("v")))).otherwise(acc["changed"]).alias("changed"))
+
+    changed = F.aggregate(F.col("_xs"), first, step)["changed"]
+    g = g.select("_xs", F.map_from_entries(changed).alias("_new"))
+    z = g.select("_new", F.posexplode("_xs").alias("_at", "x"))
+    out = z.select(*[F.col(f"x._r.{c}").alias(c) for c in cols],
+                   F.coalesce(F.try_element_at(F.col("_new"), F.col("_at")), F.col("x._f")).alias("_sf"))
     sf = F.col("_sf")
     if isinstance(ftype, INTEGRAL):
         sf = F.rint(sf)
@@ -381,11 +390,27 @@ def round_columns(df: DataFrame) -> DataFrame:
     return out
 
 
+def quarantine(df: DataFrame, keys=("username", "date")) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is complete, the others with a ``reason`` column).
+
+    A row without creator or date cannot be told from its neighbours: it must
+    neither be merged with other such rows nor be filled from them.
+    """
+    keys = [k for k in keys if k in df.columns]
+    lost = F.concat_ws(", ", *[F.when(F.col(k).isNull(), F.lit(f"missing {k}")) for k in keys])
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    return df.where(whole), df.where(~whole).withColumn("reason", lost)
+
+
 def dedup_keys(df: DataFrame, seq_col: str = "seq", keys=("username", "date")) -> DataFrame:
-    """Keep one row per key: largest ``seq``, then the largest row (an aggregate)."""
+    """Keep one row per complete key: largest ``seq``, then the largest row (an aggregate).
+
+    Rows with a missing key go to :func:`quarantine`.
+    """
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return df
+    df = quarantine(df, keys)[0]
     others = [c for c in df.columns if c not in keys]
     lead = [F.col(seq_col).alias("_seq")] if seq_col in df.columns else []
     best = df.groupBy(*keys).agg(F.max(F.struct(*lead, *[F.col(c) for c in others])).alias("_b"))
@@ -423,6 +448,9 @@ def clean_raw_data(df: DataFrame, fill_missing: bool = True, handle_outliers_: b
                    collect_stats: bool = False, dedup_first: bool = True) -> tuple[DataFrame, dict]:
     """types -> missing -> outliers -> ranges -> consistency, with statistics.
 
+    Rows without username or date are quarantined (``quarantine``), not
+    filled: the output has unique, complete creator-days.
+
     ``dedup_first=True`` (engine default) keeps the last row per creator-day
     right after typing, so the sequential steps (forward fill, interpolation,
     follower smoothing) see one row per creator-day: a creator's window is
@@ -435,10 +463,14 @@ def clean_raw_data(df: DataFrame, fill_missing: bool = True, handle_outliers_: b
     out = df
     if fix_types:
         out, stats["data_type_fixes"] = fix_data_types(out)
+    if collect_stats:
+        stats["quarantined_rows"] = quarantine(out)[1].count()
     if dedup_first:
         # missing-value handling runs statistics jobs (means, modes) over the
         # de-duplicated table: write it once to the shared checkpoint folder
         out = cut_lineage(dedup_keys(out))
+    else:
+        out = quarantine(out)[0]
     if fill_missing:
         before = out
         out = handle_missing_values(out, scope)
@@ -460,5 +492,9 @@ def clean_raw_data(df: DataFrame, fill_missing: bool = True, handle_outliers_: b
         out = smooth_follower_jumps(out)
     if collect_stats:
         stats["original_rows"] = df.count()
-        stats["final_rows"] = out.count()
+        keys = [k for k in ("username", "date") if k in out.columns]
+        rows = out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("k")).first() if keys else None
+        if rows and rows["n"] != rows["k"]:
+            raise RuntimeError(f"cleaning left {rows['n'] - rows['k']} rows with a repeated or missing creator-day")
+        stats["final_rows"] = rows["n"] if rows else out.count()
     return out, stats

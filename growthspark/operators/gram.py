@@ -133,10 +133,11 @@ class SegmentPlan:
     dates: list = field(default_factory=list)
 
     def seg_expr(self, date_col: str = "date") -> Column:
-        e = F.lit(0)
-        for b in self.borders:
-            e = e + (F.col(date_col) >= F.lit(b)).cast("int")
-        return e
+        # one constant array, whatever the number of borders; a row without a date is in segment 0
+        if not self.borders:
+            return F.lit(0)
+        passed = F.filter(F.array(*[F.lit(b) for b in self.borders]), lambda b: b <= F.col(date_col))
+        return F.size(passed)
 
 
 def segment_plan(dates: list, folds_pos: list) -> SegmentPlan:
@@ -223,6 +224,8 @@ def coordinate_descent(Szz, Szy, n, alpha, l1_ratio, tol=1e-9, max_iter=20000, w
             exact = _active_set_solution(Szz, Szy, l1, l2, w)
             if exact is not None:
                 return exact
+    else:
+        raise ArithmeticError(f"coordinate descent did not converge in {max_iter} passes")
     return w
 
 

@@ -331,8 +331,14 @@ def metrics_long(one_row: DataFrame, metrics=("r2", "rmse", "mae", "mape")) -> D
 
 # KP16 -----------------------------------------------------------------------
 def all_kpis(pred: DataFrame) -> DataFrame:
-    """Union of KP1-KP13 as long rows ``section, metric, value`` (predictions checkpointed once)."""
+    """Union of KP1-KP13 as long rows ``section, metric, value`` (predictions checkpointed once).
+
+    Sections of several rows (business kinds, growth categories, thresholds)
+    name the row in the metric: ``high_growth.mae``.
+    """
     pred = cut_lineage(pred)
+    named = {"business": (business_kpis(pred), "kind"), "growth_category": (growth_categories(pred), "category"),
+             "threshold": (threshold_accuracy(pred), "threshold")}
     parts = {"statistical": statistical_kpis(pred), "roi": roi_kpis(pred) if "roi_actual" in pred.columns else None,
              "decision_support": decision_support(pred), "quality": prediction_quality(pred),
              "confidence": confidence_kpis(pred), "temporal": temporal_kpis(pred),
@@ -347,9 +353,21 @@ def all_kpis(pred: DataFrame) -> DataFrame:
         rows.append(df.select(F.explode(F.array(*[F.struct(F.lit(sec).alias("section"), F.lit(c).alias("metric"),
                                                            F.col(c).cast("double").alias("value")) for c in num]))
                               .alias("x")).select("x.*"))
+    for sec, (df, key) in named.items():
+        num = [f.name for f in df.schema.fields if f.name != key and f.dataType.typeName() in ("double", "long", "integer", "boolean")]
+        rows.append(df.select(F.explode(F.array(*[F.struct(
+            F.lit(sec).alias("section"), F.concat(F.col(key).cast("string"), F.lit(f".{c}")).alias("metric"),
+            F.col(c).cast("double").alias("value")) for c in num])).alias("x")).select("x.*"))
     return reduce(DataFrame.unionByName, rows)
 
 
+def kpi_summary(pred: DataFrame) -> DataFrame:
+    """KP14: score, grade, advice and the key metrics (R2, RMSE, MAE, direction) in one row."""
+    pred = cut_lineage(pred)
+    key = statistical_kpis(pred).select("rmse", "mae")
+    return merge_rows(overall_score(pred).select("overall_score", "performance_grade", "recommendations", "r2", "directional_accuracy"), key)
+
+
 # KP17 -----------------------------------------------------------------------
 def rolling_accuracy(pred: DataFrame, days: int = 30, creator: str = "username") -> DataFrame:
     """MAE and direction accuracy over each creator's trailing ``days`` days."""

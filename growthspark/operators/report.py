@@ -89,6 +89,20 @@ def qq_points(pred: DataFrame, grid: int = 99) -> DataFrame:
     return pred.sparkSession.createDataFrame(rows, "p double, theoretical double, sample double")
 
 
+def residual_series(pred: DataFrame, keys=("username", "date")) -> DataFrame:
+    """Residuals by fitted value and by date, standardised too: the scatter charts' points."""
+    from ..functions.stats import attach_row
+    e = F.col("y_true").cast("double") - F.col("y_pred").cast("double")
+    scale = pred.agg(F.stddev_pop(e).alias("_s"))
+    return attach_row(pred, scale).select(*keys, F.col("y_pred").cast("double").alias("fitted"), e.alias("residual"),
+                                          F.try_divide(e, F.col("_s")).alias("standardized"))
+
+
+def qq_line(points: DataFrame) -> DataFrame:
+    """Reference line of Q-Q points: least squares of sample on theoretical quantiles."""
+    return points.agg(F.regr_slope("sample", "theoretical").alias("slope"), F.regr_intercept("sample", "theoretical").alias("intercept"))
+
+
 # RP6 ------------------------------------------------------------------------
 def roi_vs_frequency(weekly: DataFrame, x: str = "weekly_posting_frequency", y: str = "roi_follows_per_hour",
                      points: int = 100) -> DataFrame:

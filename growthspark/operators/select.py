@@ -9,8 +9,11 @@ no data is resampled or collected.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -68,58 +71,80 @@ def recursive_elimination(g: G.Gram, k: int = 10, model_type: str = "linear", al
 
 
 # FS3 ------------------------------------------------------------------------
-def forward_selection(des: M.Design, k: int = 10, n_folds: int = 3) -> dict:
-    """Greedy forward search on mean validation R2 over 3 time folds; stop at no gain."""
-    g_all = des.total
-    center, scale = G.scaler_from(g_all)  # scaler on all rows, as the reference
-    p = len(des.features)
-    tgt = p
-    folds = des.plan.folds
-    trains = [des.seg_range(a, b) for a, b, _, _ in folds]
-    tests = [des.seg_range(c, d) for _, _, c, d in folds]
-    chosen, best = [], float("-inf")
-    remaining = list(range(p))
-    for _ in range(min(k, p)):
-        cand, cand_score = None, best
-        for j in remaining:
-            idx = chosen + [j]
-            scores = []
-            for tr, te in zip(trains, tests):
-                ff = G.solve(tr.subset(idx + [tgt]), "linear", center=center[idx], scale=scale[idx])
-                sse, sst = G.sse_on(te.subset(idx + [tgt]), ff)
-                scores.append(1 - sse / sst if sst else (1.0 if sse == 0 else 0.0))
-            s = float(np.mean(scores))
-            if s > cand_score:
-                cand, cand_score = j, s
-        if cand is None:
-            break
-        chosen.append(cand)
-        remaining.remove(cand)
-        best = cand_score
-    return {"selected_features": [des.features[j] for j in chosen], "best_cv_score": best,
-            "selection_order": {des.features[j]: i + 1 for i, j in enumerate(chosen)}}
+def forward_path(des: M.Design, steps: int) -> list[tuple[int, float]]:
+    """(feature index, mean validation R2 with it and all before it), best first at every step.
+
+    The scaler is fitted on all rows (B22); fold fits and scores are Gram algebra.
+    """
+    target = len(des.features)
+    center, scale = G.scaler_from(des.total)
+    grams = [(des.seg_range(a, b), des.seg_range(c, d)) for a, b, c, d in des.plan.folds]
+
+    def mean_r2(subset: list[int]) -> float:
+        cols = [*subset, target]
+        errors = (G.sse_on(test.subset(cols), G.solve(train.subset(cols), "linear", center=center[subset], scale=scale[subset]))
+                  for train, test in grams)
+        return float(np.mean([1 - sse / sst if sst else float(sse == 0) for sse, sst in errors]))
+
+    path: list[tuple[int, float]] = []
+    while len(path) < min(steps, target):
+        taken = [j for j, _ in path]
+        path.append(max(((j, mean_r2([*taken, j])) for j in range(target) if j not in taken), key=lambda t: t[1]))
+    return path
+
+
+def forward_selection(des: M.Design, k: int = 10) -> dict:
+    """The forward path up to the last step that still raises the mean validation R2."""
+    path = forward_path(des, k)
+    r2 = [s for _, s in path]
+    gain = [s > t for s, t in zip(r2, [float("-inf"), *r2])]
+    kept = path[:gain.index(False) if False in gain else len(path)]
+    names = [des.features[j] for j, _ in kept]
+    return {"selected_features": names, "best_cv_score": kept[-1][1] if kept else float("-inf"),
+            "selection_order": dict(zip(names, range(1, len(names) + 1)))}
 
 
 # FS4 ------------------------------------------------------------------------
-def filter_selection(g: G.Gram, k: int = 10, var_threshold: float = 0.01, corr_limit: float = 0.95) -> dict:
-    """Variance > .01; drop the second of each |r| > .95 pair (strongest first); top k by |r(x, y)|."""
+def feature_scores(spark: SparkSession, g: G.Gram) -> DataFrame:
+    """(feature, position, variance, target_correlation) of every feature, from one Gram aggregate."""
     p = len(g.names) - 1
-    var = np.diag(g.scatter())[:p] / g.n
-    keep = [j for j in range(p) if var[j] > var_threshold]
-    r = G.correlation(g)
-    pairs = sorted(((abs(r[a, b]), ia, ib) for ia, a in enumerate(keep) for ib, b in enumerate(keep)
-                    if ib > ia and np.isfinite(r[a, b]) and abs(r[a, b]) > corr_limit), reverse=True)
-    removed = set()
-    for _, ia, ib in pairs:
-        if ia not in removed and ib not in removed:
-            removed.add(ib)
-    final = [j for i, j in enumerate(keep) if i not in removed]
-    if len(final) > k:
-        final = sorted(final, key=lambda j: -abs(r[j, p]))[:k]
-    analysis = [{"feature": g.names[j], "variance": float(var[j]), "target_correlation": float(abs(r[j, p])),
-                 "selected": j in final} for j in range(p)]
-    return {"selected_features": [g.names[j] for j in final],
-            "feature_analysis": sorted(analysis, key=lambda a: -a["target_correlation"])}
+    variance, r = np.diag(g.scatter()) / g.n, np.abs(G.correlation(g)[:, p])
+    return spark.createDataFrame([(g.names[j], j, float(variance[j]), float(r[j])) for j in range(p)],
+                                 "feature string, position int, variance double, target_correlation double")
+
+
+def feature_pairs(spark: SparkSession, g: G.Gram) -> DataFrame:
+    """(first, second, r): |correlation| of every two features, in column order."""
+    r = np.abs(G.correlation(g))
+    first, second = np.triu_indices(len(g.names) - 1, 1)
+    return spark.createDataFrame([(int(i), int(j), float(r[i, j])) for i, j in zip(first, second)],
+                                 "first int, second int, r double")
+
+
+def filter_selection(spark: SparkSession, g: G.Gram, k: int = 10, var_threshold: float = 0.01,
+                     corr_limit: float = 0.95) -> DataFrame:
+    """Feature-score table with ``selected``: variance above the threshold, not the redundant half of a
+    correlated pair, and among the ``k`` largest target correlations.
+
+    Pairs above the limit are folded strongest first into the set of redundant
+    features; a pair one of whose ends is redundant already adds nothing.
+    """
+    scores = feature_scores(spark, g)
+    varied = scores.where(F.col("variance") > var_threshold)
+    alive = F.array_sort(F.collect_set("position"))
+    near = feature_pairs(spark, g).where((F.col("r") > corr_limit) & ~F.isnan("r"))
+    row = varied.agg(alive.alias("alive")).select("alive", F.lit(1).alias("one")).join(
+        near.agg(F.sort_array(F.collect_list(F.struct("r", "first", "second")), asc=False).alias("pairs"), F.lit(1).alias("one")), "one")
+    redundant = F.aggregate(
+        F.filter("pairs", lambda x: F.array_contains("alive", x["first"]) & F.array_contains("alive", x["second"])),
+        F.array().cast("array<int>"),
+        lambda gone, x: F.when(F.array_contains(gone, x["first"]) | F.array_contains(gone, x["second"]), gone)
+        .otherwise(F.array_append(gone, x["second"])))
+    free = row.select(F.explode(F.array_except("alive", redundant)).alias("position")).withColumn("free", F.lit(True))
+    table = scores.join(free, "position", "left")
+    order = Window.partitionBy("free").orderBy(F.desc("target_correlation"), "position")  # one row per feature
+    return table.select("feature", "position", "variance", "target_correlation",
+                        (F.col("free").isNotNull() & (F.row_number().over(order) <= k)).alias("selected"))
 
 
 # FS5 ------------------------------------------------------------------------
@@ -166,7 +191,8 @@ def select_features(des: M.Design, method: str = "univariate", k: int = 10) -> l
     if method == "recursive":
         return recursive_elimination(g, min(k, len(des.features)))[0]
     if method == "filter":
-        return filter_selection(g, k)["selected_features"]
+        kept = filter_selection(des.df.sparkSession, g, k).where("selected")
+        return [r["feature"] for r in kept.orderBy(F.desc("target_correlation"), "position").collect()]
     if method == "wrapper":
         return forward_selection(des, k)["selected_features"]
     raise ValueError(method)
@@ -202,13 +228,16 @@ def feature_stability_analysis(df: DataFrame, method: str = "univariate", n_boot
     shift = G.global_means(d, feats + [tgt])
     reps = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("_rep"))
     # weight per (row, replicate); one grouped aggregate yields every replicate's Gram
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col("_rep"), F.col("_rowkey"))) % 1000003) / 1000003.0
-    import math
-    acc, term, w = 0.0, math.exp(-1), F.lit(0)
-    for kk in range(12):
-        acc += term
-        w = w + (u > acc).cast("int")
-        term /= (kk + 1)
+    # Poisson(1) weights by inversion: a 53-bit uniform from a seeded hash, counted
+    # against the cumulative probabilities until the tail is below the uniform's resolution
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_rep"), F.col("_rowkey")), 11) / float(1 << 53)
+    below, term, w = 0.0, math.exp(-1), F.lit(0)
+    for k_th in itertools.count(1):
+        below += term
+        if below >= 1 - 2.0 ** -53 or term < 2.0 ** -54:
+            break
+        w = w + (u >= below).cast("int")
+        term /= k_th
     grams = G.gram_by(reps, feats, tgt, key=F.col("_rep"), shift=shift, weight=w.cast("double"))
     counts = {f: 0 for f in feats}
     picks = []

@@ -76,10 +76,12 @@ def cross_validate(df: DataFrame, model_type: str = "linear", alpha: float = 1.0
         sel[f"test{i}"] = (seg >= c) & (seg < d)
         sel[f"train{i}"] = (seg >= a) & (seg < b)
     detail = fold_detail(des, fits, sel)
-    return {"fold_detail": detail, "summary": cv_summary(detail), "stability": stability(detail),
-            "coefficient_consistency": coefficient_consistency(des.features, [fits[f"test{i}"].coef
-                                                                              for i in range(len(detail))]),
-            "temporal": fold_trend(detail), "features": des.features}
+    scores = fold_scores(des.df.sparkSession, detail)
+    summary = cv_summary(scores, len(detail))
+    weights = fold_weights(des.df.sparkSession, des.features, [fits[f"test{i}"].coef for i in range(len(detail))])
+    return {"fold_detail": detail, "summary": summary, "stability": stability(summary),
+            "coefficient_consistency": coefficient_consistency(weights), "temporal": fold_trend(scores),
+            "features": des.features}
 
 
 def fold_detail(des: M.Design, fits: dict, sel: dict) -> list[dict]:
@@ -113,91 +115,106 @@ def fold_detail(des: M.Design, fits: dict, sel: dict) -> list[dict]:
     return out
 
 
-def _ci95(values) -> tuple:
-    """AG10 for a small vector: mean +- t(.975, n-1) * sem."""
-    v = np.asarray(values, float)
-    if len(v) < 2:
-        return float(v.mean()) if len(v) else float("nan"), float(v.mean()) if len(v) else float("nan")
-    sem = v.std(ddof=1) / np.sqrt(len(v))
-    t = dist.t_ppf(0.975, len(v) - 1)
-    return float(v.mean() - t * sem), float(v.mean() + t * sem)
-
-
-def cv_summary(detail: list[dict]) -> dict:
-    """CV3: mean, std (population), min, max, CV, 95 % interval, train scores, overfitting gap."""
-    out = {}
-    for metric in ("r2", "mse", "mae"):
-        te = np.array([d[f"test_{metric}"] for d in detail], float)
-        tr = np.array([d[f"train_{metric}"] for d in detail], float)
-        mean = float(te.mean())
-        lo, hi = _ci95(te)
-        gap = (tr.mean() - te.mean()) if metric == "r2" else (te.mean() - tr.mean())
-        out[metric] = {"mean": mean, "std": float(te.std()), "min": float(te.min()), "max": float(te.max()),
-                       "cv": float(te.std() / abs(mean)) if mean != 0 else float("inf"),
-                       "ci95_lower": lo, "ci95_upper": hi, "train_mean": float(tr.mean()),
-                       "train_std": float(tr.std()), "overfitting_score": float(max(0.0, gap))}
-    return out
+def fold_scores(spark: SparkSession, detail: list[dict]) -> DataFrame:
+    """One row per fold and metric: the table that CV3, CV5 and CV7 are aggregates of."""
+    rows = [(int(d["fold_number"]), m, d[f"train_{m}"], d[f"test_{m}"]) for d in detail for m in C.CV_METRICS]
+    return spark.createDataFrame(rows, "fold int, metric string, train double, test double")
+
+
+def fold_weights(spark: SparkSession, features: list, coefs: list) -> DataFrame:
+    """One row per fold and feature: the table that CV6 is an aggregate of."""
+    rows = [(i + 1, f, float(w)) for i, c in enumerate(coefs) for f, w in zip(features, c)]
+    return spark.createDataFrame(rows, "fold int, feature string, coef double")
+
 
+def cv_summary(scores: DataFrame, n_folds: int) -> DataFrame:
+    """CV3 per metric: mean, std (population), min, max, CV, 95 % interval, train scores, overfitting gap.
 
-def stability(detail: list[dict]) -> dict:
-    """CV5: coefficient of variation < .2 per metric; share stable; >= .8 -> Stable."""
-    res = {}
-    for metric in ("r2", "mse", "mae"):
-        s = np.array([d[f"test_{metric}"] for d in detail], float)
-        cv = float(s.std() / abs(s.mean())) if s.mean() != 0 else float("inf")
-        res[f"{metric}_stability"] = {"coefficient_of_variation": cv, "stable": cv < 0.2,
-                                      "score_range": float(s.max() - s.min())}
-    stable = sum(v["stable"] for v in res.values())
-    total = len(res)
-    res["overall_stability"] = {"stability_score": stable / total, "stable_metrics_count": stable,
-                                "total_metrics": total,
-                                "assessment": "Stable" if stable / total >= 0.8 else "Unstable"}
-    return res
-
-
-def coefficient_consistency(features: list, coefs: list) -> list[dict]:
-    """CV6: std, CV and sign agreement of each coefficient over the folds."""
-    a = np.array(coefs, float)
-    mean, sd = a.mean(axis=0), a.std(axis=0)
-    sign = (np.sign(a) == np.sign(mean)).mean(axis=0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cv = sd / np.abs(mean)
-    return [{"feature": f, "coef_std": float(sd[j]), "coef_cv": float(cv[j]), "sign_consistency": float(sign[j])}
-            for j, f in enumerate(features)]
-
-
-def fold_trend(detail: list[dict]) -> dict:
-    """CV7: correlation of fold number with R2 and MAE; +-.3 / .2 limits; best and worst fold."""
-    fn = np.array([d["fold_number"] for d in detail], float)
-    r2 = np.array([d["test_r2"] for d in detail], float)
-    mae = np.array([d["test_mae"] for d in detail], float)
-
-    def corr(a, b):
-        if len(a) <= 2 or a.std() == 0 or b.std() == 0:
-            return 0.0 if len(a) <= 2 else float("nan")
-        return float(np.corrcoef(a, b)[0, 1])
-
-    rc, mc = corr(fn, r2), corr(fn, mae)
-    return {"r2_trend_correlation": rc, "mae_trend_correlation": mc, "performance_degradation": rc < -0.3,
-            "performance_improvement": rc > 0.3, "consistent_performance": abs(rc) < 0.2,
-            "r2_range": float(r2.max() - r2.min()), "mae_range": float(mae.max() - mae.min()),
-            "best_fold": int(fn[np.argmax(r2)]), "worst_fold": int(fn[np.argmin(r2)])}
+    The interval is mean +- t(.975, n-1) * std_samp / sqrt(n) (AG10); with one
+    fold it is the mean.  The gap is how much worse the test side is, at least 0.
+    """
+    half = F.coalesce(F.stddev_samp("test"), F.lit(0.0)) * F.lit(
+        dist.t_ppf(0.975, n_folds - 1) / np.sqrt(n_folds) if n_folds > 1 else 0.0)
+    t = scores.groupBy("metric").agg(
+        F.avg("test").alias("mean"), F.stddev_pop("test").alias("std"), F.min("test").alias("min"),
+        F.max("test").alias("max"), half.alias("half"), F.avg("train").alias("train_mean"),
+        F.stddev_pop("train").alias("train_std"))
+    better = F.when(F.col("metric") == "r2", F.lit(1.0)).otherwise(F.lit(-1.0))  # is a high score good?
+    return t.select(
+        "metric", "mean", "std", "min", "max",
+        F.when(F.col("mean") != 0, F.col("std") / F.abs("mean")).otherwise(F.lit(float("inf"))).alias("cv"),
+        (F.col("mean") - F.col("half")).alias("ci95_lower"), (F.col("mean") + F.col("half")).alias("ci95_upper"),
+        "train_mean", "train_std",
+        F.greatest(F.lit(0.0), better * (F.col("train_mean") - F.col("mean"))).alias("overfitting_score"))
+
+
+def stability(summary: DataFrame) -> DataFrame:
+    """CV5, one row per metric: stable if its coefficient of variation is below the limit; the share of
+    stable metrics and the assessment stand on every row."""
+    stable = F.col("cv") < C.CV_STABLE_BELOW
+    every = Window.partitionBy()  # one row per metric
+    share = F.avg(stable.cast("double")).over(every)
+    return summary.select(
+        "metric", F.col("cv").alias("coefficient_of_variation"), stable.alias("stable"),
+        (F.col("max") - F.col("min")).alias("score_range"), share.alias("stability_score"),
+        F.when(share >= C.CV_STABLE_SHARE, "Stable").otherwise("Unstable").alias("assessment"))
+
+
+def coefficient_consistency(weights: DataFrame) -> DataFrame:
+    """CV6 per feature: spread of its coefficient over the folds, and the share of folds on the mean's side of 0."""
+    t = weights.groupBy("feature").agg(
+        F.avg("coef").alias("mean"), F.stddev_pop("coef").alias("coef_std"),
+        *[F.avg((F.signum("coef") == v).cast("double")).alias(n) for n, v in (("up", 1), ("zero", 0), ("down", -1))])
+    same = F.when(F.col("mean") > 0, F.col("up")).when(F.col("mean") < 0, F.col("down")).otherwise(F.col("zero"))
+    ratio = F.when(F.col("mean") != 0, F.col("coef_std") / F.abs("mean")).otherwise(
+        F.when(F.col("coef_std") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+    return t.select("feature", "coef_std", ratio.alias("coef_cv"), same.alias("sign_consistency"))
+
+
+def fold_trend(scores: DataFrame) -> DataFrame:
+    """CV7, one row: correlation of the fold number with test R2 and MAE, ranges, best and worst fold (first of ties)."""
+    def of(metric, c="test"):
+        return F.when(F.col("metric") == metric, F.col(c).cast("double"))
+
+    def trend(metric):
+        r = F.when((F.stddev_pop(of(metric)) > 0) & (F.stddev_pop(of(metric, "fold")) > 0),
+                   F.corr(of(metric, "fold"), of(metric))).otherwise(F.lit(float("nan")))
+        return F.when(F.count(of(metric)) <= 2, F.lit(0.0)).otherwise(r)
+
+    r2 = F.when(F.col("metric") == "r2", F.struct(F.col("test"), (-F.col("fold")).alias("f")))
+    low = F.when(F.col("metric") == "r2", F.struct(F.col("test"), F.col("fold").alias("f")))
+    t = scores.agg(trend("r2").alias("r2_trend_correlation"), trend("mae").alias("mae_trend_correlation"),
+                   *[(F.max(of(m)) - F.min(of(m))).alias(f"{m}_range") for m in ("r2", "mae")],
+                   (-F.max(r2)["f"]).alias("best_fold"), F.min(low)["f"].alias("worst_fold"))
+    r = F.when(F.isnan("r2_trend_correlation"), None).otherwise(F.col("r2_trend_correlation"))
+    return t.select(
+        "r2_trend_correlation", "mae_trend_correlation",
+        F.coalesce(r < -C.CV_TREND_LIMIT, F.lit(False)).alias("performance_degradation"),
+        F.coalesce(r > C.CV_TREND_LIMIT, F.lit(False)).alias("performance_improvement"),
+        F.coalesce(F.abs(r) < C.CV_FLAT_LIMIT, F.lit(False)).alias("consistent_performance"),
+        "r2_range", "mae_range", "best_fold", "worst_fold")
 
 
 # CV8 / CV9 ------------------------------------------------------------------
 def _window_validation(df: DataFrame, folds_pos: list, model_type: str, alpha: float) -> list[dict]:
+    """Test windows do not overlap, so a row has one fit at most: the fits are a small table (a row per segment,
+    bounded by the calendar) joined by the row's segment, and the plan does not grow with the number of windows."""
     des = M.build_design(df, folds_pos=folds_pos)
-    seg = des.plan.seg_expr(des.date_col)
-    fits, sel = {}, {}
+    spark = des.df.sparkSession
+    rows = []
     for i, (a, b, c, d) in enumerate(des.plan.folds):
         tr = des.seg_range(a, b)
-        ff = G.solve(tr, model_type, alpha, 0.5, *G.scaler_from(tr))
-        fits[f"w{i}"] = ff
-        sel[f"w{i}"] = (seg >= c) & (seg < d)
-    m = M.scored_metrics(des.df, des.target, fits, sel)
+        intercept, weights = G.solve(tr, model_type, alpha, 0.5, *G.scaler_from(tr)).raw()
+        rows += [(seg, i, float(intercept), [float(w) for w in weights]) for seg in range(c, d)]
+    fits = spark.createDataFrame(rows, "_seg int, _fid int, _b double, _w array<double>")
+    products = F.zip_with(F.array(*[F.col(f).cast("double") for f in des.features]), F.col("_w"), lambda x, w: x * w)
+    x = (des.df.withColumn("_seg", des.plan.seg_expr(des.date_col)).join(F.broadcast(fits), "_seg")
+         .withColumn("y_pred", F.col("_b") + F.aggregate(products, F.lit(0.0), lambda s, v: s + v))
+         .withColumn("y_true", F.col(des.target)))
+    m = {r["_fid"]: r.asDict() for r in regression_metrics(x, by=["_fid"]).collect()}
     out = []
     for i, (a, b, c, d) in enumerate(folds_pos):
-        r = m.get(f"w{i}", {})
+        r = m.get(i, {})
         r2 = r.get("r2") if (r.get("n") or 0) > 1 else None  # B26: no R2 on one row
         out.append({"window": i + 1, "train_end": des.plan.dates[b - 1], "test_start": des.plan.dates[c],
                     "test_end": des.plan.dates[d - 1], "n_test": r.get("n"), "mse": r.get("mse"),

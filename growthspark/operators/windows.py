@@ -155,7 +155,7 @@ def interpolate(df: DataFrame, c: str, method: str = "linear", creator="username
            else F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) if method == "time"
            else None)
     if pos is None:
-        raise ValueError("polynomial interpolation: use interpolate_polynomial")
+        raise ValueError(f"unknown interpolation method {method!r}: linear or time")
     tmp = df.withColumn("_ip", pos.cast("double"))
     have = F.col(c).isNotNull()
     tmp = (tmp.withColumn("_pv", F.last(F.when(have, F.col(c)), True).over(before))

@@ -212,9 +212,23 @@ def rp4(spark, sf):
     return R.residual_histogram(predictions(spark, sf), 30)
 
 
+@register("rp4s", doubles=("fitted", "residual", "standardized"),
+          sql=qp("SELECT username, date, p AS fitted, e AS residual, e / NULLIF(s, 0) AS standardized FROM pe, "
+                 "(SELECT STDDEV_POP(e) AS s FROM pe) z"))
+def rp4s(spark, sf):
+    """RP4 residual series by fitted value and by date."""
+    return R.residual_series(predictions(spark, sf))
+
+
+@register("rp5l")
+def rp5l(spark, sf):
+    """RP5 reference line of the residuals' Q-Q points (rows-only)."""
+    return R.qq_line(R.qq_points(predictions(spark, sf)))
+
+
 @register("rp5")
 def rp5(spark, sf):
-    """RP5 importance bars (ML12) and Q-Q points of the residuals (rows-only)."""
+    """RP5 Q-Q points of the residuals (rows-only; the importance bars are ML12, the interval series ML10)."""
     return R.qq_points(predictions(spark, sf))
 
 
@@ -280,10 +294,13 @@ def _avg_rank_sql(c):
               f"STDDEV_POP(ra_{j}), 0) AS correlation FROM rk" for i, a in enumerate(AG9_COLS)
               for j, b in enumerate(AG9_COLS)), "f1",
               extra=weekly_feature_ctes("f1") + ",\nrk AS (SELECT " + ", ".join(
-                  f"{_avg_rank_sql(c)} AS ra_{i}" for i, c in enumerate(AG9_COLS)) + " FROM wf)"))
+                  f"{_avg_rank_sql(c)} AS ra_{i}" for i, c in enumerate(AG9_COLS)) + " FROM (SELECT " + ", ".join(
+                  f"ROUND(CAST({c} AS DOUBLE), 9) AS {c}" for c in AG9_COLS) + " FROM wf) z)"))
 def ag9s(spark, sf):
-    """AG9 Spearman matrix: Pearson of distributed average ranks."""
-    return A.spearman_matrix(W.weekly_feature_table(FX.daily_metrics(spark, sf)), AG9_COLS, ["username", "week_start"])
+    """AG9 Spearman matrix: Pearson of distributed average ranks of values at 9 decimals (equal values tie)."""
+    w = W.weekly_feature_table(FX.daily_metrics(spark, sf))
+    w = w.select("username", "week_start", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in AG9_COLS])
+    return A.spearman_matrix(w, AG9_COLS, ["username", "week_start"])
 
 
 @register("ag10")
@@ -439,10 +456,10 @@ def sc5_stream(spark, sf):
           sql=q("SELECT username, week_start, " + ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in
                                                              ["posts", "reels", "stories", "growth", "follows", "unfollows",
                                                               "reach"]) +
-                " FROM dw WHERE week_start + 21 <= (SELECT MAX(date) FROM f2) GROUP BY username, week_start", "f2",
+                " FROM dw GROUP BY username, week_start", "f2",
                 extra=weekly_ctes("f2", sums=["posts"], means=[], followers=False, post_time=False)))
 def ag1_stream(spark, sf):
-    """AG1 weekly sums on a stream: 14-day watermark, Monday-aligned 7-day windows, append mode."""
+    """AG1 weekly sums on a stream: 14-day watermark, Monday-aligned 7-day windows; every week, open ones too."""
     d = FX.daily_dense(spark, sf)
     src = _scratch(spark, "daily_stream")
     d.write.parquet(src)

@@ -27,13 +27,40 @@ def chain(*ctes):
 
 @register("cl1", sql=q("SELECT username, date, seq, last_value(followers IGNORE NULLS) OVER (PARTITION BY username "
                        "ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS followers_filled "
-                       "FROM f3t WHERE date IS NOT NULL", "f3", extra=chain()))
+                       "FROM c1k", "f3", extra=chain(S.dedup("f3t", "c1k"))))
 def cl1(spark, sf):
-    """CL1 forward fill of followers per creator in date order (rows with a parsed date)."""
-    d = typed(spark, sf).where(F.col("date").isNotNull())
+    """CL1 forward fill of followers per creator in date order, on unique creator-days."""
+    d = CL.dedup_keys(typed(spark, sf))
     return d.select("username", "date", "seq", WN.forward_fill("followers").alias("followers_filled"))
 
 
+def damaged(spark, sf):
+    """Stand-in: typed F3 with the creator of every 59th original row's day blanked out as well."""
+    d = typed(spark, sf)
+    lost = F.pmod(F.datediff("date", F.lit("1995-01-01").cast("date")), F.lit(59)) == 0
+    return d.withColumn("username", F.when(F.coalesce(lost, F.lit(False)), F.lit(None)).otherwise(F.col("username")))
+
+
+DAMAGED_CTE = ("f3x AS (SELECT * REPLACE (CASE WHEN COALESCE(CAST(date - DATE '1995-01-01' AS BIGINT) % 59 = 0, FALSE) THEN NULL "
+               "ELSE username END AS username) FROM f3t)")
+
+
+@register("cl22q", sql=q("SELECT username, date, seq, concat_ws(', ', CASE WHEN username IS NULL THEN 'missing username' END, "
+                         "CASE WHEN date IS NULL THEN 'missing date' END) AS reason FROM f3x WHERE username IS NULL OR date IS NULL",
+                         "f3", extra=chain(DAMAGED_CTE)))
+def cl22q(spark, sf):
+    """CL22 quarantine: rows without creator or date, with the reason."""
+    return CL.quarantine(damaged(spark, sf))[1].select("username", "date", "seq", "reason")
+
+
+@register("cl22k", sql=q("SELECT username, date, seq, followers FROM k8", "f3",
+                         extra=chain(DAMAGED_CTE, S.dedup("f3x", "k8k"), S.missing("k8k", "k8"))))
+def cl22k(spark, sf):
+    """CL8 on damaged creators and dates: one row per complete creator-day, followers filled per creator only."""
+    d = CL.handle_missing_values(CL.dedup_keys(damaged(spark, sf)))
+    return d.select("username", "date", "seq", "followers")
+
+
 @register("cl2", sql=q("SELECT username, date, seq, COALESCE(posts, 0) AS posts, COALESCE(reels, 0) AS reels, "
                        "COALESCE(growth, 0) AS growth FROM f3t", "f3", extra=chain()))
 def cl2(spark, sf):
@@ -43,9 +70,10 @@ def cl2(spark, sf):
 
 
 @register("cl3", doubles=("engagement_rate", "avg_hashtag_count"),
-          sql=q("SELECT username, date, seq, COALESCE(engagement_rate, (SELECT AVG(engagement_rate) FROM f3t)) AS "
-                "engagement_rate, COALESCE(avg_hashtag_count, (SELECT AVG(avg_hashtag_count) FROM f3t)) AS "
-                "avg_hashtag_count FROM f3t", "f3", extra=chain()))
+          sql=q("SELECT username, date, seq, COALESCE(engagement_rate, m1) AS engagement_rate, "
+                "COALESCE(avg_hashtag_count, m2) AS avg_hashtag_count FROM f3m, (SELECT AVG(engagement_rate) AS m1, "
+                "AVG(avg_hashtag_count) AS m2 FROM f3m) m", "f3",
+                extra=chain("f3m AS MATERIALIZED (SELECT username, date, seq, engagement_rate, avg_hashtag_count FROM f3t)")))
 def cl3(spark, sf):
     """CL3 mean fill of rate columns (whole-table means inlined as literals)."""
     from ..functions.stats import attach_scope_stats

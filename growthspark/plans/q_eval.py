@@ -286,12 +286,13 @@ def kp13(spark, sf):
     return K.overall_score(predictions(spark, sf))
 
 
-@register("kp14", doubles=("overall_score",),
+@register("kp14", doubles=("overall_score", "r2", "directional_accuracy", "rmse", "mae"),
           sql=qp(f"SELECT overall_score, {_grade_sql('overall_score')} AS performance_grade, {RECS_SQL} AS "
-                 "recommendations FROM ov", extra=OVERALL_CTE))
+                 "recommendations, r2, directional_accuracy, rmse, mae FROM ov, (SELECT SQRT(AVG(e * e)) AS rmse, AVG(ae) AS mae FROM pe) k",
+                 extra=OVERALL_CTE))
 def kp14(spark, sf):
-    """KP14 KPI summary: score, grade and the joined rule recommendations."""
-    return K.overall_score(predictions(spark, sf)).select("overall_score", "performance_grade", "recommendations")
+    """KP14 KPI summary: score, grade, the joined rule recommendations and the key metrics."""
+    return K.kpi_summary(predictions(spark, sf))
 
 
 KP15_SQL = (
@@ -393,7 +394,7 @@ def dg6(spark, sf):
 
 @register("dg7")
 def dg7(spark, sf):
-    """DG7 Shapiro-Wilk per creator (groups proven <= 5000 rows; rows-only)."""
+    """DG7 Shapiro-Wilk per creator; creators whose size it is not defined for come with a status (rows-only)."""
     return D.shapiro_wilk_by(predictions(spark, sf), "username")
 
 
@@ -482,7 +483,7 @@ def dg14(spark, sf):
 @register("dg15")
 def dg15(spark, sf):
     """DG15 health score and recommendations (rows-only)."""
-    r = D.run_full_diagnostics(predictions(spark, sf))
+    r = D.run_full_diagnostics(predictions(spark, sf), M.build_design(model_frame(spark, sf), n_splits=None).total)
     return M.rows_to_df(spark, [{"overall_health_score": r["overall_health_score"],
                                  "recommendations": "; ".join(r["recommendations"])}])
 
@@ -490,7 +491,8 @@ def dg15(spark, sf):
 @register("dg16")
 def dg16(spark, sf):
     """DG16 run_full_diagnostics: all sections as JSON rows (rows-only)."""
-    r = D.run_full_diagnostics(predictions(spark, sf))
+    mf = model_frame(spark, sf)
+    r = D.run_full_diagnostics(predictions(spark, sf), M.build_design(mf, n_splits=None).total, features=mf.select(*MODEL_FEATURES))
     return M.rows_to_df(spark, [{"section": k, "value": json.dumps(v, default=str)} for k, v in r.items()])
 
 

@@ -8,7 +8,10 @@ with fixed coefficients or plain statistics have DuckDB oracles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -100,9 +103,8 @@ def ml6(spark, sf):
 def ml7(spark, sf):
     """ML7 regularisation facts: non-zero count, max, L1, L2, sparsity (rows-only)."""
     des = M.build_design(model_frame(spark, sf), n_splits=None)
-    rows = [{"model_type": mt, **M.fit_on_design(des, mt, 1.0, validate=False).regularization_info()}
-            for mt in ("ridge", "lasso", "elasticnet")]
-    return M.rows_to_df(spark, rows)
+    return reduce(DataFrame.unionByName, [M.fit_on_design(des, mt, 1.0, validate=False).regularization_info(spark)
+                                          for mt in ("ridge", "lasso", "elasticnet")])
 
 
 @register("ml8")
@@ -237,8 +239,7 @@ def _cv(spark, sf):
 @register("cv3")
 def cv3(spark, sf):
     """CV3 summary: mean, std, min, max, CV, 95 % interval, train scores, overfitting (rows-only)."""
-    s = _cv(spark, sf)["summary"]
-    return M.rows_to_df(spark, [{"metric": k, **v} for k, v in s.items()])
+    return _cv(spark, sf)["summary"]
 
 
 @register("cv4")
@@ -250,26 +251,25 @@ def cv4(spark, sf):
 @register("cv5")
 def cv5(spark, sf):
     """CV5 stability per metric and overall assessment (rows-only)."""
-    s = _cv(spark, sf)["stability"]
-    return M.rows_to_df(spark, [{"metric": k, **v} for k, v in s.items()])
+    return _cv(spark, sf)["stability"]
 
 
 @register("cv6")
 def cv6(spark, sf):
     """CV6 coefficient consistency over folds (rows-only)."""
-    return M.rows_to_df(spark, _cv(spark, sf)["coefficient_consistency"])
+    return _cv(spark, sf)["coefficient_consistency"]
 
 
 @register("cv7")
 def cv7(spark, sf):
     """CV7 trend of fold scores, best and worst fold (rows-only)."""
-    return M.rows_to_df(spark, [_cv(spark, sf)["temporal"]])
+    return _cv(spark, sf)["temporal"]
 
 
 @register("cv8")
 def cv8(spark, sf):
-    """CV8 walk-forward validation: refit every 26 weeks after the first 156 (rows-only)."""
-    return M.rows_to_df(spark, V.walk_forward_validation(model_frame(spark, sf), 156, 26))
+    """CV8 walk-forward validation: refit before every week after the first 156 (rows-only)."""
+    return M.rows_to_df(spark, V.walk_forward_validation(model_frame(spark, sf), 156))
 
 
 @register("cv9")
@@ -339,9 +339,7 @@ def fs3(spark, sf):
 def fs4(spark, sf):
     """FS4 filter analysis: population variance and |r| with the target per feature."""
     des = M.build_design(model_frame(spark, sf), n_splits=None)
-    a = S.filter_selection(des.total, 10)["feature_analysis"]
-    return spark.createDataFrame([(r["feature"], r["variance"], r["target_correlation"]) for r in a],
-                                 "feature string, variance double, target_correlation double")
+    return S.filter_selection(spark, des.total, 10).select("feature", "variance", "target_correlation")
 
 
 @register("fs5")

@@ -24,10 +24,10 @@ def typed(src: str = "f3", name: str = "f3t") -> str:
 
 
 def dedup(src: str, name: str) -> str:
-    """Last row per key: largest seq, then the largest row (NULL smallest), column by column."""
+    """Last row per complete key: largest seq, then the largest row (NULL smallest), column by column."""
     order = ", ".join(["seq DESC"] + [f"{c} DESC NULLS LAST" for c in F3_COLUMNS if c not in ("username", "date")])
     return (f"{name} AS (SELECT * EXCLUDE (_rn) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY username, date "
-            f"ORDER BY {order}) AS _rn FROM {src}) x WHERE _rn = 1)")
+            f"ORDER BY {order}) AS _rn FROM {src} WHERE username IS NOT NULL AND date IS NOT NULL) x WHERE _rn = 1)")
 
 
 def missing(src: str, name: str) -> str:

@@ -3,8 +3,8 @@
 The engine never uses ``localCheckpoint`` (lost with an executor) nor a
 machine-local scratch folder on a cluster: lineage is cut with
 ``DataFrame.checkpoint()`` into the shared folder named by
-``spark.checkpoint.dir``.  Only when that setting is absent (tests, a laptop)
-do we pick a folder ourselves.
+``spark.checkpoint.dir``.  Only in local mode without that setting (tests, a
+laptop) do we pick a folder ourselves; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -24,32 +24,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # reliable checkpoints are removed once their DataFrame is garbage collected
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    # statistics tables joined to big tables are one row per scope key; the
-    # size bound is checked by ``stats.broadcast_if_small`` before hinting.
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict:
-    """Settings for a large cluster run, sized from the input volume.
-
-    Shuffle partitions start at input / 256 MB (AQE then coalesces small
-    ones and splits skewed ones); scans split files at 256 MB; a broadcast
-    is never planned implicitly beyond 64 MB (the engine inlines its one-row
-    statistics as literals and broadcasts nothing else).
-    """
-    parts = max(200, int(input_bytes // target_partition_bytes))
-    return {
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    }
-
-
 def get_spark(master: str | None = None, app: str = "growthspark",
               shuffle_partitions: int | None = None,
               conf: dict | None = None) -> SparkSession:
@@ -78,8 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not named:
-        # unset: only happens outside a cluster (tests); a fresh scratch dir
-        named = tempfile.mkdtemp(prefix="growthspark-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="growthspark-ckpt-")  # tests, a laptop: one machine
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 

@@ -5,8 +5,13 @@
   request rows: one codegen stage, no state.
 * ``weekly_stream`` -- AG1's weekly sums on a stream of daily rows with an
   event-time watermark and 7-day tumbling windows starting on Mondays
-  (``startTime='4 days'``: 1970-01-01 was a Thursday); append mode emits a
-  creator-week once the watermark passes its end.
+  (``startTime='4 days'``: 1970-01-01 was a Thursday).  Append mode writes a
+  creator-week to the sink once the watermark passes its end; the weeks still
+  open are summed from the source when the result is read, so that every week
+  is there.
+
+The sinks are Parquet folders below the shared folder: nothing is kept on the
+driver.
 
 Both run with ``trigger(availableNow=True)`` in batch-like jobs and tests; a
 real deployment uses a processing-time trigger and a checkpoint location in
@@ -22,34 +27,43 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import score as SC
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 
 def _checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
 
 
+def _append(df: DataFrame, name: str) -> str:
+    """Run the stream to the end of what has arrived; returns the folder of its sink."""
+    path = scratch_path(df.sparkSession, f"sinks/{name}")
+    q = (df.writeStream.format("parquet").option("path", path).outputMode("append")
+         .option("checkpointLocation", _checkpoint(df.sparkSession, name)).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return path
+
+
 def score_stream(spark: SparkSession, source_path: str, schema, model, sink_name: str) -> DataFrame:
     """Score every request row arriving under ``source_path``; returns the sink as a DataFrame."""
     src = spark.readStream.schema(schema).parquet(source_path)
     scored = SC.predict_batch(src, model)
-    q = (scored.writeStream.format("memory").queryName(sink_name).outputMode("append")
-         .option("checkpointLocation", _checkpoint(spark, sink_name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(sink_name)
+    return spark.read.schema(scored.schema).parquet(_append(scored, sink_name))
 
 
 def weekly_stream(spark: SparkSession, source_path: str, schema, sink_name: str, watermark: str = "14 days",
                   creator: str = "username") -> DataFrame:
-    """Watermarked weekly sums per creator on a stream of daily rows."""
-    src = spark.readStream.schema(schema).parquet(source_path)
-    ts = F.col("date").cast("timestamp")
+    """Weekly sums per creator on a stream of daily rows: the closed weeks of the sink and the open ones."""
     sums = [c for c in C.WEEKLY_SUM_COLUMNS if c in schema.fieldNames()]
-    w = (src.withColumn("_ts", ts).withWatermark("_ts", watermark)
-         .groupBy(creator, F.window("_ts", "7 days", startTime="4 days").alias("wk"))
-         .agg(*[F.sum(c).cast("long").alias(c) for c in sums]))
-    out = w.select(creator, F.to_date(F.col("wk.start")).alias("week_start"), *sums)
-    q = (out.writeStream.format("memory").queryName(sink_name).outputMode("append")
-         .option("checkpointLocation", _checkpoint(spark, sink_name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(sink_name)
+
+    def weekly(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy(creator, F.window("_ts", "7 days", startTime="4 days").alias("wk"))
+                .agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+                .select(creator, F.to_date(F.col("wk.start")).alias("week_start"), *sums))
+
+    stamped = lambda rows: rows.withColumn("_ts", F.col("date").cast("timestamp"))
+    out = weekly(stamped(spark.readStream.schema(schema).parquet(source_path)).withWatermark("_ts", watermark))
+    closed = spark.read.schema(out.schema).parquet(_append(out, sink_name))
+    last = closed.agg(F.max("week_start").alias("w")).first()["w"]  # weeks close in order
+    source = stamped(spark.read.schema(schema).parquet(source_path))
+    late = source if last is None else source.where(F.col("date") >= F.date_add(F.lit(last), 7))
+    return closed.unionByName(weekly(late))
