@@ -8,17 +8,19 @@ Exact quantiles at scale
 Spark's ``percentile`` keeps a value->count map per group; over a whole
 100 TB column of doubles that map is as big as the column and is merged in
 one task.  For whole-table scope we therefore run an exact *distributed
-selection*: the columns are melted into (column, value) pairs; each pass is
-one Spark aggregate that histograms the values of every still-open target
-into ``B`` equal-width buckets (count, min, max per bucket); the driver keeps
-the bucket holding the wanted rank and narrows to its [min, max].  Once an
-interval holds at most ``TASK_MAX`` values (or one distinct value) a window
-``row_number`` partitioned by interval ranks them and only the wanted ranks
-come back.  The driver only ever sees ``targets x B`` histogram rows and the
-wanted order statistics; no task sorts more than ``TASK_MAX`` values.
-Linear interpolation between order statistics ``floor(h)`` and ``ceil(h)``,
-``h = (n-1) p`` (numpy / pandas / Spark ``percentile`` / DuckDB
-``quantile_cont`` all agree).
+selection* over (column, value) pairs, which are never stored: narrow code
+whatever the number of columns.  One aggregate per column gives its count,
+range and an approximate bracket around each wanted quantile; a second one
+counts exactly what lies below and inside the brackets; a third pass ships only
+the values inside them, and a window ``row_number`` per bracket returns the
+wanted ranks.
+A bracket that holds more than ``TASK_MAX`` values is first narrowed by
+histogram passes (``B`` equal-width buckets each); a bracket that misses its
+rank is widened to the column's range.  The driver only ever sees brackets,
+histogram rows and the wanted order statistics; no task sorts more than
+``TASK_MAX`` values.  Linear interpolation between order statistics
+``floor(h)`` and ``ceil(h)``, ``h = (n-1) p`` (numpy / pandas / Spark
+``percentile`` / DuckDB ``quantile_cont`` all agree).
 
 Per-creator scope uses Spark's ``percentile`` per group: a group is one
 creator's history (one row per day), bounded by the calendar.
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1024
+BRACKET = 0.002        # half width of an approximate bracket, as a share of the rows
+ACCURACY = 2000        # of the approximate percentiles: error 1 / ACCURACY, well inside BRACKET
 TASK_MAX = 5_000_000  # values one task may sort in the final selection step
 
 
@@ -94,120 +98,126 @@ def _ranks(n: int, p: float):
     return h, lo, min(hi, n - 1)
 
 
+_PROBE = "ci int, pid int, lo double, hi double"
+
+
 def _long_form(df: DataFrame, cols: list[str]) -> DataFrame:
-    items = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    return (df.select(F.explode(items).alias("x"))
-              .select("x.ci", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v")))
+    """(ci, v): the non-missing values of the columns, infinities included."""
+    items = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    return df.select(F.explode(items).alias("x")).select("x.ci", "x.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+
 
+def _probed(long: DataFrame, probes: list[tuple]) -> DataFrame:
+    """Every value beside each probe of its column (a handful of rows, as many as were asked for)."""
+    table = long.sparkSession.createDataFrame([(ci, j, float(lo), float(hi)) for j, (ci, lo, hi, *_) in enumerate(probes)], _PROBE)
+    return long.join(F.broadcast(table), "ci")
 
-def exact_order_statistics(long: DataFrame, wanted: dict[int, set], first: dict[int, tuple]) -> dict:
-    """k-th smallest values (0-based) per column index, by distributed selection.
 
-    ``long``: (ci, v) pairs without NULL/NaN; ``wanted``: column index -> set
-    of ranks; ``first``: column index -> (count, min, max).  Returns
-    {(ci, k): value}.  A round is one job: intervals holding at most
-    ``TASK_MAX`` values are ranked by a window partitioned per interval (only
-    the wanted ranks come back); larger ones are histogrammed and narrowed.
+def exact_order_statistics(long: DataFrame, probes: list[tuple]) -> dict:
+    """k-th smallest finite values by distributed selection.
+
+    A probe is (column index, lo, hi, values below lo, values inside, wanted
+    0-based ranks).  Returns {(column index, k): value}.  A round is one job:
+    intervals holding at most ``TASK_MAX`` values are ranked by a window
+    partitioned per interval (only the wanted ranks come back); larger ones
+    are histogrammed and narrowed to the bucket of the rank.
     """
     spark = long.sparkSession
-    # probe = (ci, lo, hi, below, n_inside, ranks)
-    probes = []
-    for ci, ks in wanted.items():
-        n, lo, hi = first[ci]
-        if not n:
-            continue
-        probes.append((ci, float(lo), float(hi), 0, int(n), sorted(ks)))
     result: dict = {}
-    schema = T.StructType([T.StructField("ci", T.IntegerType()), T.StructField("pid", T.IntegerType()),
-                           T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())])
     while True:  # every pass shrinks each open interval to one bucket's own smallest and largest value
-        open_probes = []
-        for pr in probes:
-            ci, lo, hi, below, n_in, ks = pr
-            if lo == hi:  # one distinct value left: no data needed
-                for k in ks:
-                    result[(ci, k)] = lo
-            else:
-                open_probes.append(pr)
-        probes = open_probes
+        result |= {(ci, k): lo for ci, lo, hi, _, _, ks in probes if lo == hi for k in ks}  # one value left
+        probes = [pr for pr in probes if pr[1] != pr[2]]
         if not probes:
-            break
-        ptab = spark.createDataFrame([(pr[0], j, pr[1], pr[2]) for j, pr in enumerate(probes)], schema)
-        hits = long.join(F.broadcast(ptab), "ci").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+            return result
+        hits = _probed(long, probes).where(F.col("v").between(F.col("lo"), F.col("hi")))
         small = [j for j, pr in enumerate(probes) if pr[4] <= TASK_MAX]
         big = [j for j, pr in enumerate(probes) if pr[4] > TASK_MAX]
         if small:
-            want = spark.createDataFrame(
-                [(j, k - probes[j][3], k) for j in small for k in probes[j][5]],
-                "pid int, rn int, k int")
+            want = spark.createDataFrame([(j, k - probes[j][3], k) for j in small for k in probes[j][5]], "pid int, rn int, k int")
             ranked = (hits.where(F.col("pid").isin(small))
-                          .withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("v")) - 1))
+                      .withColumn("rn", F.row_number().over(Window.partitionBy("pid").orderBy("v")) - 1))
             for r in ranked.join(F.broadcast(want), ["pid", "rn"]).select("pid", "k", "v").collect():
                 result[(probes[r["pid"]][0], r["k"])] = r["v"]
         if not big:
-            probes = []
-            break
+            return result
         # halves: the width of an interval may exceed the largest double
         share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        bucket = F.least(F.floor(share * BUCKETS),
-                         F.lit(BUCKETS - 1)).cast("int")
-        hist = (hits.where(F.col("pid").isin(big)).withColumn("b", bucket)
-                    .groupBy("pid", "b").agg(F.count("*").alias("n"), F.min("v").alias("mn"),
-                                             F.max("v").alias("mx")).collect())
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        hist = (hits.where(F.col("pid").isin(big)).withColumn("b", bucket).groupBy("pid", "b")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
         per: dict = {}
         for r in hist:
             per.setdefault(r["pid"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
         nxt = []
         for j in big:
-            ci, lo, hi, below, n_in, ks = probes[j]
-            cum = below
-            for b, n, mn, mx in sorted(per.get(j, [])):
+            ci, _, _, cum, _, ks = probes[j]
+            for _, n, mn, mx in sorted(per.get(j, [])):
                 inside = [k for k in ks if cum <= k < cum + n]
                 if inside:
                     nxt.append((ci, float(mn), float(mx), cum, int(n), inside))
                 cum += n
         probes = nxt
-    return result
+
+
+def _brackets(long: DataFrame, targets: dict[tuple, set], ends: dict) -> list[tuple]:
+    """Probes for {(column index, p): ranks}: approximate brackets with exact counts, the whole range where they miss."""
+    cells = [(ci, *ends[ci]["around"][p], sorted(ks)) for (ci, p), ks in targets.items()]
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    counts = {r["pid"]: r for r in _probed(long, cells).groupBy("pid").agg(
+        F.count(F.when(v < lo, 1)).alias("below"), F.count(F.when(v.between(lo, hi), 1)).alias("inside")).collect()}
+    probes = []
+    for j, (ci, lo, hi, ks) in enumerate(cells):
+        below, inside = counts[j]["below"], counts[j]["inside"]
+        caught = [k for k in ks if below <= k < below + inside]
+        if caught:
+            probes.append((ci, lo, hi, below, inside, caught))
+        if len(caught) < len(ks):
+            probes.append((ci, ends[ci]["mn"], ends[ci]["mx"], 0, ends[ci]["n"], [k for k in ks if k not in caught]))
+    return probes
 
 
 def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
     """{name: (column, p)} -> {name: (a, b, frac)} with quantile = a + frac (b - a).
 
     ``a``/``b`` are the bracketing order statistics, so a caller can apply a
-    monotone map (e.g. a clip) before interpolating.  None if no value.
-    The columns are melted once into (ci, v) pairs; count/min/max come from
-    a ``groupBy(ci)`` (narrow codegen whatever the number of columns).
+    monotone map (e.g. a clip) before interpolating.  None if no value.  NULL
+    and NaN do not count; infinities stand at the ends.
     """
     cols = sorted({c for c, _ in specs.values()})
     if not cols:
         return {}
+    inf = math.inf
     idx = {c: i for i, c in enumerate(cols)}
     long = _long_form(df.select(*[F.col(c) for c in cols]), cols)
-    inf = float("inf")
+    ps = sorted({float(p) for _, p in specs.values()})
+    around = [min(1.0, max(0.0, p + d)) for p in ps for d in (-BRACKET, BRACKET)]
     finite = F.when(F.abs("v") < inf, F.col("v"))
-    first, ends = {i: (0, None, None) for i in range(len(cols))}, {i: (0, 0) for i in range(len(cols))}
-    for r in long.groupBy("ci").agg(F.count(finite).alias("n"), F.min(finite).alias("mn"), F.max(finite).alias("mx"),
-                                    F.count(F.when(F.col("v") == -inf, 1)).alias("low"),
-                                    F.count(F.when(F.col("v") == inf, 1)).alias("high")).collect():
-        first[r["ci"]], ends[r["ci"]] = (r["n"], r["mn"], r["mx"]), (r["low"], r["high"])
-    wanted: dict = {}
+    ends = {i: {"n": 0, "low": 0, "high": 0} for i in range(len(cols))}
+    for r in long.groupBy("ci").agg(
+            F.count(finite).alias("n"), F.min(finite).alias("mn"), F.max(finite).alias("mx"),
+            F.count(F.when(F.col("v") == -inf, 1)).alias("low"), F.count(F.when(F.col("v") == inf, 1)).alias("high"),
+            F.percentile_approx(finite, around, ACCURACY).alias("q")).collect():
+        q = r["q"] or []
+        ends[r["ci"]] = {**r.asDict(), "around": dict(zip(ps, zip(q[::2], q[1::2])))}
+    targets: dict = {}
     plan, got = {}, {}
     for name, (c, p) in specs.items():
-        ci = idx[c]
-        (n, _, _), (low, high) = first[ci], ends[ci]
+        ci, p = idx[c], float(p)
+        n, low, high = (ends[ci][k] for k in ("n", "low", "high"))
         if not n + low + high:
             plan[name] = None
             continue
-        h, lo, hi = _ranks(n + low + high, float(p))
+        h, lo, hi = _ranks(n + low + high, p)
         for k in (lo, hi):  # infinities stand at the ends; only ranks between them need a search
             if k < low or k >= low + n:
                 got[(ci, k)] = -inf if k < low else inf
             else:
-                wanted.setdefault(ci, set()).add(k - low)
+                targets.setdefault((ci, p), set()).add(k - low)
         plan[name] = (ci, h, lo, hi)
-    found = exact_order_statistics(long.where(F.abs("v") < inf), wanted, first) if wanted else {}
-    got |= {(ci, k + ends[ci][0]): v for (ci, k), v in found.items()}
+    if targets:
+        numbers = long.where(F.abs("v") < inf)
+        found = exact_order_statistics(numbers, _brackets(numbers, targets, ends))
+        got |= {(ci, k + ends[ci]["low"]): v for (ci, k), v in found.items()}
     return {name: (None if pl is None else (got[(pl[0], pl[2])], got[(pl[0], pl[3])], pl[1] - pl[2]))
             for name, pl in plan.items()}
 
@@ -234,28 +244,6 @@ def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,
     return row.asDict()
 
 
-def scoped_quantiles(df: DataFrame, specs: dict[str, tuple], scope) -> DataFrame:
-    """Per-scope exact quantiles with Spark's ``percentile`` (bounded groups)."""
-    return df.groupBy(*scope).agg(*[F.percentile(F.col(c).cast("double"), float(p)).alias(n)
-                                    for n, (c, p) in specs.items()])
-
-
-def attach_quantiles(df: DataFrame, specs: dict[str, tuple], scope=(), exact: bool = True) -> DataFrame:
-    """Add quantile columns: literals for whole-table scope, a join per scope."""
-    scope = list(scope or ())
-    if not scope:
-        vals = global_quantiles(df, specs, exact=exact)
-        out = df
-        for n, v in vals.items():
-            out = out.withColumn(n, F.lit(v).cast("double"))
-        return out
-    w = Window.partitionBy(*scope)
-    out = df
-    for n, (c, p) in specs.items():
-        out = out.withColumn(n, F.percentile(F.col(c).cast("double"), float(p)).over(w))
-    return out
-
-
 # ---------------------------------------------------------------------------
 # correlation (T2: never raises, zero variance -> NULL)
 # ---------------------------------------------------------------------------

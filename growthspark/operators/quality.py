@@ -146,6 +146,11 @@ def validate_data_integrity(df: DataFrame, reference: DataFrame | None = None,
 
 
 # DQ11 -----------------------------------------------------------------------
+def business_ranges() -> dict:
+    """{column: (lowest, highest)} of the business bounds; no upper bound is a very large one."""
+    return {c: (lo, 1e18 if hi is None else hi) for c, lo, hi in C.RANGE_CONSTRAINTS}
+
+
 def validate_raw_data_schema(df: DataFrame, ranges: dict | None = None) -> DataFrame:
     """DQ1 + DQ2-5 (B3: explicit range rules) -> issue rows; valid = no issue."""
     th = C.DATA_QUALITY_THRESHOLDS

@@ -22,7 +22,7 @@ from ..sources import io as IO
 
 def path_a(raw: DataFrame, frequency: str = "weekly") -> tuple[DataFrame, DataFrame]:
     """Validate (issue table) and clean raw rows, then build model-ready features."""
-    issues = Q.validate_raw_data_schema(raw)
+    issues = Q.validate_raw_data_schema(raw, Q.business_ranges())
     cleaned, _ = CL.clean_raw_data(raw)
     return FE.transform_to_model_ready(cleaned, frequency), issues
 
@@ -43,9 +43,10 @@ def predictions_of(model: M.GrowthModel, features: DataFrame) -> DataFrame:
 def path_b(features: DataFrame, model_type: str = "linear") -> dict:
     """Fit with time folds, score, and evaluate (KPIs long table + diagnostics dict)."""
     model = M.fit_model(features, model_type)
-    pred = predictions_of(model, features).persist()
-    out = {"model": model, "kpis": K.all_kpis(pred), "diagnostics": D.run_full_diagnostics(pred)}
-    return out
+    pred = predictions_of(model, features)  # both evaluators checkpoint it
+    gram = M.build_design(features, n_splits=None).total
+    return {"model": model, "kpis": K.all_kpis(pred),
+            "diagnostics": D.run_full_diagnostics(pred, gram, features=features.select(*model.features))}
 
 
 def retrain(spark: SparkSession, raw_path: str, model_path: str, model_type: str = "linear",

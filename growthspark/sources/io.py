@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
-from ..operators import clean as CL
 from ..operators import quality as Q
 
 ZONES = ("raw", "interim", "processed", "external")
@@ -44,20 +43,38 @@ def get_data_path(root: str, data_type: str, filename: str | None = None) -> str
     return os.path.join(root, data_type, filename or DEFAULT_FILES[data_type])
 
 
-def versions(spark: SparkSession, path: str) -> list[str]:
-    """Version folders below ``path`` (binaryFile listing; no content read)."""
-    try:
-        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                 .select("path").collect())
-    except Exception:  # noqa: BLE001 - nothing written yet
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop file system, path object): listings of one folder, in any store Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """(name, is a folder) of what stands directly in ``path``; empty if it does not exist."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
         return []
-    vs = set()
-    for r in files:
-        p = r["path"]
-        i = p.find("/v=")
-        if i >= 0:
-            vs.add(p[: p.find("/", i + 1)] if p.find("/", i + 1) > 0 else p)
-    return sorted(vs)
+    return sorted((x.getPath().getName(), x.isDirectory()) for x in fs.listStatus(p))
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """A folder's writer has committed it: ``_SUCCESS`` in it, or in every folder of it."""
+    found = children(spark, path)
+    if any(name == "_SUCCESS" for name, _ in found):
+        return True
+    inner = [name for name, folder in found if folder]
+    return bool(inner) and all(finished(spark, os.path.join(path, name)) for name in inner)
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Finished version folders of ``path``, oldest first: one listing, no data file is looked at."""
+    names = [name for name, folder in children(spark, path) if folder and name.startswith("v=")]
+    return [v for v in (os.path.join(path, n) for n in names) if finished(spark, v)]
 
 
 def current_version(spark: SparkSession, path: str) -> str:
@@ -66,8 +83,13 @@ def current_version(spark: SparkSession, path: str) -> str:
 
 
 # SRC1 -----------------------------------------------------------------------
-def load_raw_data(spark: SparkSession, path: str, validate: bool = True, date_format: str = "d-M-yyyy"):
-    """CSV with header -> typed frame; returns (frame or None if invalid, issues, bad_dates)."""
+def load_raw_data(spark: SparkSession, path: str, validate: bool = True, date_format: str = "d-M-yyyy",
+                  ranges: dict | None = None):
+    """CSV with header -> typed frame; returns (frame or None if invalid, issues, bad_dates).
+
+    ``ranges``: {column: (lowest, highest)} for DQ5; None takes the business
+    bounds of ``RANGE_CONSTRAINTS``.
+    """
     # read every column as text and type it by *name* (a CSV schema would bind by position)
     text = spark.read.option("header", True).csv(path)
     kinds = {f.name: f.dataType for f in raw_schema().fields}
@@ -83,7 +105,7 @@ def load_raw_data(spark: SparkSession, path: str, validate: bool = True, date_fo
     df = text.select(*sel).withColumn("date", F.to_date(F.try_to_timestamp(F.trim("date"), F.lit(date_format))))
     bad_dates = (text.select(F.to_date(F.try_to_timestamp(F.trim("date"), F.lit(date_format))).alias("d"), "date")
                  .where(F.col("d").isNull() & F.col("date").isNotNull()).count())
-    issues = Q.validate_raw_data_schema(df) if validate else None
+    issues = Q.validate_raw_data_schema(df, Q.business_ranges() if ranges is None else ranges) if validate else None
     if validate and Q.verdict(issues).collect()[0]["is_valid"] is False:
         return None, issues, bad_dates
     return df, issues, bad_dates
@@ -102,10 +124,9 @@ def load_processed_data(spark: SparkSession, path: str, feature_set: str = "full
 # SRC3 -----------------------------------------------------------------------
 def load_external_data(spark: SparkSession, path: str):
     """Benchmark / competitor table (CSV, inferred schema); missing path -> None."""
-    try:
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
-    except Exception:  # noqa: BLE001
+    if not exists(spark, path):
         return None
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
 # SRC4 / SNK2 ----------------------------------------------------------------
@@ -193,23 +214,6 @@ def load_model(spark: SparkSession, path: str):
 
 # CAT1 -----------------------------------------------------------------------
 def list_available_datasets(spark: SparkSession, root: str) -> DataFrame:
-    """Dataset names per zone from a path listing (binaryFile, content not read)."""
-    parts = []
-    for z in ZONES:
-        p = os.path.join(root, z)
-        try:
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select("path")
-            files.limit(1).collect()
-        except Exception:  # noqa: BLE001 - zone folder absent
-            continue
-        parts.append(files.select(F.lit(z).alias("zone"),
-                                  F.regexp_extract("path", f"/{z}/([^/]+)", 1).alias("dataset")).distinct())
-    if not parts:
-        return spark.createDataFrame([], "zone string, dataset string")
-    from functools import reduce
-    return reduce(DataFrame.unionByName, parts)
-
-
-def typed_raw(df: DataFrame) -> DataFrame:
-    """Type a raw text frame the way the cleaning step does (FN7)."""
-    return CL.fix_data_types(df)[0]
+    """Dataset names per zone: one folder listing each."""
+    rows = [(z, name) for z in ZONES for name, _ in children(spark, os.path.join(root, z)) if not name.startswith(("_", "."))]
+    return spark.createDataFrame(rows, "zone string, dataset string")

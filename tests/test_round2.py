@@ -177,3 +177,36 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_only_finished_versions_count(spark, tmp_path):
+    from growthspark.sources import io as IO
+    root = str(tmp_path / "data")
+    assert IO.versions(spark, root) == [] and IO.load_external_data(spark, root) is None
+    first = IO.save_dataframe(spark.range(3).toDF("x"), root)
+    (tmp_path / "data" / "v=9999999999999").mkdir()  # a writer that has not committed
+    assert IO.versions(spark, root) == [first] and IO.current_version(spark, root) == first
+
+
+def test_loader_checks_business_ranges(spark, tmp_path):
+    from growthspark.sources import io as IO
+    path = str(tmp_path / "raw.csv")
+    column, low, _ = next(r for r in C.RANGE_CONSTRAINTS if r[0] in C.INT_COLUMNS)
+    rows = [(f"u{i}", f"{i % 27 + 1:02d}-01-2024", -5 if i == 0 else 5) for i in range(60)]
+    spark.createDataFrame(rows, f"username string, date string, {column} long").coalesce(1).write.option("header", True).csv(path)
+    _, issues, _ = IO.load_raw_data(spark, path)
+    assert low <= 5 and issues.where("is_issue").where(f"column_name = '{column}'").count() >= 1
+
+
+def test_retraining_job(spark, tmp_path, sf):
+    from growthspark.plans import composed
+    from growthspark.sources import fixtures as FX
+    daily = FX.daily_metrics(spark, sf)
+    raw = str(tmp_path / "raw")
+    from pyspark.sql import functions as F
+    daily.withColumn("date", F.date_format("date", "dd-MM-yyyy")).write.option("header", True).csv(raw)
+    first = composed.retrain(spark, raw, str(tmp_path / "model"))
+    again = composed.retrain(spark, raw, str(tmp_path / "model"))
+    assert first["drift"] is None and first["bad_dates"] == 0
+    drift = again["drift"].collect()
+    assert len(drift) == 4 and all(abs(r["relative_change"]) < 1e-9 and not r["drift_detected"] for r in drift)
