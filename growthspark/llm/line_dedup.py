@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"), F.array_sort(F.collect_set("first_id")).alias("first_ids"))
     per_doc = stage(per_doc, "cuts").select(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark"), "cuts", "first_ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(text_col).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left").select(
+    # the same join at every size: the cuts grow with the corpus, so they are never broadcast
+    joined = rows.join(per_doc.hint("merge"), F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("mark") == F.col("cut_mark")), "left").select(
         "doc_id", "text", "cuts", "first_ids")
 
     def run(batches):
