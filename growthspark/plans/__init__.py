@@ -10,6 +10,7 @@ QUERY_MODULES = [
     "q_clean",
     "q_features",
     "q_models",
+    "q_validate",
     "q_eval",
     "q_apps",
 ]
