@@ -2,7 +2,7 @@
 
 Equal vectors are compared once, with their count.  Centroids are fitted on a
 bounded sample; every vector is then put into the cell of its nearest centroid
-and, as a guest, into each cell whose border is nearer than ``margin``.  Inside
+and, as a guest, into each cell whose border is nearer than a margin.  Inside
 a cell, residents are compared with residents and guests, block by block, so
 the links of a vector are all counted in its own cell.
 """
@@ -11,17 +11,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from growthspark.llm.common import components, local_roots, stage
 
-SAMPLE = 8192       # vectors the centroids are fitted on
-CELL_ROWS = 2048    # vectors per cell aimed at
-MAX_CELLS = 512     # centroids, at most; they travel with the task code
-MARGIN = 0.1        # sine of the angle to a border within which a vector is also a guest beyond it
-BLOCK = 2048        # vectors of one side of a block product
-MEMBERS = "id long, weight long, embedding array<double>, cell int, home boolean, block int"
+SAMPLE = 32768      # vectors the centroids are fitted on, at most
+SAMPLE_PER_CELL = 32  # and for each centroid
+CELL_ROWS = 256     # vectors per cell aimed at
+MAX_CELLS = 2048    # centroids of one dimension, at most; they travel with the task code
+DIMENSIONS = 8      # dimensions that get centroids of their own (the commonest)
+REACH = 2.0         # margin in typical steps of a link across a border
+BLOCK = 4096        # vectors of one side of a block product
+ODD = 1024          # cells that vectors of all other dimensions are dealt into
 
 
 def unit(col: pa.Array, dim: int) -> np.ndarray:
@@ -40,8 +43,10 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     for _ in range(rounds):
         sims = x @ c.T
         own = sims.argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        filled, first = np.unique(own[order], return_index=True)
         sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
+        sums[filled] = np.add.reduceat(x[order], first, axis=0)
         norm = np.sqrt((sums * sums).sum(axis=1))
         worst = np.argsort(sims.max(axis=1))
         for i, j in enumerate(np.flatnonzero(norm < 1e-12)):
@@ -56,8 +61,14 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return groups.select(F.monotonically_increasing_id().alias("id"), "least_id", "weight", F.size("embedding").alias("dim"), "embedding")
 
 
-def _assign(centroids: dict[int, np.ndarray], base: dict[int, int], margin: float):
-    """Rows of each cell a vector lives in or visits; other dimensions get one cell each, below zero."""
+def typical_margin(least: float, dim: int) -> float:
+    """Sine of the angle to a border that a link at ``least`` spans: one of ``dim`` directions of its step, times REACH."""
+    step = np.sqrt(max(0.0, 1 - least * least))
+    return float(min(step, REACH * step / np.sqrt(dim)))
+
+
+def _assign(centroids: dict[int, np.ndarray], base: dict[int, int], margins: dict[int, float]):
+    """Rows of each cell a vector lives in or visits; cells of the dimensions without centroids are below zero."""
 
     def run(batches):
         for batch in batches:
@@ -66,21 +77,21 @@ def _assign(centroids: dict[int, np.ndarray], base: dict[int, int], margin: floa
                 part = batch.filter(pa.array(dims == dim))
                 n = part.num_rows
                 if dim not in centroids:
-                    at, cell, home = np.arange(n), np.full(n, -dim), np.ones(n, bool)
+                    at, cell, home = np.arange(n), np.full(n, -1 - dim % ODD), np.ones(n, bool)
                 else:
                     c = centroids[dim]
                     sims = unit(part.column("embedding"), dim) @ c.T
                     own = sims.argmax(axis=1)
                     gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-300))
-                    near = sims[np.arange(n), own][:, None] - sims <= margin * gap[own]
+                    near = sims[np.arange(n), own][:, None] - sims <= margins[dim] * gap[own]
                     near[np.arange(n), own] = True
                     at, cell = np.nonzero(near)
                     home = cell == own[at]
                     cell = cell + base[dim]
                 got = part.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [got.column("id"), got.column("weight"), got.column("embedding"), pa.array(cell, pa.int32()), pa.array(home)],
-                    names=["id", "weight", "embedding", "cell", "home"])
+                    [got.column("id"), got.column("weight"), got.column("dim"), got.column("embedding"), pa.array(cell, pa.int32()), pa.array(home)],
+                    names=["id", "weight", "dim", "embedding", "cell", "home"])
 
     return run
 
@@ -90,6 +101,8 @@ def _compare(least: float):
 
     def run(table: pa.Table) -> pa.Table:
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        if not pa.compute.any(table.column("home")).as_py():
+            return table.select(["id", "id", "weight"]).rename_columns(["a", "b", "links"]).slice(0, 0)
         block, home = table.column("block").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
         ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
         dim = len(table.column("embedding")[0])
@@ -114,7 +127,7 @@ def _compare(least: float):
     return run
 
 
-def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float = MARGIN, cell_rows: int = CELL_ROWS,
+def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float | None = None, cell_rows: int = CELL_ROWS,
                      block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Groups of vectors linked by cosine >= ``least``: vec_id, n_links, component_id, kept.
 
@@ -123,8 +136,9 @@ def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float = MA
     vectors of different dimension never link.  Equal vectors link with each
     other.  Repeated rows (same id and vector) are separate rows that link.
     Pairs below ``least`` never link; a pair across a cell border is missed
-    only if it spans more than ``margin`` there (``margin`` = sine of the
-    angle of ``least`` makes that impossible, at the cost of more guests).
+    only if it spans more than ``margin`` there, as the sine of an angle (None:
+    :func:`typical_margin`; the sine of the angle of ``least`` makes misses
+    impossible, at the cost of more guests).
     Extra columns are ignored; empty input gives no rows.
     """
     spark = vectors.sparkSession
@@ -134,26 +148,28 @@ def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float = MA
     plus_zero = F.transform(v, lambda e: e + F.lit(0.0))  # -0.0 and 0.0 are one value
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), plus_zero.alias("embedding"), usable.alias("usable"))
     unique = stage(distinct_vectors(rows), "vectors")
-    counts = {r["dim"]: r["n"] for r in unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(16).collect()}
-    sample = unique.orderBy(F.xxhash64("id")).limit(SAMPLE).select("dim", "embedding").toArrow()
-    centroids, base, next_cell = {}, {}, 0
-    for dim, n in counts.items():  # dimensions the sample holds too few of have one cell
-        part = sample.filter(pa.array(sample.column("dim").to_numpy() == dim))
-        k = min(-(-n // cell_rows), MAX_CELLS, part.num_rows // 8)
-        if k >= 2:
-            centroids[dim], base[dim] = spherical_kmeans(unit(part.column("embedding"), dim), k), next_cell
-            next_cell += k
+    common = unique.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(DIMENSIONS).collect()
+    centroids, base, margins, next_cell = {}, {}, {}, 0
+    for r in common:  # a dimension of few vectors needs no cells
+        dim, k = r["dim"], min(-(-r["n"] // cell_rows), MAX_CELLS)
+        if k < 2:
+            continue
+        sample = unique.where(F.col("dim") == dim).orderBy(F.xxhash64("embedding")).limit(min(SAMPLE, SAMPLE_PER_CELL * k)).select("embedding").toArrow()
+        centroids[dim], base[dim] = spherical_kmeans(unit(sample.column("embedding"), dim), k), next_cell
+        margins[dim] = typical_margin(least, dim) if margin is None else margin
+        next_cell += k
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     dealt = stage(unique.select("id", "weight", "dim", "embedding").mapInArrow(
-        _assign(centroids, base, margin), "id long, weight long, embedding array<double>, cell int, home boolean"), "cells")
+        _assign(centroids, base, margins), "id long, weight long, dim int, embedding array<double>, cell int, home boolean"), "cells")
     sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = dealt.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # at most DIMENSIONS * MAX_CELLS + ODD rows
+    members = dealt.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     as_member = F.transform(every, lambda i: F.struct(i.alias("bi"), F.col("block").alias("bj")))
     as_resident = F.transform(F.filter(every, lambda j: j != F.col("block")), lambda j: F.struct(F.col("block").alias("bi"), j.alias("bj")))
-    placed = members.select("id", "weight", "embedding", "cell", "home", "block", F.explode(
+    placed = members.select("id", "weight", "dim", "embedding", "cell", "home", "block", F.explode(
         F.when(F.col("home"), F.concat(as_member, as_resident)).otherwise(as_member)).alias("p")).select("*", "p.bi", "p.bj").drop("p")
-    found = stage(placed.groupBy("cell", "bi", "bj").applyInArrow(_compare(least), "a long, b long, links long"), "found")
+    found = stage(placed.groupBy("cell", "dim", "bi", "bj").applyInArrow(_compare(least), "a long, b long, links long"), "found")
     links = found.where("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comps = stage(components(found.where("links = 0").select("a", "b").distinct()), "vector_components")
     members = comps.join(unique.select(F.col("id").alias("node"), "least_id"), "node")
