@@ -246,3 +246,12 @@ DIAGNOSTIC_ADVICE = (
     ("degraded", "Model performance is degrading over time - consider retraining"),
 )
 DIAGNOSTIC_ALL_GOOD = "Model diagnostics look good"
+
+# KPI advice: SQL conditions over the overall-score row, and sentences (fixed values)
+KPI_ADVICE = (
+    ("r2 < 0.7", "Consider feature engineering to improve R² score"),
+    ("mape > 30", "High MAPE indicates need for better feature selection"),
+    ("directional_accuracy < 75", "Improve directional accuracy for better decision support"),
+    ("not stable", "Model showing instability over time - consider retraining"),
+)
+KPI_ALL_GOOD = "KPI performance looks good"

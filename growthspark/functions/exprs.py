@@ -10,6 +10,7 @@ Conventions
 * NULL, never NaN, marks a missing value (ingest turns NaN into NULL).
 * Divisions never raise under ANSI mode: ``try_divide`` or a guard.
 * Rounding for parity with numpy uses ``rint`` on scaled doubles (half to even).
+* Output column names, date formats and suffix thresholds are fixed values.
 """
 
 from __future__ import annotations

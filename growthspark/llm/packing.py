@@ -24,7 +24,7 @@ from growthspark.llm.common import small_batches, stage
 from growthspark.llm.pieces import PieceEncoder, to_letters
 
 WINDOW = 2048
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 QUERY_TERMS = 16      # terms of a seed that count most in its query
 K1, B = 1.2, 0.75     # the usual BM25 parameters
 SEPARATOR = 1         # closes every document
@@ -36,11 +36,18 @@ def load(path: str) -> PieceEncoder:
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-    return PieceEncoder(lambda p: [t.id for t in model.tokenize(to_letters(p))], special, keep_space=True)
+    encoder = PieceEncoder(lambda p: [t.id for t in model.tokenize(to_letters(p))], special, keep_space=True)
+    encoder.vocabulary = 1 + max(*tokenizer.get_vocab(with_added_tokens=True).values(), SEPARATOR)
+    return encoder
+
+
+def width(encoder: PieceEncoder) -> str:
+    """Type the ids travel in: two bytes where the vocabulary allows."""
+    return "<u2" if encoder.vocabulary <= 1 << 16 else "<u4"
 
 
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n, crc, ids): token ids (little-endian unsigned 32-bit) with the separator at the end.
+    """Rows (doc_id, n, crc, ids): token ids (little-endian, see :func:`width`) with the separator at the end.
 
     Besides them, each partition yields rows with ``df`` set: the number of
     its documents that hold each token id.
@@ -53,7 +60,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             ids, off = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             n = np.diff(off) + 1
-            flat = np.insert(ids, off[1:], SEPARATOR).astype("<u4")
+            flat = np.insert(ids, off[1:], SEPARATOR).astype(width(encoder))
             ends = np.cumsum(n)
             parts = [flat[e - k:e] for e, k in zip(ends, n)]
             seen = np.concatenate([np.unique(p) for p in parts]) if parts else np.zeros(0, np.int64)
@@ -79,28 +86,29 @@ class Index:
 
     def __init__(self, ids: np.ndarray, off: np.ndarray, idf: np.ndarray, mean: float):
         n = len(off) - 1
-        size = np.diff(off)
-        doc = np.repeat(np.arange(n, dtype=np.int32), size)
-        narrow = ids.astype(np.uint16) if len(idf) <= 1 << 16 else ids
-        order = np.argsort(narrow, kind="stable")  # by term; documents ascend within
-        term, doc = narrow[order], doc[order]
-        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])))
-        tf = np.diff(np.append(first, len(term)))
+        size = np.diff(off).astype(np.int32)
+        narrow = ids.astype(np.uint16, copy=False) if len(idf) <= 1 << 16 else ids
+        order = np.argsort(narrow, kind="stable")  # by term, documents ascending within; 16 bits sort in linear time
+        term, doc = narrow[order], np.repeat(np.arange(n, dtype=np.int32), size)[order]
+        del order
+        new = np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))
+        first = np.flatnonzero(new).astype(np.int32)
+        tf = np.diff(np.append(first, len(term))).astype(np.float32)
         self.doc, term = doc[first], term[first]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / mean))
-        self.weight = weight.astype(np.float32)
+        del doc, new, first
+        long = (K1 * (1 - B + B * size / mean)).astype(np.float32)
+        self.weight = idf.astype(np.float32)[term] * (tf * np.float32(K1 + 1) / (tf + long[self.doc]))
         starts = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
         stops = np.append(starts[1:], len(term))
-        of = np.repeat(np.arange(len(starts)), stops - starts)
+        of = np.repeat(np.arange(len(starts), dtype=np.int32), stops - starts)
         self.starts, self.stops, self.n = starts, stops, n
         # the terms of a document that others have too, heaviest first: its query
-        shared = np.flatnonzero((stops - starts)[of] > 1)
+        shared = np.flatnonzero((stops - starts)[of] > 1).astype(np.int32)
         by = shared[np.lexsort((of[shared], -self.weight[shared], self.doc[shared]))]
-        at = np.searchsorted(self.doc[by], np.arange(n + 1))
-        rank = np.arange(len(by)) - at[self.doc[by]]
-        keep = rank < QUERY_TERMS
-        self.query_term = of[by][keep]
-        self.query_at = np.concatenate(([0], np.cumsum(np.bincount(self.doc[by][keep], minlength=n))))
+        owner = self.doc[by]
+        keep = np.arange(len(by)) - np.searchsorted(owner, np.arange(n))[owner] < QUERY_TERMS
+        self.query_term = of[by[keep]]
+        self.query_at = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=n))))
 
     def neighbours(self, seed: int, free: np.ndarray):
         """Unused documents with a positive score, best first (ties: first in order)."""
@@ -176,7 +184,7 @@ def pack(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, window: i
     """Pack all documents into sequences of at most ``window`` tokens.
 
     Returns one row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset, ids (the piece's tokens).  A null or empty text is the
+    sequence_id, offset, ids (the piece's tokens, little-endian unsigned 32-bit).  A null or empty text is the
     separator alone.  Documents of any length are cut at window ends only, and
     in the last window of a shard at powers of two.  Documents of a shard stand
     by doc_id, then length and checksum of their tokens, so the result does not
@@ -186,26 +194,27 @@ def pack(docs: DataFrame, path: str, shard_tokens: int = SHARD_TOKENS, window: i
     tokens = stage(tokenise(docs, path, id_col, text_col), "tokens")
     rows = tokens.where("df is null").select("doc_id", "n", "crc", "ids")
     total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    vocab = load(path)  # on the driver only to size the table of document frequencies
-    top = max([*vocab.specials.values(), SEPARATOR]) + 1
+    encoder = load(path)  # on the driver only for the size of the vocabulary
+    kind = width(encoder)
     counts = (tokens.where("df is not null").select(F.posexplode("df").alias("term", "k")).where("k > 0")
               .groupBy("term").agg(F.sum("k").alias("df")).collect())  # one row per vocabulary entry at most
-    idf = np.zeros(max([top, *(r["term"] + 1 for r in counts)]))
+    idf = np.zeros(encoder.vocabulary)
     for r in counts:
         idf[r["term"]] = np.log1p((total["docs"] - r["df"] + 0.5) / (r["df"] + 0.5))
     mean = total["tokens"] / max(1, total["docs"])
     shards = max(1, round(total["tokens"] / shard_tokens))
 
     def run(key, table):
+        load.cache_clear()  # the worker's encoder is not needed any more
         shard = key[0].as_py()
         table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("crc", "ascending")])
         blobs = table.column("ids").to_pylist()
         off = np.concatenate(([0], np.cumsum(table.column("n").to_numpy())))
-        ids = np.frombuffer(b"".join(blobs), "<u4")
+        ids = np.frombuffer(b"".join(blobs), kind)
         cut = pack_shard(ids, off, idf, mean, window)
         own = np.array([p[0] for p in cut], np.int64)
         start, length, seq, at = (np.array([p[k] for p in cut], np.int64) for k in (1, 2, 3, 4))
-        shown = [blobs[d][4 * s:4 * (s + k)] for d, s, k, _, _ in cut]
+        shown = [ids[off[d] + s:off[d] + s + k].astype("<u4").tobytes() for d, s, k, _, _ in cut]
         return pa.table({
             "doc_id": table.column("doc_id").combine_chunks().take(pa.array(own)), "start": start, "length": length,
             "ids_crc32": pa.array([zlib.crc32(b) for b in shown], pa.int64()), "doc_tokens": table.column("n").to_numpy()[own],

@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 CHUNK = 1 << 19        # code points handled at once
-CACHE_PIECES = 1 << 20  # the cache is emptied beyond this
+CACHE_PIECES = 1 << 19  # the cache is emptied beyond this
 HASHED = 64            # longer pieces are encoded without the cache
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3

@@ -294,13 +294,8 @@ def overall_score(pred: DataFrame, with_dates: bool = True) -> DataFrame:
     score = (0.4 * _clip01((F.col("r2") + 1) / 2) + 0.3 * (F.col("directional_accuracy") / 100)
              + 0.2 * _clip01(F.col("prediction_consistency")) + 0.1 * temporal)
     out = parts.withColumn("overall_score", score).withColumn("performance_grade", grade_expr(F.col("overall_score")))
-    recs = F.array_compact(F.array(
-        F.when(F.col("r2") < 0.7, F.lit("Consider feature engineering to improve R² score")),
-        F.when(F.col("mape") > 30, F.lit("High MAPE indicates need for better feature selection")),
-        F.when(F.col("directional_accuracy") < 75, F.lit("Improve directional accuracy for better decision support")),
-        F.when(F.col("stable") == F.lit(False), F.lit("Model showing instability over time - consider retraining"))))
-    return out.withColumn("recommendations", F.when(F.size(recs) > 0, F.concat_ws("; ", recs))
-                          .otherwise(F.lit("KPI performance looks good")))
+    recs = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(text)) for c, text in C.KPI_ADVICE]))
+    return out.withColumn("recommendations", F.when(F.size(recs) > 0, F.concat_ws("; ", recs)).otherwise(F.lit(C.KPI_ALL_GOOD)))
 
 
 # KP15 / JN3 -----------------------------------------------------------------
