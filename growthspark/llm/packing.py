@@ -46,11 +46,6 @@ def width(encoder: PieceEncoder) -> str:
     return "<u2" if encoder.vocabulary <= 1 << 16 else "<u4"
 
 
-def width(encoder: PieceEncoder) -> str:
-    """Type the ids travel in: two bytes where the vocabulary allows."""
-    return "<u2" if encoder.vocabulary <= 1 << 16 else "<u4"
-
-
 def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n, crc, ids): token ids (little-endian, see :func:`width`) with the separator at the end.
 
