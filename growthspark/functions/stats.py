@@ -9,11 +9,11 @@ Spark's ``percentile`` keeps a value->count map per group; over a whole
 100 TB column of doubles that map is as big as the column and is merged in
 one task.  For whole-table scope we therefore run an exact *distributed
 selection* over (column, value) pairs, which are never stored: narrow code
-whatever the number of columns.  One aggregate per column gives its count,
-range and an approximate bracket around each wanted quantile; a second one
-counts exactly what lies below and inside the brackets; a third pass ships only
-the values inside them, and a window ``row_number`` per bracket returns the
-wanted ranks.
+whatever the number of columns.  One aggregate per column gives its count and
+range.  An interval that holds at most ``TASK_MAX`` values is ranked by a window
+``row_number``; for a column with more, an approximate bracket around each
+wanted quantile is taken, what lies below and inside it is counted exactly, and
+only the values inside are shipped and ranked.
 A bracket that holds more than ``TASK_MAX`` values is first narrowed by
 histogram passes (``B`` equal-width buckets each); a bracket that misses its
 rank is widened to the column's range.  The driver only ever sees brackets,
@@ -161,18 +161,27 @@ def exact_order_statistics(long: DataFrame, probes: list[tuple]) -> dict:
 
 def _brackets(long: DataFrame, targets: dict[tuple, set], ends: dict) -> list[tuple]:
     """Probes for {(column index, p): ranks}: approximate brackets with exact counts, the whole range where they miss."""
-    cells = [(ci, *ends[ci]["around"][p], sorted(ks)) for (ci, p), ks in targets.items()]
+    whole = lambda ci, ks: (ci, ends[ci]["mn"], ends[ci]["mx"], 0, ends[ci]["n"], sorted(ks))
+    probes = [whole(ci, ks) for (ci, _), ks in targets.items() if ends[ci]["n"] <= TASK_MAX]  # one task can rank these as they are
+    large = {t: ks for t, ks in targets.items() if ends[t[0]]["n"] > TASK_MAX}
+    if not large:
+        return probes
+    ps = sorted({p for _, p in large})
+    around = [min(1.0, max(0.0, p + d)) for p in ps for d in (-BRACKET, BRACKET)]
+    near = {r["ci"]: dict(zip(ps, zip(r["q"][::2], r["q"][1::2]))) for r in
+            long.where(F.col("ci").isin(sorted({ci for ci, _ in large}))).groupBy("ci")
+            .agg(F.percentile_approx("v", around, ACCURACY).alias("q")).collect()}
+    cells = [(ci, *near[ci][p], sorted(ks)) for (ci, p), ks in large.items()]
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     counts = {r["pid"]: r for r in _probed(long, cells).groupBy("pid").agg(
         F.count(F.when(v < lo, 1)).alias("below"), F.count(F.when(v.between(lo, hi), 1)).alias("inside")).collect()}
-    probes = []
     for j, (ci, lo, hi, ks) in enumerate(cells):
         below, inside = counts[j]["below"], counts[j]["inside"]
         caught = [k for k in ks if below <= k < below + inside]
         if caught:
             probes.append((ci, lo, hi, below, inside, caught))
         if len(caught) < len(ks):
-            probes.append((ci, ends[ci]["mn"], ends[ci]["mx"], 0, ends[ci]["n"], [k for k in ks if k not in caught]))
+            probes.append(whole(ci, [k for k in ks if k not in caught]))
     return probes
 
 
@@ -189,16 +198,12 @@ def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
     inf = math.inf
     idx = {c: i for i, c in enumerate(cols)}
     long = _long_form(df.select(*[F.col(c) for c in cols]), cols)
-    ps = sorted({float(p) for _, p in specs.values()})
-    around = [min(1.0, max(0.0, p + d)) for p in ps for d in (-BRACKET, BRACKET)]
     finite = F.when(F.abs("v") < inf, F.col("v"))
     ends = {i: {"n": 0, "low": 0, "high": 0} for i in range(len(cols))}
     for r in long.groupBy("ci").agg(
             F.count(finite).alias("n"), F.min(finite).alias("mn"), F.max(finite).alias("mx"),
-            F.count(F.when(F.col("v") == -inf, 1)).alias("low"), F.count(F.when(F.col("v") == inf, 1)).alias("high"),
-            F.percentile_approx(finite, around, ACCURACY).alias("q")).collect():
-        q = r["q"] or []
-        ends[r["ci"]] = {**r.asDict(), "around": dict(zip(ps, zip(q[::2], q[1::2])))}
+            F.count(F.when(F.col("v") == -inf, 1)).alias("low"), F.count(F.when(F.col("v") == inf, 1)).alias("high")).collect():
+        ends[r["ci"]] = r.asDict()
     targets: dict = {}
     plan, got = {}, {}
     for name, (c, p) in specs.items():

@@ -350,9 +350,9 @@ def smooth_follower_jumps(df: DataFrame, creator: str = "username", order: str =
 
     changed = F.aggregate(F.col("_xs"), first, step)["changed"]
     g = g.select("_xs", F.map_from_entries(changed).alias("_new"))
-    z = g.select("_new", F.posexplode("_xs").alias("_at", "x"))
-    out = z.select(*[F.col(f"x._r.{c}").alias(c) for c in cols],
-                   F.coalesce(F.try_element_at(F.col("_new"), F.col("_at")), F.col("x._f")).alias("_sf"))
+    smoothed = F.transform("_xs", lambda x, i: F.coalesce(F.try_element_at(F.col("_new"), i), x["_f"]))
+    z = g.select(F.explode(F.arrays_zip(F.col("_xs").alias("x"), smoothed.alias("s"))).alias("z"))
+    out = z.select(*[F.col(f"z.x._r.{c}").alias(c) for c in cols], F.col("z.s").alias("_sf"))
     sf = F.col("_sf")
     if isinstance(ftype, INTEGRAL):
         sf = F.rint(sf)
