@@ -2,9 +2,9 @@
 
 Equal vectors are compared once, with their count.  Centroids are fitted on a
 bounded sample; every vector is then put into the cell of its nearest centroid
-and, as a guest, into each cell whose border is nearer than a margin.  Inside
-a cell, residents are compared with residents and guests, block by block, so
-the links of a vector are all counted in its own cell.
+and, as a guest, into each cell whose border is nearer than a margin that no link
+can span.  Inside a cell, residents are compared with residents and guests,
+block by block, so the links of a vector are all counted in its own cell.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ from growthspark.llm.common import components, local_roots, stage
 
 SAMPLE = 32768      # vectors the centroids are fitted on, at most
 SAMPLE_PER_CELL = 32  # and for each centroid
-CELL_ROWS = 256     # vectors per cell aimed at
+CELL_ROWS = 4096    # vectors per cell aimed at: few cells, as every one near enough gets a copy of a vector
 MAX_CELLS = 2048    # centroids of one dimension, at most; they travel with the task code
 DIMENSIONS = 8      # dimensions that get centroids of their own (the commonest)
-REACH = 2.0         # margin in typical steps of a link across a border
 BLOCK = 4096        # vectors of one side of a block product
 ODD = 1024          # cells that vectors of all other dimensions are dealt into
 
@@ -61,10 +60,14 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return groups.select(F.monotonically_increasing_id().alias("id"), "least_id", "weight", F.size("embedding").alias("dim"), "embedding")
 
 
-def typical_margin(least: float, dim: int) -> float:
-    """Sine of the angle to a border that a link at ``least`` spans: one of ``dim`` directions of its step, times REACH."""
-    step = np.sqrt(max(0.0, 1 - least * least))
-    return float(min(step, REACH * step / np.sqrt(dim)))
+def exact_margin(least: float) -> float:
+    """Sine of the largest angle of a link: no link at ``least`` spans more across a border.
+
+    For x and y at angle t, and centroids c and e with y nearest to e:
+    x.(c - e) <= cos(t) y.(c - e) + sin(t) |c - e|, whose first term is not
+    positive while cos(t) >= 0; a negative ``least`` lets every vector visit.
+    """
+    return 1.0 if least <= 0 else float(np.sqrt(max(0.0, 1 - least * least))) + 1e-9
 
 
 def _assign(centroids: dict[int, np.ndarray], base: dict[int, int], margins: dict[int, float]):
@@ -97,31 +100,39 @@ def _assign(centroids: dict[int, np.ndarray], base: dict[int, int], margins: dic
 
 
 def _compare(least: float):
-    """Residents of block bi against members of block bj of one cell: link counts, and spanning links."""
+    """Residents (left) of block bi against members of block bj of one cell: link counts, and spanning links."""
 
     def run(table: pa.Table) -> pa.Table:
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        if not pa.compute.any(table.column("home")).as_py():
-            return table.select(["id", "id", "weight"]).rename_columns(["a", "b", "links"]).slice(0, 0)
-        block, home = table.column("block").to_numpy(), table.column("home").to_numpy(zero_copy_only=False)
+        is_left = table.column("left").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
         dim = len(table.column("embedding")[0])
         x = unit(table.column("embedding"), dim)
-        left, right = np.flatnonzero(home & (block == bi)), np.flatnonzero(block == bj)
-        count, a, b = np.zeros(len(left), np.int64), [], []
+        short = x.astype(np.float32)
+        other = short[right].T
+        bar = least - 2.0 ** -22 * (dim + 8)  # single precision errs by less
+        a, b = [], []
         for k in range(0, len(left), 512):
-            near = x[left[k:k + 512]] @ x[right].T >= least
-            near &= ids[left[k:k + 512]][:, None] != ids[right][None, :]
-            count[k:k + 512] = near @ weight[right]
-            i, j = np.nonzero(near)
-            a.append(left[k:k + 512][i])
-            b.append(right[j])
+            i, j = np.nonzero(short[left[k:k + 512]] @ other >= bar)
+            i, j = left[k + i], right[j]
+            other_id = ids[i] != ids[j]
+            i, j = i[other_id], j[other_id]
+            for m in range(0, len(i), 65536):  # what may link is told in double precision
+                p, q = i[m:m + 65536], j[m:m + 65536]
+                near = np.einsum("nd,nd->n", x[p], x[q]) >= least
+                a.append(p[near])
+                b.append(q[near])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        root = local_roots(len(ids), a, b)
-        own = np.flatnonzero(root != np.arange(len(ids)))
+        count = np.zeros(len(ids), np.int64)
+        np.add.at(count, a, weight[b])
+        _, one = np.unique(ids, return_inverse=True)  # a resident may stand on both sides
+        first = np.zeros(one.max() + 1, np.int64)
+        first[one] = ids
+        root = local_roots(len(first), one[a], one[b])
+        own = np.flatnonzero(root != np.arange(len(first)))
         hit = np.flatnonzero(count)
         return pa.table({
-            "a": np.concatenate((ids[left[hit]], ids[own])), "b": np.concatenate((ids[left[hit]], ids[root[own]])),
+            "a": np.concatenate((ids[hit], first[own])), "b": np.concatenate((ids[hit], first[root[own]])),
             "links": np.concatenate((count[hit], np.zeros(len(own), np.int64)))})
 
     return run
@@ -135,10 +146,10 @@ def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float | No
     components, link with nothing (n_links 0, their own component, kept), and
     vectors of different dimension never link.  Equal vectors link with each
     other.  Repeated rows (same id and vector) are separate rows that link.
-    Pairs below ``least`` never link; a pair across a cell border is missed
-    only if it spans more than ``margin`` there, as the sine of an angle (None:
-    :func:`typical_margin`; the sine of the angle of ``least`` makes misses
-    impossible, at the cost of more guests).
+    Pairs below ``least`` never link; all others do and count at both ends.
+    ``margin`` is the sine of the angle up to which a vector visits cells
+    across their borders (None: :func:`exact_margin`, with which no link is
+    missed; with a smaller one links across borders may be).
     Extra columns are ignored; empty input gives no rows.
     """
     spark = vectors.sparkSession
@@ -156,19 +167,21 @@ def embedding_groups(vectors: DataFrame, least: float = 0.95, margin: float | No
             continue
         sample = unique.where(F.col("dim") == dim).orderBy(F.xxhash64("embedding")).limit(min(SAMPLE, SAMPLE_PER_CELL * k)).select("embedding").toArrow()
         centroids[dim], base[dim] = spherical_kmeans(unit(sample.column("embedding"), dim), k), next_cell
-        margins[dim] = typical_margin(least, dim) if margin is None else margin
+        margins[dim] = exact_margin(least) if margin is None else margin
         next_cell += k
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     dealt = stage(unique.select("id", "weight", "dim", "embedding").mapInArrow(
         _assign(centroids, base, margins), "id long, weight long, dim int, embedding array<double>, cell int, home boolean"), "cells")
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    sizes = dealt.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / block).cast("int").alias("lefts"),
+                                      F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rights"))
     # at most DIMENSIONS * MAX_CELLS + ODD rows
-    members = dealt.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_member = F.transform(every, lambda i: F.struct(i.alias("bi"), F.col("block").alias("bj")))
-    as_resident = F.transform(F.filter(every, lambda j: j != F.col("block")), lambda j: F.struct(F.col("block").alias("bi"), j.alias("bj")))
-    placed = members.select("id", "weight", "dim", "embedding", "cell", "home", "block", F.explode(
-        F.when(F.col("home"), F.concat(as_member, as_resident)).otherwise(as_member)).alias("p")).select("*", "p.bi", "p.bj").drop("p")
+    members = dealt.join(F.broadcast(sizes.where("lefts > 0")), "cell")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    pair = lambda i, j, left: F.struct(i.alias("bi"), j.alias("bj"), F.lit(left).alias("left"))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("lefts") - 1), lambda i: pair(i, at("rights"), False))
+    as_resident = F.transform(F.sequence(F.lit(0), F.col("rights") - 1), lambda j: pair(at("lefts"), j, True))
+    placed = members.select("id", "weight", "dim", "embedding", "cell", F.explode(
+        F.when(F.col("home"), F.concat(as_member, as_resident)).otherwise(as_member)).alias("p")).select("*", "p.bi", "p.bj", "p.left").drop("p")
     found = stage(placed.groupBy("cell", "dim", "bi", "bj").applyInArrow(_compare(least), "a long, b long, links long"), "found")
     links = found.where("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     comps = stage(components(found.where("links = 0").select("a", "b").distinct()), "vector_components")

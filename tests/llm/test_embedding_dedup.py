@@ -56,6 +56,26 @@ def test_recall_of_many_cells(spark):
     assert 0.9 * want <= got <= want
 
 
+def test_all_links_of_few_effective_dimensions(spark):
+    """Vectors of 8 effective dimensions of 64, in many cells: every link counts at both ends."""
+    rng = np.random.default_rng(5)
+    plane = np.linalg.qr(rng.normal(size=(64, 8)))[0].T
+    low = rng.normal(size=(2000, 8))
+    low /= np.linalg.norm(low, axis=1)[:, None]
+    for i in range(0, 2000, 2):  # pairs at cosine .951 to .99
+        u = rng.normal(size=8)
+        u -= (u @ low[i]) * low[i]
+        c = rng.uniform(0.951, 0.99)
+        low[i + 1] = c * low[i] + np.sqrt(1 - c * c) * u / np.linalg.norm(u)
+    x = low @ plane
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    least = components(len(x), np.argwhere(near).tolist())
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {g["vec_id"]: (g["n_links"], g["component_id"]) for g in collect(ed.embedding_groups(df, 0.95, cell_rows=32))}
+    assert got == {i: (int(near[i].sum()), least[i]) for i in range(len(x))}
+
+
 def test_empty(spark):
     _, df = table(spark, n=9)
     assert ed.embedding_groups(df.limit(0)).count() == 0
