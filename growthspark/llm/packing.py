@@ -25,7 +25,8 @@ from growthspark.llm.pieces import PieceEncoder, to_letters
 
 WINDOW = 2048
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 16      # terms of a seed that count most in its query
+QUERY_TERMS = None    # a seed's query is not cut: all its terms count
+DENSE = 16            # a term that more than one in so many documents of a shard hold has a row of all their weights
 K1, B = 1.2, 0.75     # the usual BM25 parameters
 SEPARATOR = 1         # closes every document
 
@@ -82,7 +83,7 @@ def tokenise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 class Index:
-    """BM25 inverted index of a shard: postings by term, and each document's heaviest terms."""
+    """BM25 inverted index of a shard: postings by term (rows of weights for common terms), and each document's terms."""
 
     def __init__(self, ids: np.ndarray, off: np.ndarray, idf: np.ndarray, mean: float):
         n = len(off) - 1
@@ -102,20 +103,29 @@ class Index:
         stops = np.append(starts[1:], len(term))
         of = np.repeat(np.arange(len(starts), dtype=np.int32), stops - starts)
         self.starts, self.stops, self.n = starts, stops, n
-        # the terms of a document that others have too, heaviest first: its query
-        shared = np.flatnonzero((stops - starts)[of] > 1).astype(np.int32)
-        by = shared[np.lexsort((of[shared], -self.weight[shared], self.doc[shared]))]
-        owner = self.doc[by]
-        keep = np.arange(len(by)) - np.searchsorted(owner, np.arange(n))[owner] < QUERY_TERMS
-        self.query_term = of[by[keep]]
-        self.query_at = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=n))))
+        df = stops - starts
+        common = np.flatnonzero(df > max(1, n // DENSE))  # at most DENSE weights for each posting
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        held = np.flatnonzero(self.row[of] >= 0)
+        self.rows[self.row[of[held]], self.doc[held]] = self.weight[held]
+        # the terms of a document that others have too: its query
+        shared = np.flatnonzero(df[of] > 1).astype(np.int32)
+        by = shared[np.argsort(self.doc[shared], kind="stable")]
+        self.query_term = of[by]
+        self.query_at = np.concatenate(([0], np.cumsum(np.bincount(self.doc[by], minlength=n))))
 
     def neighbours(self, seed: int, free: np.ndarray):
         """Unused documents with a positive score, best first (ties: first in order)."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.query_term[self.query_at[seed]:self.query_at[seed + 1]].tolist():
-            s, e = self.starts[t], self.stops[t]
-            score[self.doc[s:e]] += self.weight[s:e]
+        terms = self.query_term[self.query_at[seed]:self.query_at[seed + 1]]
+        row = self.row[terms]
+        score = self.rows[row[row >= 0]].sum(axis=0)
+        rare = terms[row < 0]
+        if len(rare):
+            s, k = self.starts[rare], self.stops[rare] - self.starts[rare]
+            at = np.arange(k.sum()) + np.repeat(s - np.cumsum(k) + k, k)
+            score += np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
         score *= free
         want = 16
         if self.n > want:  # the few best will do nearly always

@@ -147,3 +147,27 @@ def test_neighbours_are_bm25():
         got = list(index.neighbours(seed, free))
         assert set(got) == {d for d, s in score.items() if s > 0}
         assert all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_every_term_of_a_seed_counts():
+    """Long seeds, neighbours that share only light terms with them: against BM25 over all terms."""
+    rng = np.random.default_rng(1)
+    docs = [np.concatenate((np.repeat(np.arange(100), 9), np.arange(200, 500))), np.repeat(np.arange(100), 9)]  # heavy terms are theirs alone
+    docs += [rng.choice(np.arange(200, 500), rng.integers(1, 40)) for _ in range(98)]
+    n = len(docs)
+    off = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    ids = np.concatenate(docs).astype(np.uint32)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=500)
+    idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), len(ids) / n
+    index = packing.Index(ids, off, idf, mean)
+    tf = np.array([np.bincount(d, minlength=500) for d in docs])
+    long = packing.K1 * (1 - packing.B + packing.B * tf.sum(axis=1, keepdims=True) / mean)
+    weight = idf * tf * (packing.K1 + 1) / (tf + long)
+    for seed in range(n):
+        score = weight[:, tf[seed] > 0].sum(axis=1)
+        score[seed] = 0
+        free = np.ones(n, np.float32)
+        free[seed] = 0
+        got = list(index.neighbours(seed, free))
+        assert set(got) == set(np.flatnonzero(score).tolist())
+        assert all(score[a] >= score[b] - 1e-3 for a, b in zip(got, got[1:]))
