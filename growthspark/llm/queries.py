@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthspark.llm import bpe, chat_format, embedding_dedup, exact_dedup, line_dedup, packing, quality, sharding, simhash, warc
+from growthspark.llm import (
+    bpe, chat_format, embedding_dedup, exact_dedup, filter_audit, line_dedup, packing, prefix_trie, quality, sharding, simhash, topk_search, warc)
 from growthspark.llm.common import new_path, stage
 
 
@@ -118,7 +119,106 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(_table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows of highest integer inner product for every embedding whose id 50 divides."""
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS ints
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.at, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.ints, c.ints) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.at <> c.at AND len(q.ints) = len(c.ints) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of every order of five filters over all documents, per language, with Shapley values."""
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), m AS (
+  SELECT part, {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+                'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+                'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)} AS f,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM t LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), c AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY part, f),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT p.c || q.c || r.c || s.c || t.c AS filter_order FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.c, q.c, r.c, s.c, t.c])) = 5
+), k AS (
+  SELECT c.*, filter_order, step, substr(filter_order, step, 1) AS letter,
+         list_transform(string_split(filter_order, ''), lambda x: CASE x WHEN 'A' THEN f['A'] WHEN 'B' THEN f['B'] WHEN 'C' THEN f['C'] WHEN 'D' THEN f['D'] ELSE f['E'] END) AS hits
+  FROM c, o, (SELECT unnest(range(1, 6)) AS step)
+), s AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+         sum(n) FILTER (NOT list_bool_or(hits[1:step])) AS kept,
+         sum(n) FILTER (hits[step] AND NOT coalesce(list_bool_or(hits[1:step - 1]), false)) AS removed,
+         sum(n) FILTER (hits[step] AND coalesce(list_bool_or(hits[1:step - 1]), false)) AS redundant,
+         sum(n) FILTER (hits[step] AND len(list_filter(hits, lambda h: h)) = 1) AS unique_fails,
+         sum(g) FILTER (hits[step] AND NOT coalesce(list_bool_or(hits[1:step - 1]), false)) AS good_lost,
+         sum(x) FILTER (hits[step] AND NOT coalesce(list_bool_or(hits[1:step - 1]), false)) AS toxic_lost
+  FROM k GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+FROM s
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+# the CRC-32 of a conversation's number is folded bit by bit; ids of distinct turns stand for them in the prefixes
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), d AS (SELECT role, text, row_number() OVER () AS turn_id FROM (SELECT DISTINCT role, text FROM t)),
+n AS (SELECT t.*, turn_id FROM t JOIN d USING (role, text)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(
+           list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+           lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM n)
+), r AS (
+  SELECT c.conv_id, 0 AS part, pos, turn_id, text FROM c JOIN n ON n.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, turn_id, text FROM c JOIN n ON n.conv_id = c.conv_id AND pos > h
+), f AS (
+  SELECT conv_id, list(turn_id ORDER BY part, pos) AS turns, list(octet_length(encode(text)) ORDER BY part, pos) AS sizes FROM r GROUP BY conv_id
+), s AS (SELECT conv_id, coalesce(turns, []) AS turns, coalesce(sizes, []) AS sizes FROM c LEFT JOIN f USING (conv_id)),
+p AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns, sizes FROM s),
+m AS (
+  SELECT turns[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END) AS size,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(turns)) AS ends
+  FROM p GROUP BY prefix, depth
+), k AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY 1),
+w AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN k USING (prefix)),
+u AS (SELECT prefix[1:up] AS prefix, n_children = 0 AS leaf, (n_convs - 1) * size AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM w)),
+a AS (SELECT prefix, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY prefix)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM w JOIN a USING (prefix) LEFT JOIN m o ON w.depth > 0 AND o.depth = w.depth - 1 AND o.prefix = w.prefix[1:w.depth - 1]
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_sharding, op3_bpe, op4_line_dedup, op5_chat_format, op6_simhash, op7_warc, op8_packing,
-    op9_exact_dedup, op10_embedding_dedup)}
-ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    op9_exact_dedup, op10_embedding_dedup, op11_topk_search, op12_filter_audit, op13_prefix_trie)}
+ORACLES = {"op5_chat_format": OP5_SQL, "op7_warc": OP7_SQL, "op9_exact_dedup": OP9_SQL,
+           "op11_topk_search": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL}
