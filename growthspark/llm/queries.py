@@ -126,12 +126,12 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP11_SQL = """
 WITH v AS (
-  SELECT row_number() OVER () AS at, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS ints
+  SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS ints
   FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.at, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.ints, c.ints) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.at <> c.at AND len(q.ints) = len(c.ints) WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY at ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s)
+  SELECT q.nr, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.ints, c.ints) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.nr <> c.nr AND len(q.ints) = len(c.ints) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id NULLS LAST) AS place FROM s)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
 """
 
