@@ -1,7 +1,8 @@
 """Exact top-k search by inner product over vector-approximation files (operator 11).
 
 Vectors become integers; equal ones are searched once.  A block of vectors is
-approximated by one byte a component, the cell of a grid of its own.  Query
+approximated by one byte a component, the cell of a grid of its own (where a
+component's range is below 256, a cell holds one integer and leaves nothing open).  Query
 blocks meet the approximations of every block: the product with the cell
 centres, give or take what the cells leave open, bounds the score.  A query's
 candidates are those whose upper bound reaches its k-th best lower bound.  Exact
@@ -84,8 +85,8 @@ def _runs(batches, rows_of):
 
 
 def decode(codes: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Centres of the cells, in single precision."""
-    return ((codes + np.float32(0.5)) * width.astype(np.float32) + low.astype(np.float32)).astype(np.float32)
+    """Integers nearest to the cells' centres: the component itself where a cell is no wider than one."""
+    return np.rint((codes + 0.5) * width + low)
 
 
 def approximate(x: np.ndarray):
@@ -125,13 +126,12 @@ def bounds(q: np.ndarray, codes: np.ndarray, low: np.ndarray, width: np.ndarray,
     """Lower and upper bounds of the products of queries with approximated vectors."""
     centre = decode(codes, low, width)
     dim = q.shape[1]
-    near = q.astype(np.float32).astype(np.float64)
     length = np.sqrt((q * q).sum(axis=1))
-    reach = np.sqrt((centre.astype(np.float64) ** 2).sum(axis=1))
-    about = (near.astype(np.float32) @ centre.T).astype(np.float64)
+    size = length[:, None] * np.sqrt((centre * centre).sum(axis=1))
+    about = (q.astype(np.float32) @ centre.astype(np.float32).T).astype(np.float64)
     cell = np.minimum(length[:, None] * off, (np.abs(q) @ wide)[:, None])
-    # single precision: of the query's components, and of the products and their sum
-    slip = 2.0 ** -22 * (dim + 8) * length[:, None] * reach
+    # sums of integers below 2^24 are exact in single precision; others slip by its rounding of components, products and sums
+    slip = np.where(size < 2.0 ** 23, 0, 2.0 ** -22 * (dim + 8) * size)
     open_ = (cell + slip) * (1 + 1e-9) + 1e-6
     return about - open_, about + open_
 
