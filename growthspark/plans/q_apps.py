@@ -303,6 +303,26 @@ def ag9s(spark, sf):
     return A.spearman_matrix(w, AG9_COLS, ["username", "week_start"])
 
 
+AG9K_COLS = ["weekly_posting_frequency", "posting_consistency_days", "max_gap_days", "weekly_growth"]
+
+
+def _tau_sql(a, b):
+    two = lambda n: f"SUM({n} * ({n} - 1)) / 2"
+    return (f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, (n0 - n1 - n2 + n3 - 2.0 * d) / NULLIF(SQRT(1.0 * (n0 - n1) * (n0 - n2)), 0) "
+            f"AS correlation FROM (SELECT SUM(c) * (SUM(c) - 1) / 2 AS n0, {two('c')} AS n3 FROM (SELECT {a} AS x, {b} AS y, COUNT(*) AS c FROM wf "
+            f"GROUP BY 1, 2) p), (SELECT {two('c')} AS n1 FROM (SELECT COUNT(*) AS c FROM wf GROUP BY {a}) p), "
+            f"(SELECT {two('c')} AS n2 FROM (SELECT COUNT(*) AS c FROM wf GROUP BY {b}) p), "
+            f"(SELECT COALESCE(SUM(p.c * o.c), 0) AS d FROM (SELECT {a} AS x, {b} AS y, COUNT(*) AS c FROM wf GROUP BY 1, 2) p JOIN "
+            f"(SELECT {a} AS x, {b} AS y, COUNT(*) AS c FROM wf GROUP BY 1, 2) o ON p.x < o.x AND p.y > o.y)")
+
+
+@register("ag9k", doubles=("correlation",),
+          sql=q(" UNION ALL ".join(_tau_sql(a, b) for a in AG9K_COLS for b in AG9K_COLS), "f1", extra=weekly_feature_ctes("f1")))
+def ag9k(spark, sf):
+    """AG9 Kendall's tau-b matrix: inversions counted in ranges, no pairs (the SQL twin joins pairs of distinct points)."""
+    return A.kendall_matrix(W.weekly_feature_table(FX.daily_metrics(spark, sf)), AG9K_COLS)
+
+
 @register("ag10")
 def ag10(spark, sf):
     """AG10 95 % confidence interval of mean weekly growth (t quantile on the driver; rows-only)."""
