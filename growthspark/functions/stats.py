@@ -249,6 +249,27 @@ def global_quantiles(df: DataFrame, specs: dict[str, tuple], exact: bool = True,
     return row.asDict()
 
 
+def scoped_quantiles(df: DataFrame, specs: dict[str, tuple], scope) -> DataFrame:
+    """Adds a double column ``name`` per {name: (column, p)}: the exact quantile over the row's scope.
+
+    One window aggregate over all columns, partitioned by the scope like the
+    row-neighbour windows, so no join and no sort of its own; a scope (a
+    creator's history) is bounded by the calendar.  NULL where a scope has no
+    value; NaN does not count.
+    """
+    if not specs:
+        return df
+    w = Window.partitionBy(*scope)
+    wanted: dict[str, list] = {}
+    for name, (c, p) in specs.items():
+        wanted.setdefault(c, []).append((float(p), name))
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    lists = {c: F.percentile(number(c), F.array(*[F.lit(p) for p, _ in ps])).over(w).alias(f"_qs_{i}") for i, (c, ps) in enumerate(wanted.items())}
+    wide = df.select("*", *lists.values())
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns],
+                       *[F.col(f"_qs_{i}")[j].alias(name) for i, ps in enumerate(wanted.values()) for j, (_, name) in enumerate(ps)])
+
+
 # ---------------------------------------------------------------------------
 # correlation (T2: never raises, zero variance -> NULL)
 # ---------------------------------------------------------------------------

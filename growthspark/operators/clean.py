@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.stats import attach_row, attach_scope_stats, global_quantiles, scalar_stats
+from ..functions.stats import attach_row, attach_scope_stats, global_quantiles, scalar_stats, scoped_quantiles
 from ..session import cut_lineage
 from . import windows as WN
 
@@ -167,20 +167,45 @@ def outlier_bounds(df: DataFrame, cols, method: str = "iqr", threshold: float =
     return out
 
 
+def scoped_bounds(df: DataFrame, cols, scope, method: str = "iqr", threshold: float = 3.0,
+                  alive: Column | None = None) -> tuple[DataFrame, dict]:
+    """(frame with bound columns, {col: (low, high)}): the bounds of each row's scope, e.g. its creator.
+
+    ``alive`` limits the rows that the statistics see.
+    """
+    cols, w = list(cols), Window.partitionBy(*scope)
+    seen = {c: F.col(c).cast("double") if alive is None else F.when(alive, F.col(c).cast("double")) for c in cols}
+    out = df.select("*", *[seen[c].alias(f"_x_{c}") for c in cols])
+    if method == "iqr":
+        out = scoped_quantiles(out, {f"_{k}_{c}": (f"_x_{c}", p) for c in cols for k, p in (("a", 0.25), ("b", 0.75))}, scope)
+        step = {c: threshold * (F.col(f"_b_{c}") - F.col(f"_a_{c}")) for c in cols}
+        low, high = ({c: F.col(f"_{k}_{c}") + sign * step[c] for c in cols} for k, sign in (("a", -1), ("b", 1)))
+    else:
+        out = out.select("*", *[F.avg(f"_x_{c}").over(w).alias(f"_a_{c}") for c in cols],
+                         *[F.stddev_samp(f"_x_{c}").over(w).alias(f"_b_{c}") for c in cols])
+        low, high = ({c: F.col(f"_a_{c}") + sign * threshold * F.col(f"_b_{c}") for c in cols} for sign in (-1, 1))
+    out = out.select(*[F.col(f"`{c}`") for c in df.columns], *[low[c].alias(f"_lo_{c}") for c in cols], *[high[c].alias(f"_hi_{c}") for c in cols])
+    return out, {c: (F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in cols}
+
+
 def outlier_flag(c, bounds, method: str = "iqr") -> Column:
-    """CL9: strictly outside the bounds (zscore: |x-mean|/std > t, so std 0 flags nothing)."""
+    """CL9: strictly outside the bounds, numbers or columns (zscore: |x-mean|/std > t, so std 0 flags nothing)."""
     lo, hi = bounds
     if lo is None:
         return F.lit(False)
     x = F.col(c).cast("double")
-    if method != "iqr" and lo == hi:
-        return F.lit(False)
-    return F.coalesce((x < F.lit(lo)) | (x > F.lit(hi)), F.lit(False))
+    out = (x < F.lit(lo)) | (x > F.lit(hi))
+    if method != "iqr":
+        out = (F.lit(lo) != F.lit(hi)) & out
+    return F.coalesce(out, F.lit(False))
 
 
 def detect_outliers(df: DataFrame, cols, method: str = "zscore", threshold: float = 3.0,
-                    exact: bool = True) -> DataFrame:
-    """CL9 on a frame: ``{col}_outlier`` boolean columns."""
+                    exact: bool = True, scope=()) -> DataFrame:
+    """CL9 on a frame: ``{col}_outlier`` boolean columns; ``scope``: bounds per e.g. creator."""
+    if scope:
+        wide, b = scoped_bounds(df, cols, scope, method, threshold)
+        return wide.select(*[F.col(f"`{c}`") for c in df.columns], *[outlier_flag(c, b[c], method).alias(f"{c}_outlier") for c in cols])
     b = outlier_bounds(df, cols, method, threshold, exact)
     out = df
     for c in cols:
@@ -189,12 +214,15 @@ def detect_outliers(df: DataFrame, cols, method: str = "zscore", threshold: floa
 
 
 def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 3.0, action: str = "cap",
-                    cols=None, exact: bool = True) -> tuple[DataFrame, int]:
+                    cols=None, exact: bool = True, scope=()) -> tuple[DataFrame, int]:
     """CL10 cap / CL11 remove / CL12 transform; returns (frame, outliers handled).
 
     Capped and transformed columns are doubles whatever the data (stable schema).
+    ``scope``: bounds per e.g. creator, see :func:`handle_scoped_outliers`.
     """
     cols = [c for c in (C.OUTLIER_COLUMNS if cols is None else cols) if c in df.columns]
+    if scope and cols:
+        return handle_scoped_outliers(df, cols, scope, method, threshold, action)
     if action == "remove":
         # sequential by definition: each column's thresholds are computed on
         # the rows the previous columns left.  The input is checkpointed once
@@ -234,6 +262,42 @@ def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 3.0,
     return out, total
 
 
+def handle_scoped_outliers(df: DataFrame, cols, scope, method: str = "iqr", threshold: float = 3.0,
+                           action: str = "cap") -> tuple[DataFrame, int]:
+    """CL10-CL12 with the bounds of each row's scope (a creator's own history).
+
+    Every step is a window over the scope, so all 17 columns share one shuffle;
+    a removal's sequential thresholds see the rows that earlier columns left.
+    The result is written once: its count of outliers and its rows come from it.
+    """
+    w, names = Window.partitionBy(*scope), [F.col(f"`{c}`") for c in df.columns]
+    if action == "remove":
+        out = df.withColumn("_alive", F.lit(True))
+        for c in cols:
+            out, b = scoped_bounds(out, [c], scope, method, threshold, F.col("_alive"))
+            out = out.select(*names, (F.col("_alive") & ~outlier_flag(c, b[c], method)).alias("_alive"))
+        out = cut_lineage(out)
+        return out.where("_alive").select(*names), out.where(~F.col("_alive")).count()
+    wide, b = scoped_bounds(df, cols, scope, method, threshold)
+    wide = wide.select("*", *[F.sum(outlier_flag(c, b[c], method).cast("long")).over(w).alias(f"_n_{c}") for c in cols])
+    touched = [c for c in cols if action == "cap" or (action == "transform" and c in C.LOG_TRANSFORM_COLUMNS)]
+
+    def handled(c):
+        x = F.col(c).cast("double")
+        if c not in touched:
+            return x
+        if action == "transform":
+            new = X.log1p(x)
+        else:
+            lo = F.greatest(F.lit(0.0), b[c][0]) if c in C.NON_NEGATIVE_CAP_COLUMNS else b[c][0]
+            new = F.when(x.isNotNull(), F.greatest(lo, F.least(b[c][1], x)))
+        return F.when(F.col(f"_n_{c}") > 0, new).otherwise(x)
+
+    flags = sum((outlier_flag(c, b[c], method).cast("long") for c in touched), F.lit(0))
+    out = cut_lineage(wide.select(*[handled(c).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns], flags.alias("_flags")))
+    return out.select(*names), int(out.agg(F.sum("_flags").alias("n")).first()["n"] or 0)
+
+
 # CL13-CL18 ------------------------------------------------------------------
 def range_violations(df: DataFrame) -> DataFrame:
     """CL13 counts per constrained column (one aggregate)."""
@@ -481,7 +545,7 @@ def clean_raw_data(df: DataFrame, fill_missing: bool = True, handle_outliers_: b
         # it once to the shared checkpoint folder instead of recomputing the
         # dedup shuffle and the fill windows for every job
         out = cut_lineage(out)
-        out, stats["outliers_handled"] = handle_outliers(out, outlier_method, action=outlier_action)
+        out, stats["outliers_handled"] = handle_outliers(out, outlier_method, action=outlier_action, scope=scope)
     if validate_ranges:
         if collect_stats:
             viol = range_violations(out).collect()[0].asDict()

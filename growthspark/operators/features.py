@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.stats import global_order_stats, interpolate
+from ..functions.stats import global_order_stats, interpolate, scoped_quantiles
 from ..session import cut_lineage
 from . import weekly as W
 from . import windows as WN
@@ -56,16 +56,19 @@ def audience_quality_raw(df: DataFrame):
 
 
 def _normalise(raw: str, q95) -> F.Column:
-    """score / q95 clipped to [0, 1] when q95 > 0, else the raw score."""
+    """score / q95 clipped to [0, 1] when q95 > 0, else the raw score; q95 a number or a column."""
+    if isinstance(q95, Column):
+        return F.when(q95 > 0, X.clip(F.col(raw) / q95, 0.0, 1.0)).otherwise(F.col(raw))
     if q95 is not None and q95 > 0:
         return X.clip(F.col(raw) / F.lit(q95), 0.0, 1.0)
     return F.col(raw)
 
 
-def add_advanced_features(df: DataFrame) -> DataFrame:
+def add_advanced_features(df: DataFrame, scope=()) -> DataFrame:
     """FE10 = FE5 engagement quality, FE6 audience quality, FE7 efficiency and
     sustainability, FE8 tiers, FE9 saturation -- one quantile pass for all eight
-    thresholds.  B10: on the daily path only features whose inputs exist."""
+    thresholds (``scope``: one window pass, thresholds per e.g. creator).
+    B10: on the daily path only features whose inputs exist."""
     weekly = _has(df, "weekly_growth", "weekly_posting_frequency")
     out = df.withColumn("_eq", engagement_quality_raw(df)).withColumn("_aq", audience_quality_raw(df))
     specs = {"eq95": ("_eq", 0.95), "aq95": ("_aq", 0.95)}
@@ -77,7 +80,11 @@ def add_advanced_features(df: DataFrame) -> DataFrame:
             specs["rate30"] = ("engagement_rate", 0.3)
         if _has(df, "minutes_spent", "roi_follows_per_hour"):
             specs.update({"min80": ("minutes_spent", 0.8), "roi30": ("roi_follows_per_hour", 0.3)})
-    q = {k: interpolate(v) for k, v in global_order_stats(out, specs).items()}
+    if scope:
+        out = scoped_quantiles(out, {f"_q_{k}": v for k, v in specs.items()}, scope)
+        q = {k: F.col(f"_q_{k}") for k in specs}
+    else:
+        q = {k: interpolate(v) for k, v in global_order_stats(out, specs).items()}
     out = (out.withColumn("engagement_quality_score", _normalise("_eq", q["eq95"]))
               .withColumn("audience_quality_score", _normalise("_aq", q["aq95"])).drop("_eq", "_aq"))
     if weekly:
@@ -97,7 +104,7 @@ def add_advanced_features(df: DataFrame) -> DataFrame:
     if "engagement_rate" in df.columns:
         out = out.withColumn("engagement_tier", X.cut("engagement_rate", C.ENGAGEMENT_TIER_BINS,
                                                       C.ENGAGEMENT_TIER_LABELS))
-    return out
+    return out.drop(*[f"_q_{k}" for k in specs])
 
 
 # FE11 -----------------------------------------------------------------------
@@ -146,19 +153,23 @@ def _fill_zero(name: str) -> bool:
     return "rate" in n or "ratio" in n or "share" in n or "score" in n
 
 
-def finalize_features(df: DataFrame, target: str = "weekly_growth", keep=()) -> DataFrame:
+def finalize_features(df: DataFrame, target: str = "weekly_growth", keep=(), scope=()) -> DataFrame:
     """FN17, clip every numeric column to [q0.1 %, q99.9 %], fill (0 for
     rate/ratio/share/score names -- substring -- else the median after the
     clip), round half-even to 6 places; numeric columns come out as doubles.
 
     One statistics pass: the 0.001 / 0.5 / 0.999 order statistics of every
     numeric column; the clipped median is the median of the clipped order
-    statistics (clipping is monotone), so no second pass is needed.
+    statistics (clipping is monotone), so no second pass is needed.  With a
+    ``scope`` (e.g. the creator) bounds and medians are those of each row's
+    scope, window aggregates over one partitioning.
     """
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in keep]
     num = set(numeric)
     # single projections (a withColumn per column makes plan analysis quadratic)
     out = df.select(*[X.finite_or_null(c).alias(c) if c in num else F.col(c) for c in df.columns])
+    if scope:
+        return _with_target(_finalize_scoped(out, numeric, scope), target)
     specs = {}
     for c in numeric:
         specs[f"{c}|lo"] = (c, 0.001)
@@ -182,10 +193,22 @@ def finalize_features(df: DataFrame, target: str = "weekly_growth", keep=()) ->
         if fill is not None:
             x = F.coalesce(x, F.lit(float(fill)))
         final[c] = X.round_half_even(x, 6)
-    out = out.select(*[final[c].alias(c) if c in final else F.col(c) for c in out.columns])
-    if target not in out.columns and "growth" in out.columns:
-        out = out.withColumn(target, F.col("growth"))
-    return out
+    return _with_target(out.select(*[final[c].alias(c) if c in final else F.col(c) for c in out.columns]), target)
+
+
+def _with_target(df: DataFrame, target: str) -> DataFrame:
+    return df.withColumn(target, F.col("growth")) if target not in df.columns and "growth" in df.columns else df
+
+
+def _finalize_scoped(df: DataFrame, numeric, scope) -> DataFrame:
+    """Clip, fill and round by the statistics of each row's scope: two window passes, no job of its own."""
+    num, cols = set(numeric), df.columns
+    wide = scoped_quantiles(df, {f"_{k}_{c}": (c, p) for c in numeric for k, p in (("lo", 0.001), ("hi", 0.999))}, scope)
+    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_lo_{c}"), F.least(F.col(f"_hi_{c}"), F.col(c))))
+    clipped = wide.select(*[clip(c).alias(c) if c in num else F.col(f"`{c}`") for c in cols])
+    medians = scoped_quantiles(clipped, {f"_md_{c}": (c, 0.5) for c in numeric if not _fill_zero(c)}, scope)
+    fill = lambda c: F.lit(0.0) if _fill_zero(c) else F.col(f"_md_{c}")
+    return medians.select(*[X.round_half_even(F.coalesce(F.col(c), fill(c)), 6).alias(c) if c in num else F.col(f"`{c}`") for c in cols])
 
 
 FEATURE_CATEGORIES = {
@@ -226,8 +249,8 @@ def transform_to_model_ready(daily: DataFrame, target_frequency: str = "weekly",
     else:
         t = cut(create_daily_features(daily))
     if include_advanced_features:
-        t = cut(add_temporal_features(add_interaction_features(add_advanced_features(t))))
-    return tag_feature_categories(finalize_features(t))
+        t = cut(add_temporal_features(add_interaction_features(add_advanced_features(t, scope))))
+    return tag_feature_categories(finalize_features(t, scope=scope))
 
 
 # AG12 -----------------------------------------------------------------------

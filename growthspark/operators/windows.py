@@ -11,11 +11,15 @@ creator and evaluates them in a single ``Window`` operator.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import exprs as X
+from ..functions.spline import LEAST_POINTS, quadratic_spline
 
 
 def creator_window(creator: str = "username", order: str = "date") -> Window:
@@ -146,8 +150,11 @@ def interpolate(df: DataFrame, c: str, method: str = "linear", creator="username
                 order="date") -> DataFrame:
     """pandas ``interpolate``: leading gaps stay, trailing gaps take the last value.
 
-    ``linear`` weights by row position, ``time`` by day distance.
+    ``linear`` weights by row position, ``time`` by day distance; for
+    ``polynomial`` see :func:`interpolate_spline`.
     """
+    if method == "polynomial":
+        return interpolate_spline(df, c, creator, order)
     w = creator_window(creator, order)
     before = w.rowsBetween(Window.unboundedPreceding, 0)
     after = w.rowsBetween(0, Window.unboundedFollowing)
@@ -155,7 +162,7 @@ def interpolate(df: DataFrame, c: str, method: str = "linear", creator="username
            else F.datediff(F.col(order), F.lit("1970-01-01").cast("date")) if method == "time"
            else None)
     if pos is None:
-        raise ValueError(f"unknown interpolation method {method!r}: linear or time")
+        raise ValueError(f"unknown interpolation method {method!r}: linear, time or polynomial")
     tmp = df.withColumn("_ip", pos.cast("double"))
     have = F.col(c).isNotNull()
     tmp = (tmp.withColumn("_pv", F.last(F.when(have, F.col(c)), True).over(before))
@@ -170,6 +177,36 @@ def interpolate(df: DataFrame, c: str, method: str = "linear", creator="username
     return tmp.withColumn(c, filled.cast("double")).drop("_ip", "_pv", "_pp", "_nv", "_np")
 
 
+def interpolate_spline(df: DataFrame, c: str, creator="username", order="date") -> DataFrame:
+    """Gaps between known values from the quadratic spline through them, by row position.
+
+    Leading and trailing gaps stay, and so do all gaps of a creator with fewer
+    than three known values.  The spline couples all of a creator's days, so
+    each creator's (order, value) series is one Arrow group: two numbers a day,
+    bounded by the calendar.  The filled values are joined back.
+    """
+    rows = df.withColumn("_sp", F.row_number().over(creator_window(creator, order)))
+    gaps = rows.select(F.col(creator).alias("creator"), "_sp", F.col(c).cast("double").alias("v"))
+
+    def fill(table):
+        table = table.sort_by("_sp")
+        at, v = table.column("_sp").to_numpy(), table.column("v").to_numpy()
+        known = ~np.isnan(v)
+        if known.sum() >= LEAST_POINTS:
+            value = quadratic_spline(at[known], v[known], at[~known])
+        else:
+            value = np.full((~known).sum(), np.nan)
+        keep = ~np.isnan(value)
+        gap = table.filter(pa.array(~known)).filter(pa.array(keep))
+        return pa.table({"creator": gap.column("creator"), "_sp": gap.column("_sp"), "_new": value[keep]})
+
+    kind = T.StructType([T.StructField("creator", df.schema[creator].dataType), T.StructField("_sp", T.IntegerType()), T.StructField("_new", T.DoubleType())])
+    found = gaps.groupBy("creator").applyInArrow(fill, kind)
+    same = rows[creator].eqNullSafe(found["creator"]) & (rows["_sp"] == found["_sp"])
+    return rows.join(found, same, "left").select(
+        *[F.coalesce(rows[c].cast("double"), found["_new"]).alias(c) if name == c else rows[name] for name in df.columns])
+
+
 def derive_daily_columns(df: DataFrame, creator="username") -> DataFrame:
     """Generator-derived daily columns (FN18-FN23, WN7, month, quarter) where absent."""
     cols = set(df.columns)

@@ -130,6 +130,34 @@ def cl6(spark, sf):
     return WN.interpolate(_gappy(spark, sf), "v", "time")
 
 
+# breakpoints, the spline's tridiagonal system by forward elimination and back substitution, and its value in each gap
+SPLINE_SQL = """p0 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY username ORDER BY date) AS p FROM gp),
+k AS (SELECT username, CAST(p AS DOUBLE) AS x, v AS y, ROW_NUMBER() OVER (PARTITION BY username ORDER BY p) - 1 AS i,
+  COUNT(*) OVER (PARTITION BY username) AS n FROM p0 WHERE v IS NOT NULL),
+z AS (SELECT username, n, i AS s, CASE WHEN i = 0 THEN x WHEN i = n - 2 THEN nx ELSE (x + nx) / 2 END AS z
+  FROM (SELECT *, LEAD(x) OVER (PARTITION BY username ORDER BY i) AS nx FROM k) a WHERE i <= n - 2 AND n >= 3),
+sp AS (SELECT * FROM (SELECT username, n, s, COALESCE(LAG(z) OVER w, z) AS zl, z AS za, LEAD(z) OVER w AS zb,
+  COALESCE(LEAD(z, 2) OVER w, LEAD(z) OVER w) AS zr FROM z WINDOW w AS (PARTITION BY username ORDER BY s)) a WHERE zb IS NOT NULL),
+r AS (SELECT k.username, i, k.n, y, COALESCE((zb - x) * (zb - x) / ((zb - zl) * (zb - za)), 0.0) AS a,
+  COALESCE((x - za) * (x - za) / ((zr - za) * (zb - za)), 0.0) AS c
+  FROM k LEFT JOIN sp ON sp.username = k.username AND sp.s = i - 1 AND i < k.n - 1 WHERE k.n >= 3),
+f AS (SELECT username, i, CAST(0.0 AS DOUBLE) AS g, y AS d FROM r WHERE i = 0 UNION ALL
+  SELECT r.username, r.i, c / (1 - a - c - a * g), (y - a * d) / (1 - a - c - a * g) FROM f JOIN r ON r.username = f.username AND r.i = f.i + 1),
+h AS (SELECT f.username, f.i, f.d AS w FROM f JOIN r ON r.username = f.username AND r.i = f.i AND r.i = r.n - 1 UNION ALL
+  SELECT f.username, f.i, f.d - f.g * h.w FROM h JOIN f ON f.username = h.username AND f.i = h.i - 1),
+e AS (SELECT p0.username, p, (zb - p) * (zb - p) / ((zb - zl) * (zb - za)) AS a, (p - za) * (p - za) / ((zr - za) * (zb - za)) AS c, s
+  FROM p0 JOIN sp ON sp.username = p0.username AND p0.v IS NULL AND p >= za AND (p < zb OR (p = zb AND s = n - 3))),
+o AS (SELECT e.username, p, a * h0.w + (1 - a - c) * h1.w + c * h2.w AS v FROM e JOIN h h0 ON h0.username = e.username AND h0.i = s
+  JOIN h h1 ON h1.username = e.username AND h1.i = s + 1 JOIN h h2 ON h2.username = e.username AND h2.i = s + 2)"""
+
+
+@register("cl6p", doubles=("v",), sql=q("SELECT p0.username, date, COALESCE(p0.v, o.v) AS v FROM p0 LEFT JOIN o USING (username, p)",
+                                        "f1", recursive=True, extra=_gappy_sql() + ",\n" + SPLINE_SQL))
+def cl6p(spark, sf):
+    """CL6 polynomial(2): gaps from each creator's quadratic spline; outer gaps stay."""
+    return WN.interpolate(_gappy(spark, sf), "v", "polynomial")
+
+
 @register("cl8", doubles=F3_DOUBLES, sql=q("SELECT * FROM c8", "f3",
                                             extra=chain(S.dedup("f3t", "c8k"), S.missing("c8k", "c8"))))
 def cl8(spark, sf):
@@ -167,6 +195,30 @@ def cl10(spark, sf):
     return CL.handle_outliers(typed(spark, sf), "iqr", 3.0, "cap")[0]
 
 
+@register("cl9c", sql=q("SELECT username, date, seq, " + S.flag_sql("reach", "bz", "zscore") + " AS reach_z_outlier, "
+                        + S.flag_sql("reach", "bi") + " AS reach_iqr_outlier FROM f3t LEFT JOIN bz USING (username) LEFT JOIN bi USING (username)",
+                        "f3", extra=chain(S.bounds_cte("f3t", "bz", ["reach"], "zscore", by="username"),
+                                          S.bounds_cte("f3t", "bi", ["reach"], "iqr", by="username"))))
+def cl9c(spark, sf):
+    """CL9 per creator: a day is an outlier against its creator's own history."""
+    d = typed(spark, sf)
+    z = CL.detect_outliers(d, ["reach"], "zscore", scope=["username"]).withColumnRenamed("reach_outlier", "reach_z_outlier")
+    both = CL.detect_outliers(z, ["reach"], "iqr", scope=["username"]).withColumnRenamed("reach_outlier", "reach_iqr_outlier")
+    return both.select("username", "date", "seq", "reach_z_outlier", "reach_iqr_outlier")
+
+
+@register("cl10c", doubles=OUT_DOUBLES, sql=q("SELECT * FROM c10", "f3", extra=chain(S.outliers_cap("f3t", "c10", by="username"))))
+def cl10c(spark, sf):
+    """CL10 per creator: caps at the bounds of the creator's own history."""
+    return CL.handle_outliers(typed(spark, sf), "iqr", 3.0, "cap", scope=["username"])[0]
+
+
+@register("cl11c", doubles=F3_DOUBLES, sql=q("SELECT * FROM c11", "f3", extra=chain(S.outliers_remove("f3t", "c11", by="username"))))
+def cl11c(spark, sf):
+    """CL11 per creator: sequential removal in one shuffle, no job per column."""
+    return CL.handle_outliers(typed(spark, sf), "iqr", 3.0, "remove", scope=["username"])[0]
+
+
 @register("cl11", doubles=F3_DOUBLES, sql=q("SELECT * FROM c11", "f3", extra=chain(S.outliers_remove("f3t", "c11"))))
 def cl11(spark, sf):
     """CL11 remove outlier rows column by column, thresholds recomputed on what is left."""

@@ -197,23 +197,25 @@ FULL_NUMERIC = (WF_NUMERIC + ["engagement_quality_score", "audience_quality_scor
                 + [k for k in TEMPORAL])
 
 
-def finalize_ctes(src: str, numeric: list[str], name: str) -> str:
-    """FE13 in SQL: inf -> NULL, clip to q.001..q.999, fill 0 / clipped median, round_even 6."""
+def finalize_ctes(src: str, numeric: list[str], name: str, by: str = "") -> str:
+    """FE13 in SQL: inf -> NULL, clip to q.001..q.999, fill 0 / clipped median, round_even 6; ``by``: per key."""
     x = {c: f"CASE WHEN isinf(CAST({c} AS DOUBLE)) OR isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
          for c in numeric}
     a = f"{name}_a"
     parts = [f"{a} AS (SELECT * REPLACE ({', '.join(f'{x[c]} AS {c}' for c in numeric)}) FROM {src})"]
-    parts.append(f"{name}_q AS (SELECT " + ", ".join(
-        f"quantile_cont({c}, 0.001) AS {c}__lo, quantile_cont({c}, 0.999) AS {c}__hi" for c in numeric) + f" FROM {a})")
+    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    beside = lambda one, two: f"{one} JOIN {two} USING ({by})" if by else f"{one}, {two}"
+    parts.append(f"{name}_q AS (SELECT {key}" + ", ".join(
+        f"quantile_cont({c}, 0.001) AS {c}__lo, quantile_cont({c}, 0.999) AS {c}__hi" for c in numeric) + f" FROM {a}{group})")
     parts.append(f"{name}_c AS (SELECT {a}.* REPLACE (" + ", ".join(
-        f"{clip_sql(c, c + '__lo', c + '__hi')} AS {c}" for c in numeric) + f") FROM {a}, {name}_q)")
-    parts.append(f"{name}_m AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}__md" for c in numeric)
-                 + f" FROM {name}_c)")
+        f"{clip_sql(c, c + '__lo', c + '__hi')} AS {c}" for c in numeric) + f") FROM {beside(a, name + '_q')})")
+    parts.append(f"{name}_m AS (SELECT {key}" + ", ".join(f"quantile_cont({c}, 0.5) AS {c}__md" for c in numeric)
+                 + f" FROM {name}_c{group})")
     rep = []
     for c in numeric:
         fill = "0.0" if FE._fill_zero(c) else f"{c}__md"
         rep.append(f"round_even(COALESCE({c}, {fill}), 6) AS {c}")
-    parts.append(f"{name} AS (SELECT {name}_c.* REPLACE ({', '.join(rep)}) FROM {name}_c, {name}_m)")
+    parts.append(f"{name} AS (SELECT {name}_c.* REPLACE ({', '.join(rep)}) FROM {beside(name + '_c', name + '_m')})")
     return ",\n".join(parts)
 
 
@@ -224,6 +226,13 @@ def fe13(spark, sf):
     return FE.finalize_features(W.weekly_feature_table(FX.daily_metrics(spark, sf)))
 
 
+@register("fe13c", doubles=tuple(WF_NUMERIC),
+          sql=q("SELECT * FROM fin", "f1", extra=weekly_feature_ctes("f1") + ",\n" + finalize_ctes("wf", WF_NUMERIC, "fin", by="username")))
+def fe13c(spark, sf):
+    """FE13 per creator: clip bounds and medians of the creator's own weeks."""
+    return FE.finalize_features(W.weekly_feature_table(FX.daily_metrics(spark, sf)), scope=["username"])
+
+
 FULL_SQL_CTES = (adv_ctes() + ",\n" + "full0 AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in INTER.items()) +
                  " FROM adv),\n" + f"full1 AS (SELECT * EXCLUDE (_pos), " + ", ".join(f"{v} AS {k}" for k, v in TEMPORAL.items())
                  + f" FROM (SELECT *, CAST(ROW_NUMBER() OVER ({WW}) AS DOUBLE) AS _pos FROM full0) t),\n"

@@ -48,7 +48,7 @@ def missing(src: str, name: str) -> str:
     return ",\n".join(parts)
 
 
-def bounds_cte(src: str, name: str, cols, method: str = "iqr", t: float = 3.0) -> str:
+def bounds_cte(src: str, name: str, cols, method: str = "iqr", t: float = 3.0, by: str = "") -> str:
     sel = []
     for c in cols:
         if method == "iqr":
@@ -57,6 +57,8 @@ def bounds_cte(src: str, name: str, cols, method: str = "iqr", t: float = 3.0) -
         else:
             m, s = f"AVG(CAST({c} AS DOUBLE))", f"STDDEV_SAMP(CAST({c} AS DOUBLE))"
             sel.append(f"{m} - {t} * {s} AS {c}_lo, {m} + {t} * {s} AS {c}_hi")
+    if by:
+        return f"{name} AS (SELECT {by}, {', '.join(sel)} FROM {src} GROUP BY {by})"
     return f"{name} AS (SELECT {', '.join(sel)} FROM {src})"
 
 
@@ -67,18 +69,19 @@ def flag_sql(c: str, b: str, method: str = "iqr") -> str:
     return f"COALESCE({cond}, FALSE)"
 
 
-def outliers_cap(src: str, name: str, cols=None, method: str = "iqr", t: float = 3.0) -> str:
+def outliers_cap(src: str, name: str, cols=None, method: str = "iqr", t: float = 3.0, by: str = "") -> str:
     cols = F3_OUTLIER if cols is None else cols
     b, n = f"{name}_bd", f"{name}_n"
-    parts = [bounds_cte(src, b, cols, method, t),
-             f"{n} AS (SELECT {', '.join(f'SUM(CASE WHEN {flag_sql(c, b, method)} THEN 1 ELSE 0 END) AS {c}_n' for c in cols)} "
-             f"FROM {src}, {b})"]
+    sums = ", ".join(f"SUM(CASE WHEN {flag_sql(c, b, method)} THEN 1 ELSE 0 END) AS {c}_n" for c in cols)
+    beside = lambda t: f"LEFT JOIN {t} ON {t}.{by} IS NOT DISTINCT FROM {src}.{by}" if by else f", {t}"
+    group = f"SELECT {src}.{by}, {sums} FROM {src} {beside(b)} GROUP BY {src}.{by}" if by else f"SELECT {sums} FROM {src}, {b}"
+    parts = [bounds_cte(src, b, cols, method, t, by), f"{n} AS ({group})"]
     rep = []
     for c in cols:
         lo = f"GREATEST(0.0, {b}.{c}_lo)" if c in C.NON_NEGATIVE_CAP_COLUMNS else f"{b}.{c}_lo"
         x = f"CAST({src}.{c} AS DOUBLE)"
         rep.append(f"CASE WHEN {n}.{c}_n > 0 THEN {clip_sql(x, lo, f'{b}.{c}_hi')} ELSE {x} END AS {c}")
-    parts.append(f"{name} AS (SELECT {src}.* REPLACE ({', '.join(rep)}) FROM {src}, {b}, {n})")
+    parts.append(f"{name} AS (SELECT {src}.* REPLACE ({', '.join(rep)}) FROM {src} {beside(b)} {beside(n)})")
     return ",\n".join(parts)
 
 
@@ -99,14 +102,15 @@ def outliers_transform(src: str, name: str, cols=None) -> str:
     return ",\n".join(parts)
 
 
-def outliers_remove(src: str, name: str, cols=None) -> str:
+def outliers_remove(src: str, name: str, cols=None, by: str = "") -> str:
     cols = F3_OUTLIER if cols is None else cols
     parts, cur = [], src
     for i, c in enumerate(cols):
         b = f"{name}_b{i}"
         nxt = f"{name}_r{i}" if i < len(cols) - 1 else name
-        parts.append(bounds_cte(cur, b, [c]))
-        parts.append(f"{nxt} AS (SELECT {cur}.* FROM {cur}, {b} WHERE NOT {flag_sql(c, b)})")
+        parts.append(bounds_cte(cur, b, [c], by=by))
+        beside = f"LEFT JOIN {b} ON {b}.{by} IS NOT DISTINCT FROM {cur}.{by}" if by else f", {b}"
+        parts.append(f"{nxt} AS (SELECT {cur}.* FROM {cur} {beside} WHERE NOT {flag_sql(c, b)})")
         cur = nxt
     return ",\n".join(parts)
 
