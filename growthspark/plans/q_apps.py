@@ -441,6 +441,16 @@ def src5(spark, sf):
     return back.groupBy("username").agg(F.count(F.lit(1)).alias("n_days"), F.sum("posts").cast("long").alias("posts"))
 
 
+@register("src5a", sql=q("SELECT username, CAST(COUNT(*) AS BIGINT) AS n_days, CAST(SUM(posts) AS BIGINT) AS posts FROM f2 "
+                         "GROUP BY username", "f2"))
+def src5a(spark, sf):
+    """SRC5 / SNK3 records arrays: F2 written as JSON arrays, read back cut at record borders."""
+    d = FX.daily_dense(spark, sf).select("username", "date", "posts")
+    path = IO.save_dataframe(d, _scratch(spark, "array") + ".json", "records")
+    back = IO.load_dataframe(spark, path, "json")
+    return back.groupBy("username").agg(F.count(F.lit(1)).alias("n_days"), F.sum("posts").cast("long").alias("posts"))
+
+
 @register("snk4")
 def snk4(spark, sf):
     """SNK4 model table save + load round trip: coefficients of the restored model (rows-only)."""

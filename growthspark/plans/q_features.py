@@ -245,6 +245,25 @@ def fe14(spark, sf):
     return FE.transform_to_model_ready(FX.daily_metrics(spark, sf))
 
 
+DAILY_NUMERIC = (F1_SUMS + ["followers", "engagement_rate", "roi_follows_per_hour", "avg_hashtag_count"]
+                 + [c for c in FE4_COLS if c != "dominant_content_type"] + ["engagement_quality_score", "audience_quality_score"]
+                 + list(TEMPORAL)[:18])
+DAILY_CTES = (
+    f"d4 AS ({FE4_SQL}),\nd0 AS (SELECT f1.*, d4.* EXCLUDE (username, date), {sdiv(EQ, 'reach')} AS _eq, {AQ} AS _aq FROM f1 JOIN d4 USING (username, date)),\n"
+    "dq AS (SELECT username, quantile_cont(_eq, 0.95) AS eq95, quantile_cont(_aq, 0.95) AS aq95 FROM d0 GROUP BY username),\n"
+    f"d1 AS (SELECT d0.* EXCLUDE (_eq, _aq), CASE WHEN eq95 > 0 THEN {clip_sql('_eq / eq95', '0.0', '1.0')} ELSE _eq END AS engagement_quality_score, "
+    f"CASE WHEN aq95 > 0 THEN {clip_sql('_aq / aq95', '0.0', '1.0')} ELSE _aq END AS audience_quality_score, "
+    f"{_cut_sql('engagement_rate', C.ENGAGEMENT_TIER_BINS, C.ENGAGEMENT_TIER_LABELS)} AS engagement_tier, "
+    + ", ".join(f"{v.replace('week_start', 'date')} AS {k}" for k, v in list(TEMPORAL.items())[:18])
+    + " FROM d0 JOIN dq USING (username)),\n" + finalize_ctes("d1", DAILY_NUMERIC, "fin", by="username"))
+
+
+@register("fe14d", doubles=(*DAILY_NUMERIC, "weekly_growth"), sql=q("SELECT *, growth AS weekly_growth FROM fin", "f1", extra=DAILY_CTES))
+def fe14d(spark, sf):
+    """FE14 on the daily path, per creator: FE4, FE5-FE6 and FE13 by the creator's own quantiles, FE12."""
+    return FE.transform_to_model_ready(FX.daily_metrics(spark, sf), "daily", scope=["username"])
+
+
 @register("ag12", doubles=("mean", "std"),
           sql=q(" UNION ALL ".join(
               f"SELECT '{c}' AS feature, COUNT({c}) AS n, CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS "

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..operators import quality as Q
+from .json_array import is_records_array, read_records_array, write_records_array
 
 ZONES = ("raw", "interim", "processed", "external")
 DEFAULT_FILES = {"raw": "creator_daily_metrics.csv", "interim": "cleaned.parquet",
@@ -142,7 +143,7 @@ def load_train_test_data(spark: SparkSession, root: str) -> tuple[DataFrame, Dat
 
 # SRC5 -----------------------------------------------------------------------
 def load_dataframe(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
-    """csv / json (records array, multiLine) / parquet by extension or explicit format."""
+    """csv / json (lines or a records array) / parquet by extension or explicit format."""
     if fmt == "auto":
         ext = os.path.splitext(path.rstrip("/"))[1].lower().lstrip(".")
         fmt = {"csv": "csv", "json": "json", "parquet": "parquet", "pq": "parquet"}.get(ext)
@@ -155,19 +156,23 @@ def load_dataframe(spark: SparkSession, path: str, fmt: str = "auto") -> DataFra
     if fmt == "csv":
         r = r.option("header", True).option("inferSchema", True)
     elif fmt == "json":
-        # a records array (pandas orient='records') needs multiLine; JSON Lines must not use it
-        first = spark.read.text(path).limit(1).collect()
-        if first and first[0][0].lstrip().startswith("["):
-            r = r.option("multiLine", True)
+        if is_records_array(spark, path):  # one array per file: cut at record borders, many tasks per file
+            return read_records_array(spark, path)
     return r.format(fmt).load(path)
 
 
 # SNK1 / SNK3 ----------------------------------------------------------------
 def save_dataframe(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> str:
-    """Write to ``<path>/v=<ms timestamp>`` with errorifexists; returns the version path."""
+    """Write to ``<path>/v=<ms timestamp>`` with errorifexists; returns the version path.
+
+    ``records``: JSON files that hold a records array each.
+    """
     if fmt in ("excel", "xlsx"):
         raise ValueError("excel output is not supported")
     target = os.path.join(path, f"v={int(time.time() * 1000)}")
+    if fmt == "records":
+        write_records_array(df, target)
+        return target
     w = df.write.mode("errorifexists").format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
