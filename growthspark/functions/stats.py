@@ -185,12 +185,60 @@ def _brackets(long: DataFrame, targets: dict[tuple, set], ends: dict) -> list[tu
     return probes
 
 
+def _segments(brackets: list[tuple]) -> list[float]:
+    """Edges lo, hi, lo, hi, ... of disjoint brackets, overlapping ones joined."""
+    edges: list[float] = []
+    for lo, hi in sorted(brackets):
+        if edges and lo <= edges[-1]:
+            edges[-1] = max(edges[-1], hi)
+        else:
+            edges += [lo, hi]
+    return edges
+
+
+def bracketed_ranks(numbers: DataFrame, brackets: dict[int, list[tuple]], wanted: dict[int, set]) -> tuple[dict, dict]:
+    """({(column index, k): k-th smallest value}, ranks that lie outside of their column's brackets).
+
+    One pass: values between two brackets are counted as one, those inside by
+    value, so a value that many rows share is combined before the shuffle.
+    A running count per column over these few rows meets the wanted ranks.
+    """
+    spark = numbers.sparkSession
+    edges = {ci: _segments(b) for ci, b in brackets.items()}
+    most = max(len(e) for e in edges.values())
+    table = spark.createDataFrame([(ci, [float(x) for x in e]) for ci, e in edges.items()], "ci int, edges array<double>")
+    at = numbers.join(F.broadcast(table), "ci")  # one row per column
+    edge = lambda j: F.get(F.col("edges"), j)
+    passed = [F.coalesce((F.col("v") >= edge(j)) if j % 2 == 0 else (F.col("v") > edge(j)), F.lit(False)).cast("int") for j in range(most)]
+    segment = sum(passed[1:], passed[0])
+    cells = at.select("ci", "v", segment.alias("s")).select("ci", "s", F.when(F.col("s") % 2 == 1, F.col("v")).alias("x"))
+    counts = cells.groupBy("ci", "s", "x").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("ci").orderBy("s", "x")
+    running = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
+    ranks = spark.createDataFrame([(ci, sorted(ks)) for ci, ks in wanted.items()], "ci int, ks array<long>")
+    hits = (running.join(F.broadcast(ranks), "ci").withColumn("hit", F.filter("ks", lambda k: (k >= F.col("before")) & (k < F.col("upto"))))
+            .where(F.size("hit") > 0).select("ci", "x", "hit").collect())  # one row per wanted rank at most
+    found, missed = {}, {}
+    for r in hits:
+        for k in r["hit"]:
+            if r["x"] is None:
+                missed.setdefault(r["ci"], set()).add(k)
+            else:
+                found[(r["ci"], k)] = r["x"]
+    return found, missed
+
+
 def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
     """{name: (column, p)} -> {name: (a, b, frac)} with quantile = a + frac (b - a).
 
     ``a``/``b`` are the bracketing order statistics, so a caller can apply a
     monotone map (e.g. a clip) before interpolating.  None if no value.  NULL
     and NaN do not count; infinities stand at the ends.
+
+    Two passes over the columns: one aggregate gives counts, ends and an
+    approximate bracket around every quantile, the next finds the exact values
+    (:func:`bracketed_ranks`).  Columns whose brackets hold more values than
+    one task may rank are narrowed further (:func:`exact_order_statistics`).
     """
     cols = sorted({c for c, _ in specs.values()})
     if not cols:
@@ -199,9 +247,10 @@ def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
     idx = {c: i for i, c in enumerate(cols)}
     long = _long_form(df.select(*[F.col(c) for c in cols]), cols)
     finite = F.when(F.abs("v") < inf, F.col("v"))
+    points = sorted({min(1.0, max(0.0, float(p) + d)) for _, p in specs.values() for d in (-BRACKET, BRACKET)})
     ends = {i: {"n": 0, "low": 0, "high": 0} for i in range(len(cols))}
     for r in long.groupBy("ci").agg(
-            F.count(finite).alias("n"), F.min(finite).alias("mn"), F.max(finite).alias("mx"),
+            F.count(finite).alias("n"), F.min(finite).alias("mn"), F.max(finite).alias("mx"), F.percentile_approx(finite, points, ACCURACY).alias("near"),
             F.count(F.when(F.col("v") == -inf, 1)).alias("low"), F.count(F.when(F.col("v") == inf, 1)).alias("high")).collect():
         ends[r["ci"]] = r.asDict()
     targets: dict = {}
@@ -219,8 +268,22 @@ def global_order_stats(df: DataFrame, specs: dict[str, tuple]) -> dict:
             else:
                 targets.setdefault((ci, p), set()).add(k - low)
         plan[name] = (ci, h, lo, hi)
+    numbers = long.where(F.abs("v") < inf)
+    brackets: dict = {}
+    wanted: dict = {}
+    for (ci, p), ks in targets.items():
+        near = dict(zip(points, ends[ci]["near"]))
+        lo, hi = near[max(0.0, p - BRACKET)], near[min(1.0, p + BRACKET)]
+        if ends[ci]["n"] * 4 * BRACKET * len(specs) <= TASK_MAX * len(cols):
+            # the ends of a column are exact: infinities shift the wanted ranks past an approximate end
+            brackets.setdefault(ci, []).append((ends[ci]["mn"] if p <= BRACKET else lo, ends[ci]["mx"] if p >= 1 - BRACKET else hi))
+            wanted.setdefault(ci, set()).update(ks)
+    if brackets:
+        found, missed = bracketed_ranks(numbers, brackets, wanted)
+        got |= {(ci, k + ends[ci]["low"]): v for (ci, k), v in found.items()}
+        left = {t: {k for k in ks if k in missed.get(t[0], ())} for t, ks in targets.items() if t[0] in brackets}
+        targets = {t: ks for t, ks in targets.items() if t[0] not in brackets} | {t: ks for t, ks in left.items() if ks}
     if targets:
-        numbers = long.where(F.abs("v") < inf)
         found = exact_order_statistics(numbers, _brackets(numbers, targets, ends))
         got |= {(ci, k + ends[ci]["low"]): v for (ci, k), v in found.items()}
     return {name: (None if pl is None else (got[(pl[0], pl[2])], got[(pl[0], pl[3])], pl[1] - pl[2]))
