@@ -13,15 +13,17 @@ Scale notes
 * Key de-duplication (CL19) is an aggregate (``max`` of a struct led by the
   sequence column), so it combines map-side and a hot key never lands in one
   task as raw rows.
-* The only sequential rule (CL17 follower-jump smoothing) folds each
-  creator's (date, row) series with the ``aggregate`` higher-order function:
-  one creator's history, bounded by the calendar, stays in the JVM.
+* The only sequential rule (CL17 follower-jump smoothing) streams each
+  creator's rows in date order through Arrow batches, carrying one number.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -376,51 +378,51 @@ def fix_rate_consistency(df: DataFrame, all_if_any: bool = False) -> DataFrame:
                          .otherwise(F.col("engagement_rate")))
 
 
+def smooth_series(keys: list, values: np.ndarray, state: list) -> np.ndarray:
+    """Smoothed copies of ``values``, rows in order of key and date; ``state`` holds the last (key, smoothed value).
+
+    A missing value has no change and ends the comparison: the next known one stays.
+    """
+    lim, cap, frac = C.FOLLOWER_JUMP_LIMIT, float(C.FOLLOWER_JUMP_MAX_CHANGE), C.FOLLOWER_JUMP_MAX_FRACTION
+    out = values.copy()
+    key, prev = state
+    for i, (k, cur) in enumerate(zip(keys, values.tolist())):
+        if k != key:
+            key, prev = k, math.nan
+        change = cur - prev  # NaN where either is missing: not a jump
+        if abs(change) > lim:
+            cur = prev + math.copysign(1.0, change) * min(cap, prev * frac)
+            out[i] = cur
+        prev = cur
+    state[:] = [key, prev]
+    return out
+
+
 def smooth_follower_jumps(df: DataFrame, creator: str = "username", order: str = "date") -> DataFrame:
     """CL17 (B6 applied): a change of more than 50,000 against the previous
     *smoothed* value becomes previous +- min(10,000, 10 % of previous).
 
-    Each creator's rows are folded in date order with ``aggregate`` (JVM
-    higher-order function); the row structs ride along, so no join back.
-    Precondition: one row per creator-day (``dedup_keys`` first, as
-    ``clean_raw_data`` does), so a group is bounded by the calendar.
+    Each task reads its creators' rows in date order as a stream of Arrow
+    batches and carries one number from row to row, so time is linear and
+    memory is one batch however long a creator's history is.
     """
     if "followers" not in df.columns:
         return df
-    cols = df.columns
-    ftype = df.schema["followers"].dataType
-    row = F.struct(*[F.col(c) for c in cols])
-    # sort key: missing dates last (as pandas sorts NaT), then the row itself
-    g = df.groupBy(creator).agg(F.sort_array(F.collect_list(F.struct(
-        F.struct(F.col(order).isNull().alias("n"), F.col(order).alias("d")).alias("_o"),
-        F.col("followers").cast("double").alias("_f"), row.alias("_r")))).alias("_xs"))
-    lim, cap, frac = C.FOLLOWER_JUMP_LIMIT, C.FOLLOWER_JUMP_MAX_CHANGE, C.FOLLOWER_JUMP_MAX_FRACTION
-
-    def smooth(prev, cur):
-        change = cur - prev
-        fixed = prev + F.signum(change) * F.least(F.lit(float(cap)), prev * frac)
-        return F.when(prev.isNull(), cur).when(F.abs(change) > lim, fixed).otherwise(cur)
-
-    # Between two jumps the smoothed value is the value itself, so a row depends on its neighbour's raw value
-    # unless that was changed: fold the changes only, as (position, new value), and look each row up in them
-    first = F.struct(F.lit(None).cast("double").alias("prev"), F.lit(-1).alias("at"), F.array().cast("array<struct<at:int,v:double>>").alias("changed"))
-
-    def step(acc, x):
-        new = smooth(acc["prev"], x["_f"])
-        at = acc["at"] + 1
-        moved = new.isNotNull() & (new != x["_f"])
-        return F.struct(new.alias("prev"), at.alias("at"),
-                        F.when(moved, F.array_append(acc["changed"], F.struct(at.alias("at"), new.alias("v")))).otherwise(acc["changed"]).alias("changed"))
-
-    changed = F.aggregate(F.col("_xs"), first, step)["changed"]
-    g = g.select("_xs", F.map_from_entries(changed).alias("_new"))
-    smoothed = F.transform("_xs", lambda x, i: F.coalesce(F.try_element_at(F.col("_new"), i), x["_f"]))
-    z = g.select(F.explode(F.arrays_zip(F.col("_xs").alias("x"), smoothed.alias("s"))).alias("z"))
-    out = z.select(*[F.col(f"z.x._r.{c}").alias(c) for c in cols], F.col("z.s").alias("_sf"))
-    sf = F.col("_sf")
-    if isinstance(ftype, INTEGRAL):
-        sf = F.rint(sf)
-    return out.withColumn("followers", sf.cast(ftype)).drop("_sf").select(*cols)
+    at, key_at = df.columns.index("followers"), df.columns.index(creator)
+    integral = isinstance(df.schema["followers"].dataType, INTEGRAL)
+
+    def run(batches):
+        state = [object(), math.nan]  # no key is equal to this one
+        for batch in batches:
+            col = batch.column(at)
+            values = col.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
+            new = smooth_series(batch.column(key_at).to_pylist(), values, state)
+            new = pa.array(np.rint(new) if integral else new, from_pandas=True).cast(col.type)
+            yield batch.set_column(at, batch.schema.field(at), new)
+
+    # missing dates last (as pandas sorts NaT)
+    rows = df.repartition(creator).sortWithinPartitions(creator, F.col(order).asc_nulls_last(), "followers")
+    return rows.mapInArrow(run, df.schema)
 
 
 def validate_and_fix_ranges(df: DataFrame, all_if_any: bool = False, smooth: bool = True) -> DataFrame:
