@@ -255,3 +255,8 @@ KPI_ADVICE = (
     ("not stable", "Model showing instability over time - consider retraining"),
 )
 KPI_ALL_GOOD = "KPI performance looks good"
+
+# FIXED VALUES: days of the smoothed engagement rate; advice of the model quality verdict
+ENGAGEMENT_SMOOTHING_DAYS = 3
+LOW_R2_ADVICE = "Consider adding more features or different model type"
+LOW_DIRECTION_ADVICE = "Review feature engineering for better trend prediction"

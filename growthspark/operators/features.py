@@ -267,3 +267,31 @@ def feature_summary(df: DataFrame) -> DataFrame:
                       F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"))
              for i, c in enumerate(numeric)]
     return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+
+
+def feature_overview(df: DataFrame) -> DataFrame:
+    """Rows (item, name, value): totals, types and categories of the columns, and the date range.
+
+    The counts over rows are one aggregate; types and categories come from the schema.
+    """
+    fields = df.schema.fields
+    dated = next((c for c in ("date", "week_start", "week_end") if c in df.columns), None)
+    row = lambda item, name, value: F.struct(F.lit(item).alias("item"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    types: dict[str, int] = {}
+    for f in fields:
+        types[f.dataType.simpleString()] = types.get(f.dataType.simpleString(), 0) + 1
+    cats = {c: k for k, cols in FEATURE_CATEGORIES.items() for c in cols}
+    held: dict[str, int] = {}
+    for f in fields:
+        cat = cats.get(f.name) or ("interaction" if "_x_" in f.name else None)
+        if cat:
+            held[cat] = held.get(cat, 0) + 1
+    items = [row("total_features", None, F.lit(len(fields))), row("total_samples", None, F.col("n")), row("missing_values", None, F.col("missing")),
+             row("numeric_features", None, F.lit(sum(isinstance(f.dataType, NUMERIC) for f in fields)))]
+    items += [row("feature_type", t, F.lit(k)) for t, k in sorted(types.items())]
+    items += [row("feature_category", c, F.lit(k)) for c, k in sorted(held.items())]
+    aggs = [F.count(F.lit(1)).alias("n"), reduce(lambda a, b: a + b, [F.count_if(F.col(f"`{f.name}`").isNull()) for f in fields]).alias("missing")]
+    if dated:
+        aggs += [F.min(dated).alias("start"), F.max(dated).alias("end")]
+        items += [row("date_range", "start", F.col("start")), row("date_range", "end", F.col("end")), row("date_range", "periods", F.col("n"))]
+    return df.agg(*aggs).select(F.explode(F.array(*items)).alias("x")).select("x.*")

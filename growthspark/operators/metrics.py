@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import exprs as X
 
 
@@ -51,7 +52,7 @@ def regression_metrics(pred: DataFrame, y="y_true", yhat="y_pred", by=None,
 
 
 def quality_verdict(metrics: DataFrame, min_r2: float = 0.60, min_direction: float = 75.0) -> DataFrame:
-    """ML13: warnings on R2 and direction; Excellent / Good / Poor."""
+    """ML13: warnings on R2 and direction with advice on each; Excellent / Good / Poor."""
     low_r2 = F.col("r2") < min_r2
     low_dir = F.col("directional_accuracy") < min_direction
     n_warn = low_r2.cast("int") + low_dir.cast("int")
@@ -60,4 +61,5 @@ def quality_verdict(metrics: DataFrame, min_r2: float = 0.60, min_direction: flo
         low_r2.alias("low_r2"),
         low_dir.alias("low_direction"),
         F.when(n_warn == 0, "Excellent").when(n_warn == 1, "Good").otherwise("Poor").alias("overall_quality"),
+        F.concat_ws("; ", F.when(low_r2, C.LOW_R2_ADVICE), F.when(low_dir, C.LOW_DIRECTION_ADVICE)).alias("recommendations"),
     )

@@ -103,6 +103,19 @@ def qq_line(points: DataFrame) -> DataFrame:
     return points.agg(F.regr_slope("sample", "theoretical").alias("slope"), F.regr_intercept("sample", "theoretical").alias("intercept"))
 
 
+def importance_bars(model, spark) -> DataFrame:
+    """Bars of a model's coefficients, smallest magnitude first (position from 0), with the side of zero."""
+    rows = sorted(zip(model.features, (float(w) for w in model.fit.coef)), key=lambda r: (abs(r[1]), r[0]))
+    return spark.createDataFrame([(i, f, w, "positive" if w >= 0 else "negative") for i, (f, w) in enumerate(rows)],
+                                 "position int, feature string, coefficient double, side string")
+
+
+def interval_series(scored: DataFrame, date: str = "week_start", actual: str = "weekly_growth") -> DataFrame:
+    """Prediction, interval and actual value by date, averaged over the accounts of a date: one point per date."""
+    return scored.groupBy(date).agg(F.avg("y_pred").alias("prediction"), F.avg("lower_bound").alias("lower"), F.avg("upper_bound").alias("upper"),
+                                    F.avg(actual).alias("actual"), F.count(F.lit(1)).alias("n_rows"))
+
+
 # RP6 ------------------------------------------------------------------------
 def roi_vs_frequency(weekly: DataFrame, x: str = "weekly_posting_frequency", y: str = "roi_follows_per_hour",
                      points: int = 100) -> DataFrame:

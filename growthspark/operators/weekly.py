@@ -142,3 +142,18 @@ def weekly_feature_table(daily: DataFrame, scope=(), checkpoint: bool = True) ->
     if checkpoint and not scope:
         w = cut_lineage(w)
     return add_roi_features(w, scope)
+
+
+# DQ12: what the full processed table has beside the weekly features -----------
+def add_processed_columns(weekly: DataFrame, daily: DataFrame, creator: str = "username") -> DataFrame:
+    """Adds the week's ``engagement_rate_smoothed`` and ``posted_in_optimal_window``.
+
+    The rate is smoothed per creator over three days in date order (fewer at
+    the start) and averaged over the week; the other is the share of the week's
+    days posted in an optimal window.  One row per creator-week is joined.
+    """
+    last = Window.partitionBy(creator).orderBy(F.col("date").asc_nulls_last()).rowsBetween(1 - C.ENGAGEMENT_SMOOTHING_DAYS, 0)
+    d = daily.select(creator, X.week_start("date").alias("week_start"), F.avg("engagement_rate").over(last).alias("smoothed"),
+                     X.optimal_window_flag("post_time").alias("optimal"))
+    extra = d.groupBy(creator, "week_start").agg(F.avg("smoothed").alias("engagement_rate_smoothed"), F.avg("optimal").alias("posted_in_optimal_window"))
+    return weekly.join(extra, [creator, "week_start"], "left")

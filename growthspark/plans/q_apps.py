@@ -146,9 +146,8 @@ def sc4(spark, sf):
                 ", CAST(1 AS INTEGER) AS month, CAST(1 AS INTEGER) AS quarter FROM rq),\n" + _score_sql("rq1")))
 def sc6(spark, sf):
     """SC6 single prediction: one request row (the average creator-week of the table)."""
-    r = requests(spark, sf).agg(*[F.avg(c).alias(c) for c in REQ_FIELDS[:-2]]).withColumn(
-        "month", F.lit(1)).withColumn("quarter", F.lit(1))
-    return SC.predict_batch(r, fixed_model()).select(*SC_OUT)
+    fields = requests(spark, sf).agg(*[F.avg(c).alias(c) for c in REQ_FIELDS[:-2]]).first().asDict()
+    return SC.predict_single(spark, fixed_model(), **fields, month=1, quarter=1).select(*SC_OUT)
 
 
 @register("sc7")
@@ -232,6 +231,36 @@ def rp5(spark, sf):
     return R.qq_points(predictions(spark, sf))
 
 
+@register("rp5b")
+def rp5b(spark, sf):
+    """RP5 importance bars of the OLS fit on the weekly table (rows-only)."""
+    return R.importance_bars(M.fit_model(model_frame(spark, sf), "linear", validate=False), spark)
+
+
+@register("rp5i", doubles=("prediction", "lower", "upper", "actual"),
+          sql=q(f"SELECT week_start, AVG({PRED_SQL}) AS prediction, AVG({PRED_SQL} - {_MARGIN!r}) AS lower, AVG({PRED_SQL} + {_MARGIN!r}) AS upper, "
+                "AVG(weekly_growth) AS actual, COUNT(*) AS n_rows FROM wf GROUP BY week_start", "f1", extra=weekly_feature_ctes("f1")))
+def rp5i(spark, sf):
+    """RP5 prediction interval series: prediction, interval and actual growth by week."""
+    return R.interval_series(fixed_model().predict_with_confidence(W.weekly_feature_table(FX.daily_metrics(spark, sf))))
+
+
+@register("cat2", sql=q("SELECT 'processed' AS zone, username, COUNT(*) AS n_weeks FROM wk GROUP BY username UNION ALL "
+                        "SELECT 'interim', username, COUNT(*) FROM f1 GROUP BY username", "f1", extra=weekly_ctes("f1")))
+def cat2(spark, sf):
+    """CAT2 data zones: tables saved at their zone's path and found there again."""
+    root, daily = _scratch(spark, "zones"), FX.daily_metrics(spark, sf)
+    tables = {"processed": W.create_weekly_features(daily), "interim": daily}
+    out = None
+    for zone, table in tables.items():
+        path = IO.get_data_path(root, zone)
+        IO.save_dataframe(table.select("username"), path)
+        found = spark.read.parquet(IO.current_version(spark, path)).groupBy("username").agg(F.count(F.lit(1)).alias("n_weeks"))
+        found = found.select(F.lit(zone).alias("zone"), "username", "n_weeks")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @register("rp6", doubles=("x", "y_trend", "slope", "intercept"),
           sql=q("SELECT k, x_min + k * (x_max - x_min) / 99 AS x, intercept + slope * (x_min + k * (x_max - x_min) / 99) "
                 "AS y_trend, slope, intercept FROM (SELECT regr_slope(roi_follows_per_hour, weekly_posting_frequency) AS "

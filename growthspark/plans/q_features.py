@@ -272,3 +272,32 @@ def fe14d(spark, sf):
 def ag12(spark, sf):
     """AG12 feature summary: count, missing, mean, sample std per numeric feature."""
     return FE.feature_summary(W.weekly_feature_table(FX.daily_metrics(spark, sf)))
+
+
+OVERVIEW_COLS = ["username", "week_start", "week_end", "weekly_posting_frequency", "weekly_growth", "share_posts", "share_reels",
+                 "engagement_rate", "roi_follows_per_hour", "max_gap_days"]
+
+
+@register("ag12s", sql=q(
+    "SELECT 'total_samples' AS item, CAST(NULL AS VARCHAR) AS name, CAST(COUNT(*) AS VARCHAR) AS value FROM wf UNION ALL "
+    "SELECT 'missing_values', NULL, CAST(" + " + ".join(f"SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in OVERVIEW_COLS) + " AS VARCHAR) FROM wf UNION ALL "
+    "SELECT 'date_range', 'start', CAST(MIN(week_start) AS VARCHAR) FROM wf UNION ALL SELECT 'date_range', 'end', CAST(MAX(week_start) AS VARCHAR) FROM wf UNION ALL "
+    "SELECT 'date_range', 'periods', CAST(COUNT(*) AS VARCHAR) FROM wf UNION ALL SELECT * FROM (VALUES ('total_features', NULL, '10'), "
+    "('numeric_features', NULL, '7'), ('feature_type', 'bigint', '2'), ('feature_type', 'date', '2'), ('feature_type', 'double', '4'), "
+    "('feature_type', 'int', '1'), ('feature_type', 'string', '1'), ('feature_category', 'primary_features', '1'), "
+    "('feature_category', 'content_mix', '2'), ('feature_category', 'engagement', '1'), ('feature_category', 'roi_metrics', '1'), "
+    "('feature_category', 'target', '1')) v", "f1", extra=weekly_feature_ctes("f1")))
+def ag12s(spark, sf):
+    """AG12 overview: totals, missing values, column types and categories, date range."""
+    return FE.feature_overview(W.weekly_feature_table(FX.daily_metrics(spark, sf)).select(*OVERVIEW_COLS))
+
+
+@register("dq12t", doubles=("engagement_rate_smoothed", "posted_in_optimal_window"), sql=q(
+    "SELECT username, CAST(date - CAST(isodow(date) - 1 AS INTEGER) AS DATE) AS week_start, AVG(e) AS engagement_rate_smoothed, "
+    "AVG(CAST(post_time IN (" + ", ".join(f"'{t}'" for t in C.OPTIMAL_POST_TIMES) + ") AS INTEGER)) AS posted_in_optimal_window FROM (SELECT *, "
+    "AVG(engagement_rate) OVER (PARTITION BY username ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS e FROM f1) d GROUP BY 1, 2", "f1"))
+def dq12t(spark, sf):
+    """DQ12 columns of the full processed table: smoothed engagement rate, share of optimal post times."""
+    d = FX.daily_metrics(spark, sf)
+    full = W.add_processed_columns(W.weekly_feature_table(d), d)
+    return full.select("username", "week_start", "engagement_rate_smoothed", "posted_in_optimal_window")

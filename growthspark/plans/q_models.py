@@ -163,13 +163,15 @@ def ml12(spark, sf):
           sql=q("SELECT r2, directional_accuracy, r2 < 0.6 AS low_r2, directional_accuracy < 75.0 AS low_direction, "
                 "CASE WHEN (CAST(r2 < 0.6 AS INTEGER) + CAST(directional_accuracy < 75.0 AS INTEGER)) = 0 THEN "
                 "'Excellent' WHEN (CAST(r2 < 0.6 AS INTEGER) + CAST(directional_accuracy < 75.0 AS INTEGER)) = 1 THEN "
-                "'Good' ELSE 'Poor' END AS overall_quality FROM (" + METRICS_SQL + ") m", "f1",
+                "'Good' ELSE 'Poor' END AS overall_quality, concat_ws('; ', CASE WHEN r2 < 0.6 THEN "
+                f"'{C.LOW_R2_ADVICE}' END, CASE WHEN directional_accuracy < 75.0 THEN '{C.LOW_DIRECTION_ADVICE}' END) AS recommendations "
+                "FROM (" + METRICS_SQL + ") m", "f1",
                 extra=weekly_ctes("f1") + ",\n" + ML_SQL_FIT))
 def ml13(spark, sf):
     """ML13 quality verdict (R2 >= .60, direction >= 75 %) on the flagship fit."""
     from ..operators.metrics import quality_verdict
     return quality_verdict(flagship_df(spark, sf)).select("r2", "directional_accuracy", "low_r2", "low_direction",
-                                                           "overall_quality")
+                                                           "overall_quality", "recommendations")
 
 
 @register("ml14")
