@@ -196,6 +196,45 @@ def _segments(brackets: list[tuple]) -> list[float]:
     return edges
 
 
+def _cells(numbers: DataFrame, edges: dict[int, list]) -> DataFrame:
+    """(ci, s, x, n): values between two brackets counted as one (x NULL), those inside by value."""
+    most = max(len(e) for e in edges.values())
+    table = numbers.sparkSession.createDataFrame([(ci, [float(x) for x in e]) for ci, e in edges.items()], "ci int, edges array<double>")
+    at = numbers.join(F.broadcast(table), "ci")  # one row per column
+    edge = lambda j: F.get(F.col("edges"), j)
+    passed = [F.coalesce((F.col("v") >= edge(j)) if j % 2 == 0 else (F.col("v") > edge(j)), F.lit(False)).cast("int") for j in range(most)]
+    cells = at.select("ci", "v", sum(passed[1:], passed[0]).alias("s")).select("ci", "s", F.when(F.col("s") % 2 == 1, F.col("v")).alias("x"))
+    return cells.groupBy("ci", "s", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_cells(df: DataFrame, cols: list[str], brackets: dict[str, tuple]) -> DataFrame:
+    """Mergeable summary (ci, s, x, n) of the columns around their brackets, in one pass."""
+    return _cells(_long_form(df, cols), {i: _segments(list(brackets[c])) for i, c in enumerate(cols)})
+
+
+def cell_quantiles(cells: DataFrame, ps) -> list | None:
+    """Interpolated quantiles of one column from (parts of) its summary; None where one lies between brackets."""
+    counts = cells.groupBy("ci", "s", "x").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("ci").orderBy("s", "x")
+    running = counts.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("ci")))
+    h = [(F.col("all") - 1) * F.lit(float(p)) for p in ps]
+    ranks = F.array(*[f(x) for x in h for f in (F.floor, F.ceil)])
+    hit = F.filter(F.transform(ranks, lambda k, i: F.struct(i.alias("i"), k.alias("k"))),
+                   lambda r: (r["k"] >= F.col("upto") - F.col("n")) & (r["k"] < F.col("upto")))
+    got = {}
+    for r in running.select("x", "all", hit.alias("hit")).where(F.size("hit") > 0).collect():  # two per quantile at most
+        for h_ in r["hit"]:
+            got[h_["i"]] = (r["x"], r["all"])
+    if len(got) < 2 * len(ps) or any(x is None for x, _ in got.values()):
+        return None
+    out = []
+    for j, p in enumerate(ps):
+        (a, n), (b, _) = got[2 * j], got[2 * j + 1]
+        place = (n - 1) * float(p)
+        out.append(interpolate((a, b, place - math.floor(place))))
+    return out
+
+
 def bracketed_ranks(numbers: DataFrame, brackets: dict[int, list[tuple]], wanted: dict[int, set]) -> tuple[dict, dict]:
     """({(column index, k): k-th smallest value}, ranks that lie outside of their column's brackets).
 
@@ -204,15 +243,7 @@ def bracketed_ranks(numbers: DataFrame, brackets: dict[int, list[tuple]], wanted
     A running count per column over these few rows meets the wanted ranks.
     """
     spark = numbers.sparkSession
-    edges = {ci: _segments(b) for ci, b in brackets.items()}
-    most = max(len(e) for e in edges.values())
-    table = spark.createDataFrame([(ci, [float(x) for x in e]) for ci, e in edges.items()], "ci int, edges array<double>")
-    at = numbers.join(F.broadcast(table), "ci")  # one row per column
-    edge = lambda j: F.get(F.col("edges"), j)
-    passed = [F.coalesce((F.col("v") >= edge(j)) if j % 2 == 0 else (F.col("v") > edge(j)), F.lit(False)).cast("int") for j in range(most)]
-    segment = sum(passed[1:], passed[0])
-    cells = at.select("ci", "v", segment.alias("s")).select("ci", "s", F.when(F.col("s") % 2 == 1, F.col("v")).alias("x"))
-    counts = cells.groupBy("ci", "s", "x").agg(F.count(F.lit(1)).alias("n"))
+    counts = _cells(numbers, {ci: _segments(b) for ci, b in brackets.items()})
     w = Window.partitionBy("ci").orderBy("s", "x")
     running = counts.withColumn("upto", F.sum("n").over(w)).withColumn("before", F.col("upto") - F.col("n"))
     ranks = spark.createDataFrame([(ci, sorted(ks)) for ci, ks in wanted.items()], "ci int, ks array<long>")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.stats import attach_row, attach_scope_stats, global_quantiles, scalar_stats, scoped_quantiles
+from ..functions.stats import attach_row, attach_scope_stats, cell_quantiles, global_quantiles, scalar_stats, scoped_quantiles, value_cells
 from ..session import cut_lineage
 from . import windows as WN
 
@@ -226,21 +226,11 @@ def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 3.0,
     if scope and cols:
         return handle_scoped_outliers(df, cols, scope, method, threshold, action)
     if action == "remove":
-        # sequential by definition: each column's thresholds are computed on
-        # the rows the previous columns left.  The input is checkpointed once
-        # (reliable, shared folder) and again every few removals, so the
-        # per-column statistics passes never recompute upstream lineage.
-        out, total = cut_lineage(df), 0
-        for i, c in enumerate(cols):
-            b = outlier_bounds(out, [c], method, threshold, exact)[c]
-            flag = outlier_flag(c, b, method)
-            n = out.agg(F.sum(flag.cast("long")).alias("n")).collect()[0]["n"] or 0
-            if n:
-                out = out.where(~flag)
-                total += int(n)
-            if i % 4 == 3 and i < len(cols) - 1:
-                out = cut_lineage(out)
-        return out, total
+        written = cut_lineage(df)
+        bounds = sequential_bounds(written, cols, method, threshold, exact)
+        # a row goes at the first column whose bounds it breaks, so it stays if it keeps all of them
+        gone = reduce(lambda a, b: a | b, [outlier_flag(c, bounds[c], method) for c in cols], F.lit(False))
+        return written.where(~gone), written.where(gone).count()
     bounds = outlier_bounds(df, cols, method, threshold, exact)
     counts = scalar_stats(df, {c: F.sum(outlier_flag(c, bounds[c], method).cast("long")) for c in cols}) \
         if cols else {}
@@ -264,6 +254,68 @@ def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 3.0,
     return out, total
 
 
+MARGIN = 0.05  # share of the rows by which removals may shift a quartile's rank before the brackets are drawn anew
+
+
+def _possible_bounds(quartiles: dict, threshold: float) -> tuple[tuple, tuple]:
+    """(narrowest, widest) bounds while both quartiles stay in their brackets ((q1 from, to), (q3 from, to))."""
+    (a, b), (c, d) = quartiles
+    corners = [(q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1)) for q1 in (a, b) for q3 in (c, d)]
+    low, high = zip(*corners)
+    return (max(low), min(high)), (min(low), max(high))
+
+
+def sequential_bounds(df: DataFrame, cols, method: str = "iqr", threshold: float = 3.0, exact: bool = True) -> dict:
+    """{col: (low, high)}, each column's bounds over the rows that earlier columns left (CL11).
+
+    Removing rows shifts the ranks of the others' quartiles a little.  One scan
+    gives brackets that hold each quartile for shifts up to ``MARGIN``; rows
+    that no bounds from these brackets can remove are summed up in a second
+    one, per column: how many lie between brackets, and the values inside with
+    their counts.  Only the other rows, the suspects, are written and looked at
+    again, once per column, and their remaining ones are added to the sums.  A
+    quartile that leaves its bracket starts anew with the rows left then.
+    The z-score rule needs means only: one aggregate per column.
+    """
+    out: dict = {}
+    kept = df
+    left = list(cols)
+    if method != "iqr" or not exact:
+        for c in left:
+            out[c] = outlier_bounds(kept, [c], method, threshold, exact)[c]
+            kept = kept.where(~outlier_flag(c, out[c], method))
+        return out
+    while left:
+        probes = {f"{c}|{k}": (c, p) for c in left for k, p in enumerate((0.25 - MARGIN, 0.25 + MARGIN, 0.75 - MARGIN, 0.75 + MARGIN))}
+        near = global_quantiles(kept, probes)
+        known = [c for c in left if near[f"{c}|0"] is not None]
+        brackets = {c: ((near[f"{c}|0"], near[f"{c}|1"]), (near[f"{c}|2"], near[f"{c}|3"])) for c in known}
+        suspect = reduce(lambda a, b: a | b, [outlier_flag(c, _possible_bounds(brackets[c], threshold)[0]) for c in known], F.lit(False))
+        rows = kept.select(*[F.col(c).cast("double").alias(c) for c in left], suspect.alias("_suspect"))
+        safe = cut_lineage(value_cells(rows.where(~F.col("_suspect")), known, brackets)) if known else None
+        suspects = cut_lineage(rows.where("_suspect").drop("_suspect"))
+        done = []
+        for c in left:
+            if c not in known:
+                out[c] = (None, None)
+            else:
+                cells = safe.where(F.col("ci") == known.index(c)).unionByName(
+                    value_cells(suspects, [c], brackets).withColumn("ci", F.lit(known.index(c))))
+                quartiles = cell_quantiles(cells, (0.25, 0.75))
+                if quartiles is None and done:
+                    break  # out of the bracket: the bounds found so far hold, the rest starts anew
+                if quartiles is None:  # cannot be while no row has gone, save for ties at a bracket's end
+                    out[c] = outlier_bounds(kept, [c], method, threshold)[c]
+                else:
+                    step = threshold * (quartiles[1] - quartiles[0])
+                    out[c] = (quartiles[0] - step, quartiles[1] + step)
+            done.append(c)
+            suspects = suspects.where(~outlier_flag(c, out[c]))
+            kept = kept.where(~outlier_flag(c, out[c]))
+        left = [c for c in left if c not in done]
+    return out
+
+
 def handle_scoped_outliers(df: DataFrame, cols, scope, method: str = "iqr", threshold: float = 3.0,
                            action: str = "cap") -> tuple[DataFrame, int]:
     """CL10-CL12 with the bounds of each row's scope (a creator's own history).
