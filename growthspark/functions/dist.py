@@ -8,8 +8,12 @@ Lentz), the textbook method; quantiles by bisection on the CDF.
 from __future__ import annotations
 
 import math
+from functools import cache
 from statistics import NormalDist
 
+from numpy.polynomial import chebyshev
+from pyspark.sql import functions as F
+
 _N = NormalDist()
 
 
@@ -109,3 +113,44 @@ def critical_value(level: float, df_resid: int | None) -> float:
     if df_resid is not None and df_resid > 0:
         return t_ppf(q, df_resid)
     return norm_ppf(q)
+
+
+# ---------------------------------------------------------------------------
+# normal log-tail as a Column (no Python worker)
+# ---------------------------------------------------------------------------
+_MIDDLE = 3.75  # x where the variable of the series is 0
+_TERMS = 24
+
+
+def _scaled_erfc(x: float) -> float:
+    """exp(x^2) erfc(x), x >= 0; by its asymptotic series where erfc is too small a number."""
+    if x < 20:
+        return math.exp(x * x) * math.erfc(x)
+    term, total, k = 1.0, 1.0, 0
+    while k < 12:
+        k += 1
+        term *= -(2 * k - 1) / (2 * x * x)
+        total += term
+    return total / (x * math.sqrt(math.pi))
+
+
+@cache
+def _tail_series() -> tuple:
+    """Chebyshev coefficients of (1 + 2x) exp(x^2) erfc(x) in t = (x - m) / (x + m): smooth on [-1, 1)."""
+    n = 64
+    nodes = [math.cos(math.pi * (k + 0.5) / n) for k in range(n)]
+    values = [(1 + 2 * x) * _scaled_erfc(x) for x in (_MIDDLE * (1 + t) / (1 - t) for t in nodes)]
+    coef = [2.0 / n * sum(v * math.cos(math.pi * j * (k + 0.5) / n) for k, v in enumerate(values)) for j in range(_TERMS)]
+    return (coef[0] / 2, *coef[1:])
+
+
+def log_lower_tail(df, z: str, name: str):
+    """``df`` with ``name`` = ln Phi(-|z|): accurate far out, where Phi itself is 0; built-in functions only."""
+    x = F.abs(F.col(z)) / F.lit(math.sqrt(2.0))
+    step = df.withColumn("_x", x).withColumn("_t", (F.col("_x") - _MIDDLE) / (F.col("_x") + _MIDDLE))
+    powers = chebyshev.cheb2poly(_tail_series())  # the terms fall fast enough for Horner's rule
+    series = f"{float(powers[-1])!r}D"
+    for c in reversed(powers[:-1].tolist()):
+        series = f"({series} * _t + {c!r}D)"
+    scaled = F.expr(series) / (1 + 2 * F.col("_x"))
+    return step.withColumn(name, F.log(scaled / 2) - F.col("_x") * F.col("_x")).drop("_x", "_t")

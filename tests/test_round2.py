@@ -121,12 +121,18 @@ def test_walk_forward_matches_refits(spark):
         assert g["n_test"] == test.sum() and g["mse"] == pytest.approx((err ** 2).mean(), rel=1e-4)
 
 
-def test_log_phi_has_finite_tails():
-    z = np.array([-1e6, -400., -38., -30.0001, -30., -5., 0., 5., 40.])
-    got = D._log_phi(z)
-    assert np.isfinite(got).all() and (np.diff(got) >= 0).all()
-    assert got[3] == pytest.approx(got[4], rel=1e-4)
-    assert got[5] == pytest.approx(math.log(.5 * math.erfc(5 / math.sqrt(2))), rel=1e-12)
+def test_log_tail_is_exact_far_out_and_needs_no_python_worker(spark):
+    from growthspark.functions import dist
+    zs = [0.0, 1e-9, 0.3, -1.0, 2.5, -5.0, 8.0, 12.0, 20.0, -30.0, 37.0, 60.0, -1e3, 1e8]
+    df = dist.log_lower_tail(spark.createDataFrame([(z,) for z in zs], "z double"), "z", "l")
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        x = abs(r["z"])
+        if x < 37:
+            want = math.log(0.5 * math.erfc(x / math.sqrt(2)))
+        else:
+            want = -x * x / 2 - math.log(x) - 0.5 * math.log(2 * math.pi) + math.log1p(-1 / x ** 2 + 3 / x ** 4 - 15 / x ** 6 + 105 / x ** 8)
+        assert r["l"] == pytest.approx(want, rel=1e-12, abs=1e-12), r["z"]
 
 
 def test_anderson_darling_with_a_spike(spark):
