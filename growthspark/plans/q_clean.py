@@ -70,10 +70,8 @@ def cl2(spark, sf):
 
 
 @register("cl3", doubles=("engagement_rate", "avg_hashtag_count"),
-          sql=q("SELECT username, date, seq, COALESCE(engagement_rate, m1) AS engagement_rate, "
-                "COALESCE(avg_hashtag_count, m2) AS avg_hashtag_count FROM f3m, (SELECT AVG(engagement_rate) AS m1, "
-                "AVG(avg_hashtag_count) AS m2 FROM f3m) m", "f3",
-                extra=chain("f3m AS MATERIALIZED (SELECT username, date, seq, engagement_rate, avg_hashtag_count FROM f3t)")))
+          sql=q("SELECT username, date, seq, COALESCE(engagement_rate, AVG(engagement_rate) OVER ()) AS engagement_rate, "
+                "COALESCE(avg_hashtag_count, AVG(avg_hashtag_count) OVER ()) AS avg_hashtag_count FROM f3t", "f3", extra=chain()))
 def cl3(spark, sf):
     """CL3 mean fill of rate columns (whole-table means inlined as literals)."""
     from ..functions.stats import attach_scope_stats
