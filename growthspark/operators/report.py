@@ -98,6 +98,25 @@ def residual_series(pred: DataFrame, keys=("username", "date")) -> DataFrame:
                                           F.try_divide(e, F.col("_s")).alias("standardized"))
 
 
+def residual_sample(pred: DataFrame, per_band: int = 100, bands: int = 20, keys=("username", "date")) -> DataFrame:
+    """At most ``per_band`` residuals from each of ``bands`` equal bands of the fitted value: a scatter chart's points.
+
+    Of each band the rows whose key has the smallest digest: the same rows
+    however the table is partitioned, and the best of parts are the best of the
+    whole, so every task cuts its rows before the shuffle.  Rows without a
+    fitted value have no place in the chart.
+    """
+    from ..functions.stats import attach_row
+    rows = residual_series(pred, keys).where(F.col("fitted").isNotNull())
+    ends = rows.agg(F.min("fitted").alias("_low"), F.max("fitted").alias("_high"))
+    width = (F.col("_high") - F.col("_low")) / bands
+    band = F.when(width > 0, F.least(F.floor((F.col("fitted") - F.col("_low")) / width), F.lit(bands - 1))).otherwise(0)
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    w = Window.partitionBy("band").orderBy("_digest", *keys)
+    placed = attach_row(rows, ends).withColumn("band", band.cast("int")).withColumn("_digest", digest)
+    return placed.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_band).select("band", *keys, "fitted", "residual", "standardized")
+
+
 def qq_line(points: DataFrame) -> DataFrame:
     """Reference line of Q-Q points: least squares of sample on theoretical quantiles."""
     return points.agg(F.regr_slope("sample", "theoretical").alias("slope"), F.regr_intercept("sample", "theoretical").alias("intercept"))

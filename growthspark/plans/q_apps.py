@@ -219,6 +219,16 @@ def rp4s(spark, sf):
     return R.residual_series(predictions(spark, sf))
 
 
+@register("rp4p", doubles=("fitted", "residual", "standardized"),
+          sql=qp("SELECT band, username, date, fitted, residual, standardized FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY band ORDER BY "
+                 "md5(username || '|' || CAST(date AS VARCHAR)), username, date) AS n FROM (SELECT username, date, p AS fitted, e AS residual, "
+                 "e / NULLIF(STDDEV_POP(e) OVER (), 0) AS standardized, CAST(LEAST(floor((p - MIN(p) OVER ()) / ((MAX(p) OVER () - MIN(p) OVER ()) / 20)), 19) "
+                 "AS INTEGER) AS band FROM pe) a) b WHERE n <= 100"))
+def rp4p(spark, sf):
+    """RP4 sampled scatter: up to 100 residuals from each of 20 bands of the fitted value, by smallest digest."""
+    return R.residual_sample(predictions(spark, sf))
+
+
 @register("rp5l")
 def rp5l(spark, sf):
     """RP5 reference line of the residuals' Q-Q points (rows-only)."""

@@ -1,7 +1,7 @@
 """Readers, writers and catalog (SRC1-SRC5, SNK1-SNK4, CAT1-CAT2).
 
 Writers never rename or overwrite in place (object stores have no atomic
-rename): every save goes to a new versioned folder ``<path>/v=<timestamp>``
+rename): every save goes to a new versioned folder ``<path>/v=<timestamp>-<random>``
 with ``errorifexists``; the newest version is the current one.  Daily data
 is written partitioned by month of ``date`` so date filters prune folders.
 Excel is not supported (single-machine format).
@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -161,15 +162,35 @@ def load_dataframe(spark: SparkSession, path: str, fmt: str = "auto") -> DataFra
     return r.format(fmt).load(path)
 
 
+# versions -------------------------------------------------------------------
+def new_version(path: str) -> str:
+    """A version folder no other writer has: names order by time, a random part tells writers of one millisecond apart."""
+    return os.path.join(path, f"v={int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}")
+
+
+def retire_versions(spark: SparkSession, path: str, keep: int = 3) -> list[str]:
+    """Removes all but the ``keep`` newest committed versions; returns what was removed.
+
+    Folders without a commit mark are left alone: their writer may be at work.
+    """
+    if keep < 1:
+        raise ValueError("the current version cannot be retired")
+    old = versions(spark, path)[:-keep]
+    for version in old:
+        fs, p = _folder(spark, version)
+        fs.delete(p, True)
+    return old
+
+
 # SNK1 / SNK3 ----------------------------------------------------------------
 def save_dataframe(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> str:
-    """Write to ``<path>/v=<ms timestamp>`` with errorifexists; returns the version path.
+    """Write to a :func:`new_version` of ``path`` with errorifexists; returns the version path.
 
     ``records``: JSON files that hold a records array each.
     """
     if fmt in ("excel", "xlsx"):
         raise ValueError("excel output is not supported")
-    target = os.path.join(path, f"v={int(time.time() * 1000)}")
+    target = new_version(path)
     if fmt == "records":
         write_records_array(df, target)
         return target
@@ -191,7 +212,7 @@ def save_daily(df: DataFrame, path: str) -> str:
 # SNK4 -----------------------------------------------------------------------
 def save_model(model, spark: SparkSession, path: str) -> str:
     """Coefficient table (feature, coef, center, scale, median) + JSON metadata row."""
-    target = os.path.join(path, f"v={int(time.time() * 1000)}")
+    target = new_version(path)
     model.coefficient_table(spark).coalesce(1).write.mode("errorifexists").parquet(os.path.join(target, "coefficients"))
     meta = {**model.metadata(), "created_at": time.strftime("%Y-%m-%dT%H:%M:%S")}
     spark.createDataFrame([(json.dumps(meta, default=str),)], "metadata string").coalesce(1).write.mode(

@@ -79,3 +79,26 @@ def test_a_missing_library_of_the_optional_part_leaves_the_rest():
             "q = E.queries(); assert E.LLM is None and 'cl22' in q and 'pipeline' not in q; print(len(q), len(E.oracle_sql()))" % ROOT)
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_sampled_scatter_is_the_same_on_any_partitioning(spark):
+    from growthspark.operators import report as R
+    df = spark.range(5000).selectExpr("concat('u', id % 9) username", "date_add(date'2020-01-01', int(id div 9)) date",
+                                      "cast(id % 100 as double) y_pred", "cast(id % 100 + (id % 7) as double) y_true")
+    a, b = (sorted(map(tuple, R.residual_sample(d, per_band=20, bands=10).collect())) for d in (df.repartition(1), df.repartition(13)))
+    assert a == b and len(a) == 200
+    assert R.residual_sample(df.limit(0)).count() == 0
+    assert R.residual_sample(df.withColumn("y_pred", df["y_true"] * 0)).count() == 100  # one band
+
+
+def test_versions_of_one_millisecond_and_their_retirement(spark, tmp_path, monkeypatch):
+    from growthspark.sources import io as IO
+    monkeypatch.setattr(IO.time, "time", lambda: 1700000000.0)
+    path = str(tmp_path / "t")
+    made = {IO.save_dataframe(spark.range(i + 1), path) for i in range(4)}
+    assert len(made) == 4 == len(IO.versions(spark, path))
+    (tmp_path / "t" / "v=1600000000000-open").mkdir()  # a writer that has not committed
+    gone = IO.retire_versions(spark, path, keep=2)
+    assert len(gone) == 2 and len(IO.versions(spark, path)) == 2
+    assert (tmp_path / "t" / "v=1600000000000-open").exists()
+    assert spark.read.parquet(IO.current_version(spark, path)).count() >= 1
