@@ -22,6 +22,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,18 +68,17 @@ def global_means(df: DataFrame, names: list) -> np.ndarray:
 
 
 def gram_by(df: DataFrame, features: list, target: str, key: Column | str | None = None,
-            shift: np.ndarray | None = None, weight: Column | None = None) -> dict:
+            shift: np.ndarray | None = None) -> dict:
     """{key value: Gram} from ONE aggregate (key None -> {None: Gram})."""
     names = list(features) + [target]
     if shift is None:
         shift = global_means(df, names)
     vs = [_v(c, shift[i]) for i, c in enumerate(names)]
-    w = weight if weight is not None else F.lit(1.0)
-    aggs = [F.sum(w).alias("n")]
-    aggs += [F.sum(vs[i] * w).alias(f"s{i}") for i in range(len(names))]
+    aggs = [F.sum(F.lit(1.0)).alias("n")]
+    aggs += [F.sum(vs[i]).alias(f"s{i}") for i in range(len(names))]
     for i in range(len(names)):
         for j in range(i, len(names)):
-            aggs.append(F.sum(vs[i] * vs[j] * w).alias(f"m{i}_{j}"))
+            aggs.append(F.sum(vs[i] * vs[j]).alias(f"m{i}_{j}"))
     g = df.groupBy(key).agg(*aggs) if key is not None else df.agg(*aggs)
     out = {}
     for r in g.collect():
@@ -91,6 +92,78 @@ def gram_by(df: DataFrame, features: list, target: str, key: Column | str | None
     return out
 
 
+# cumulative probabilities of Poisson(1), until the tail is below a 53-bit uniform's resolution
+def _poisson_steps() -> np.ndarray:
+    below, term, k, out = 0.0, np.exp(-1.0), 0, []
+    while below < 1 - 2.0 ** -53 and term >= 2.0 ** -54:
+        below, k = below + term, k + 1
+        out.append(below)
+        term /= k
+    return np.array(out)
+
+
+POISSON_STEPS = _poisson_steps()
+REPLICATES_AT_ONCE = 64   # replicates whose weights a task holds together
+
+
+def poisson_weights(row_hash: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) weight of every row (64-bit hash) in every replicate: rows x replicates.
+
+    A counter-based generator: the weight depends on the hash and the replicate alone.
+    """
+    with np.errstate(over="ignore"):
+        x = row_hash.astype(np.uint64)[:, None] + (replicates.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON_STEPS, (x >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+
+
+def bootstrap_sums(df: DataFrame, features: list, target: str, row_hash: Column, n_replicates: int, shift) -> DataFrame:
+    """(replicate, place, value): every replicate's weighted Gram sums, laid out as ``gram_by`` numbers them.
+
+    The rows are read once.  Per Arrow batch, the products of the columns times
+    the weights of all replicates are one matrix product; a task sends back its
+    sums only, so the shuffle does not grow with the rows.
+    """
+    names = list(features) + [target]
+    shift = np.asarray(shift, float)
+    upper = np.triu_indices(len(names))
+
+    def run(batches):
+        acc = np.zeros((n_replicates, 1 + len(names) + len(upper[0])))
+        for batch in batches:
+            hashed = batch.column(0).to_numpy(zero_copy_only=False)
+            cols = [pc.fill_null(batch.column(i + 1), shift[i]).to_numpy(zero_copy_only=False) - shift[i] for i in range(len(names))]
+            v = np.column_stack(cols)
+            products = np.column_stack([np.ones(len(v)), v, v[:, upper[0]] * v[:, upper[1]]])
+            for r in range(0, n_replicates, REPLICATES_AT_ONCE):
+                some = np.arange(r, min(n_replicates, r + REPLICATES_AT_ONCE))
+                acc[some] += poisson_weights(hashed, some).T @ products
+        rep, place = np.indices(acc.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(rep.ravel().astype(np.int32)), pa.array(place.ravel().astype(np.int32)), pa.array(acc.ravel())],
+                                         names=["replicate", "place", "value"])
+
+    rows = df.select(row_hash.cast("long").alias("_hash"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+    return (rows.mapInArrow(run, "replicate int, place int, value double")
+            .groupBy("replicate", "place").agg(F.sum("value").alias("value")))
+
+
+def bootstrap_grams(df: DataFrame, features: list, target: str, row_hash: Column, n_replicates: int, shift) -> list:
+    """The Gram of each bootstrap replicate (rows weighted by Poisson(1))."""
+    names = list(features) + [target]
+    k = len(names)
+    sums = np.zeros((n_replicates, 1 + k + k * (k + 1) // 2))
+    for r in bootstrap_sums(df, features, target, row_hash, n_replicates, shift).collect():
+        sums[r["replicate"], r["place"]] = r["value"]
+    out = []
+    for row in sums:
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = row[1 + k:]
+        out.append(Gram(names, float(row[0]), row[1:1 + k].copy(), m + np.triu(m, 1).T, np.asarray(shift, float)))
+    return out
+
+
 def total(grams, names=None, shift=None) -> Gram:
     grams = list(grams)
     if not grams:

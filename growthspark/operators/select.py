@@ -2,16 +2,13 @@
 
 Univariate F-tests, recursive elimination, forward search, correlation
 filters and RFE-CV are p x p algebra on sums Spark computed once; the
-bootstrap (FS8) gets one Gram per replicate from a single grouped aggregate
-with Poisson(1) weights drawn from a seeded hash of (row, replicate), so
-no data is resampled or collected.
+bootstrap (FS8) gets one Gram per replicate from one pass over the rows, with
+Poisson(1) weights drawn from a seeded hash of (row, replicate): a matrix
+product per Arrow batch, so no row is multiplied, resampled or collected.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -226,24 +223,11 @@ def feature_stability_analysis(df: DataFrame, method: str = "univariate", n_boot
     med = M.training_medians(d, feats + [tgt])
     d = M.impute(d, med).withColumn("_rowkey", F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
     shift = G.global_means(d, feats + [tgt])
-    reps = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("_rep"))
-    # weight per (row, replicate); one grouped aggregate yields every replicate's Gram
-    # Poisson(1) weights by inversion: a 53-bit uniform from a seeded hash, counted
-    # against the cumulative probabilities until the tail is below the uniform's resolution
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("_rep"), F.col("_rowkey")), 11) / float(1 << 53)
-    below, term, w = 0.0, math.exp(-1), F.lit(0)
-    for k_th in itertools.count(1):
-        below += term
-        if below >= 1 - 2.0 ** -53 or term < 2.0 ** -54:
-            break
-        w = w + (u >= below).cast("int")
-        term /= k_th
-    grams = G.gram_by(reps, feats, tgt, key=F.col("_rep"), shift=shift, weight=w.cast("double"))
+    grams = G.bootstrap_grams(d, feats, tgt, F.xxhash64(F.lit(seed), F.col("_rowkey")), n_bootstrap, shift)
     counts = {f: 0 for f in feats}
     picks = []
-    for r in range(n_bootstrap):
-        g = grams.get(r)
-        if g is None or g.n < 3:
+    for g in grams:
+        if g.n < 3:
             continue
         gd = M.Design(d, feats, tgt, date_col, med, {0: g}, None, shift)
         if method in ("univariate", "recursive", "filter"):

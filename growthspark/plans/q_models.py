@@ -370,7 +370,7 @@ def fs7(spark, sf):
 
 @register("fs8")
 def fs8(spark, sf):
-    """FS8 bootstrap stability with seeded Poisson weights, 10 replicates in one aggregate (rows-only)."""
+    """FS8 bootstrap stability with seeded Poisson weights, 10 replicates in one pass over the rows (rows-only)."""
     r = S.feature_stability_analysis(model_frame(spark, sf), "univariate", 10, 5)
     return M.rows_to_df(spark, [{**x, "stability_score": r["stability_score"], "mean_jaccard": r["mean_jaccard"]}
                                 for x in r["feature_stability"]])
