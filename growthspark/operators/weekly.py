@@ -9,6 +9,8 @@ Scale notes
   of active weekdays is a 7-bit mask (``bit_or``) from which the largest gap is
   a pure expression.  JN1 (the positional concat in the reference) and JN2
   (day -> week range match) therefore disappear: both are this one aggregate.
+* Where days arrive over time (a stream), the same rows come from partials by
+  creator, week and post time, which add up in any order.
 * The ROI-score normalisers are maxima over ``scope``: for the whole table a
   one-row aggregate whose values are inlined as literals (no join);
   per creator a window max partitioned by creator (bounded by weeks/creator).
@@ -75,6 +77,11 @@ def create_weekly_features(daily: DataFrame, growth_from: str = "sum",
              .alias("_active_mask"),
         ]
     w = d.groupBy(creator_col, "week_start").agg(*aggs)
+    return _derived_week_columns(w, growth_from, with_consistency, creator_col)
+
+
+def _derived_week_columns(w: DataFrame, growth_from: str, with_consistency: bool, creator_col: str) -> DataFrame:
+    """Week end, frequency, growth and regularity from the week's aggregates."""
     w = w.withColumn("week_end", F.date_add("week_start", 6))
     w = w.withColumn("weekly_posting_frequency", F.col("posts") + F.col("reels") + F.col("stories"))
     if growth_from == "followers_diff":
@@ -92,6 +99,69 @@ def create_weekly_features(daily: DataFrame, growth_from: str = "sum",
     return w
 
 
+# AG1 in two levels ------------------------------------------------------------
+def weekly_partials(daily: DataFrame, creator_col: str = "username") -> DataFrame:
+    """What AG1 needs of some of a creator-week's days, by post time: one row per creator, week and post time.
+
+    Partials of different days add up (:func:`merge_partials`), whatever the
+    order they come in; :func:`finish_weekly` makes AG1's rows of them.
+    """
+    cols = set(daily.columns)
+    total = F.col("posts") + F.col("reels") + F.col("stories")
+    aggs = [F.count(F.lit(1)).alias("n_days")]
+    aggs += [F.sum(c).cast("long").alias(c) for c in C.WEEKLY_SUM_COLUMNS if c in cols]
+    for c in C.WEEKLY_MEAN_COLUMNS:
+        if c in cols:
+            aggs += [F.sum(c).alias(f"{c}_sum"), F.count(c).alias(f"{c}_n")]
+    if "followers" in cols:
+        seen = F.when(F.col("followers").isNotNull(), F.col("date"))
+        aggs += [F.max(seen).alias("followers_date"), F.max_by("followers", seen).alias("followers")]
+    aggs += [F.count(total).alias("total_n"), F.sum(total).cast("long").alias("total_sum"), F.sum(total * total).cast("long").alias("total_squares"),
+             F.sum(F.when(total > 0, 1).otherwise(0)).cast("long").alias("active_days"),
+             F.bit_or(F.when(total > 0, F.pow(F.lit(2), F.weekday("date")).cast("int")).otherwise(0)).alias("active_mask")]
+    d = daily.withColumn("week_start", X.week_start("date"))
+    return d.groupBy(creator_col, "week_start", *(["post_time"] if "post_time" in cols else [])).agg(*aggs)
+
+
+def _merged(partials: DataFrame, keys: list) -> list:
+    """The merging aggregate of every column of ``partials`` that is neither a key nor the post time."""
+    out = []
+    for c in partials.columns:
+        if c in keys or c == "post_time":
+            continue
+        how = (F.bit_or(c) if c == "active_mask" else F.max(c) if c == "followers_date"
+               else F.max_by(c, "followers_date") if c == "followers" else F.sum(c))
+        out.append(how.alias(c))
+    return out
+
+
+def merge_partials(partials: DataFrame, creator_col: str = "username") -> DataFrame:
+    """Partials of the same creator, week and post time in one row."""
+    keys = [creator_col, "week_start", *(["post_time"] if "post_time" in partials.columns else [])]
+    return partials.groupBy(*keys).agg(*_merged(partials, keys))
+
+
+def finish_weekly(partials: DataFrame, growth_from: str = "sum", creator_col: str = "username") -> DataFrame:
+    """AG1's rows from all partials of the weeks: those of :func:`create_weekly_features` on the days.
+
+    The modal post time is the one of most days, the smallest of equals.
+    """
+    merged = merge_partials(partials, creator_col)
+    keys = [creator_col, "week_start"]
+    aggs = _merged(merged, keys)
+    if "post_time" in merged.columns:  # missing post times do not vote
+        vote = F.when(F.col("post_time").isNotNull(), F.struct((-F.col("n_days")).alias("n"), "post_time"))
+        aggs.append(F.min(vote)["post_time"].alias("post_time"))
+    w = merged.groupBy(*keys).agg(*aggs)
+    n, s1, s2 = (F.col(c).cast("double") for c in ("total_n", "total_sum", "total_squares"))
+    out = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in C.WEEKLY_SUM_COLUMNS if c in w.columns]
+    out += [F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_n")).alias(c) for c in C.WEEKLY_MEAN_COLUMNS if f"{c}_n" in w.columns]
+    out += [F.col(c) for c in ("followers", "post_time") if c in w.columns]
+    out += [F.when(n > 1, F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1)).alias("posting_consistency_variance"),
+            F.col("active_days").alias("posting_consistency_days"), F.col("active_mask").alias("_active_mask")]
+    return _derived_week_columns(w.select(*keys, *out), growth_from, True, creator_col)
+
+
 def add_content_mix_features(df: DataFrame) -> DataFrame:
     """FE1: total, three shares, entropy diversity, dominant type, reels focus."""
     total = F.col("posts") + F.col("reels") + F.col("stories")

@@ -528,7 +528,7 @@ def sc5_stream(spark, sf):
                 " FROM dw GROUP BY username, week_start", "f2",
                 extra=weekly_ctes("f2", sums=["posts"], means=[], followers=False, post_time=False)))
 def ag1_stream(spark, sf):
-    """AG1 weekly sums on a stream: 14-day watermark, Monday-aligned 7-day windows; every week, open ones too."""
+    """AG1 weekly sums on a stream of the dense daily table: every week, late days included."""
     d = FX.daily_dense(spark, sf)
     src = _scratch(spark, "daily_stream")
     d.write.parquet(src)
@@ -537,6 +537,22 @@ def ag1_stream(spark, sf):
     return out.select("username", "week_start", "posts", "reels", "stories", "growth", "follows", "unfollows", "reach")
 
 
+@register("ag1_late", doubles=("engagement_rate", "avg_hashtag_count", "roi_follows_per_hour",
+                               "posting_consistency_variance", "posting_regularity_score"),
+          sql=q("SELECT * FROM wk", "f1", extra=weekly_ctes("f1")))
+def ag1_late(spark, sf):
+    """AG1 whole on a stream: a quarter of the days, spread over all weeks, comes a run after the others."""
+    days = _scratch(spark, "late_days")
+    FX.daily_metrics(spark, sf).write.parquet(days)
+    d = spark.read.parquet(days)
+    src, name = _scratch(spark, "late_stream"), f"weeks_{uuid.uuid4().hex[:8]}"
+    late = F.pmod(F.xxhash64("username", "date"), F.lit(4)) == 0
+    d.where(~late).write.parquet(src)
+    ST.weekly_stream(spark, src, d.schema, name)
+    d.where(late).write.mode("append").parquet(src)
+    return ST.weekly_stream(spark, src, d.schema, name)
+
+
 # ---------------------------------------------------------------- inventory IDs whose work lives in another query
 def _alias(new: str, old: str, doc: str):
     from .registry import REGISTRY, Query

@@ -64,6 +64,12 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     return sorted((x.getPath().getName(), x.isDirectory()) for x in fs.listStatus(p))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder and all in it."""
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
 def finished(spark: SparkSession, path: str) -> bool:
     """A folder's writer has committed it: ``_SUCCESS`` in it, or in every folder of it."""
     found = children(spark, path)
@@ -177,8 +183,7 @@ def retire_versions(spark: SparkSession, path: str, keep: int = 3) -> list[str]:
         raise ValueError("the current version cannot be retired")
     old = versions(spark, path)[:-keep]
     for version in old:
-        fs, p = _folder(spark, version)
-        fs.delete(p, True)
+        remove(spark, version)
     return old
 
 
