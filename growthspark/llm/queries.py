@@ -78,8 +78,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back from the archives."""
     path = new_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    back = warc.records(warc.read_archives(spark, path))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.read_archives(spark, path)
+    # archives just written have no gaps: one would be a lost page
+    whole = F.when(F.col("reason").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(": "), "reason")).cast("boolean"))
+    return found.where(whole).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP7_SQL = """

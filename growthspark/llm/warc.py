@@ -20,15 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from growthspark.llm.common import stage
+from growthspark.llm.common import small_batches, stage
 
 MIN_REVISIT = 100            # payloads below this many bytes are always written in full
-RECORDS_PER_FILE = 4096
+# records below so many bytes: at most so many of them in a file (256 MB); any larger record has a file of its own
+FILE_CLASSES = [(64 << 10, 4096), (1 << 20, 256), (16 << 20, 16)]
 VERSION = b"WARC/1.1"
 CLOSING = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_HEADER_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
+_SLICE = 64 << 10            # bytes given to the decompressor at once
+_IN_BYTES = 64 << 20         # archive bytes per Arrow batch given to a task, or one file
 _OUT_BYTES = 4 << 20         # payload bytes per Arrow batch sent back
 
 
@@ -74,9 +78,18 @@ def record_text() -> F.Column:
 
 
 def write_archives(pages: DataFrame, path: str, **columns: str) -> None:
-    """Write one record per row below ``path`` (a folder in any store Spark writes to)."""
-    (plan_records(pages, **columns).select(record_text().alias("value"))
-     .write.option("lineSep", CLOSING.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+    """Write one record per row below ``path`` (a folder in any store Spark writes to).
+
+    Files are bounded by bytes: records are cut into files by size class and by
+    their place among the task's rows (:data:`FILE_CLASSES`).
+    """
+    rows = plan_records(pages, **columns).select(record_text().alias("value"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+    size, kind, chunk = F.octet_length("value"), F.lit(len(FILE_CLASSES)), F.col("place")
+    for k, (below, records_per_file) in reversed(list(enumerate(FILE_CLASSES))):
+        kind = F.when(size < below, k).otherwise(kind)
+        chunk = F.when(size < below, F.floor(F.col("place") / records_per_file)).otherwise(chunk)
+    (rows.select("value", kind.alias("size_class"), chunk.alias("chunk"))
+     .write.partitionBy("size_class", "chunk").option("lineSep", CLOSING.decode()).text(path))
 
 
 # ---------------------------------------------------------------- salvage reader
@@ -95,9 +108,12 @@ def _record(data: bytes, at: int) -> tuple[Found | None, str]:
     """The valid record that begins at ``at``, or why there is none."""
     if not _VERSION_LINE.match(data, at):
         return None, "no version line"
-    head = data.find(CLOSING, at)
-    if head < 0:
+    end = _HEADER_END.search(data, at)
+    if not end:
         return None, "header does not end"
+    if end.group() != CLOSING:  # another record begins first
+        return None, "malformed header line"
+    head = end.start()
     headers = {}
     for line in data[at:head].split(b"\r\n")[1:]:
         name, sep, value = line.partition(b":")
@@ -122,15 +138,17 @@ def _member(data: bytes, at: int) -> tuple[list[Found], int, str]:
     """The records of the gzip member that begins at ``at`` and the member's end, or why it is not valid."""
     if not data.startswith(_MEMBER, at):
         return [], at, "no gzip member"
-    unpack = zlib.decompressobj(31)
-    try:
-        plain = unpack.decompress(memoryview(data)[at:])
+    unpack, plain, stop = zlib.decompressobj(31), [], at
+    try:  # by slices: what is left over of the last one is copied, not the rest of the archive
+        while not unpack.eof and stop < len(data):
+            plain.append(unpack.decompress(data[stop:stop + _SLICE]))
+            stop = min(len(data), stop + _SLICE)
     except zlib.error as e:
         return [], at, f"gzip: {e}"
     if not unpack.eof:
         return [], at, "gzip member does not end"
-    stop = len(data) - len(unpack.unused_data)
-    inner = list(_plain(plain))
+    stop -= len(unpack.unused_data)
+    inner = list(_plain(b"".join(plain)))
     if not inner or any(f.reason for f in inner):
         return [], at, next((f.reason for f in inner if f.reason), "empty member")
     return [f._replace(start=at, stop=stop) for f in inner], stop, ""
@@ -213,7 +231,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     read as a whole by one task, so archives should be of the size of a
     partition.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_IN_BYTES))
 
     def run(batches):
         def batch_of(rows):

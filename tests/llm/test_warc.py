@@ -1,5 +1,7 @@
 import gzip
+import os
 import random
+import time
 from hashlib import sha256
 
 from growthspark.llm import warc
@@ -81,3 +83,46 @@ def test_archives_from_elsewhere(spark, tmp_path):
     found = warc.read_archives(spark, str(tmp_path))
     assert sorted(g["page_id"] for g in collect(warc.records(found))) == [1, 1, 3]
     assert warc.gaps(found).count() == 3
+
+
+def test_files_are_bounded_by_bytes(spark, monkeypatch):
+    """Small limits stand for the large ones: no file of several records holds more than its class allows."""
+    monkeypatch.setattr(warc, "FILE_CLASSES", [(1000, 8), (4000, 2)])
+    rng = random.Random(5)
+    rows = [(i, f"u{i}", "".join(rng.choice("abc ") for _ in range(rng.choice([3, 90, 1500, 9000])))) for i in range(120)]
+    path = new_path(spark, "warc-sizes")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path)
+    found = collect(warc.read_archives(spark, path))
+    assert sorted((g["page_id"], bytes(g["payload"]).decode()) for g in found) == sorted((i, h) for i, _, h in rows)
+    files = {}
+    for g in found:
+        files.setdefault(g["archive"], []).append(g["stop"] - g["start"])
+    assert 1 < max(map(len, files.values())) <= 8
+    assert all(len(sizes) == 1 or sum(sizes) <= 8 * 1000 + 8 * 4 for sizes in files.values())
+
+
+def test_archives_read_in_byte_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_IN_BYTES", 1)
+    _, df = pages(spark)
+    path = new_path(spark, "warc-batches")
+    warc.write_archives(df.repartition(6), path)
+    assert warc.records(warc.read_archives(spark, path)).count() == df.count()
+
+
+def seconds(data):
+    start = time.process_time()
+    assert not any(f.reason for f in warc.salvage(data))
+    return time.process_time() - start
+
+
+def test_time_grows_with_the_archive():
+    """Four times the members, about four times the time (16 times where each member copies the rest)."""
+    member = gzip.compress(record(1, os.urandom(15_000)))
+    assert seconds(member * 4000) < 8 * max(seconds(member * 1000), 0.05)
+
+
+def test_many_version_lines_without_a_header():
+    bad = b"WARC/1.1\r\n" * 200_000
+    start = time.process_time()
+    found = list(warc.salvage(bad + record(1, b"kept")))
+    assert [f.payload for f in found if not f.reason] == [b"kept"] and time.process_time() - start < 20
