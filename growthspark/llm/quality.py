@@ -70,7 +70,11 @@ def _echoes(data: np.ndarray) -> np.ndarray:
 
 
 def features(text: np.ndarray) -> np.ndarray:
-    """Distinct features of a text (UTF-8 bytes), ascending."""
+    """Distinct features of a text (UTF-8 bytes), ascending.
+
+    Texts beyond ``_CHUNK`` bytes are handled by chunks that overlap by the
+    longest n-gram; a word that such a border cuts counts as two.
+    """
     seen = np.zeros(_SIZE, bool)
     for k in range(0, max(1, len(text)), _CHUNK):
         part = text[k:k + _CHUNK + 8]
@@ -179,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col
 
     The rows are those of the smallest id hashes, so the choice depends on ids
     alone.  Labels other than 0 and 1 and null ids are left out; an id labelled
-    twice counts once (its smallest label).  Texts become features where they
-    are; the fit, bounded by ``max_rows``, is one task.
+    twice counts once (its smallest label), and so does an id of several
+    documents (the smallest features).  Texts become features where they are;
+    the fit, bounded by ``max_rows``, is one task.
     """
     small_batches(docs.sparkSession)
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -204,7 +209,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, id_col
 
     rows = _text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
     seen = rows.mapInArrow(extract, "doc_id long, quality int, seen binary")
-    got = seen.withColumn("model", F.lit(1)).groupBy("model").applyInArrow(solve, "weights binary, squares binary, bias double, slope double, shift double").collect()
+    once = seen.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("seen").alias("seen"))
+    got = once.withColumn("model", F.lit(1)).groupBy("model").applyInArrow(solve, "weights binary, squares binary, bias double, slope double, shift double").collect()
     if not got:
         return fit([], np.zeros(0, np.int64))
     r = got[0]

@@ -55,6 +55,77 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert primal <= better + 1e-6
 
 
+def slow_features(text):
+    """The features by their definition: one n-gram at a time, in Python integers."""
+    mult, whole = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    out = set()
+
+    def add(data, size, salt):
+        for i in range(len(data) - size + 1):
+            v = (int.from_bytes(bytes(data[i:i + size]), "little") + salt) * mult & whole
+            out.add(((v ^ v >> 32) * mult & whole) >> 64 - quality.BITS)
+
+    def shape(b):
+        return ord("a") if b >= 0x80 or chr(b).islower() else ord("A") if chr(b).isupper() else ord("0") if chr(b).isdigit() else b
+
+    for size, salt in ((2, 1), (3, 2), (4, 3)):
+        add(text, size, salt)
+    for size, salt in ((4, 4), (6, 5), (8, 6)):
+        add([shape(b) for b in text], size, salt)
+    found = bytes(b if b > 0x20 else 0x20 for b in text).split(b" ")
+    found = [w for w in found if w]
+    add([(k > 0 and found[k] == found[k - 1]) + 2 * (k > 1 and found[k] == found[k - 2]) for k in range(len(found))], 4, 7)
+    return sorted(out)
+
+
+def texts(n=30, seed=8):
+    rng = random.Random(seed)
+    fixed = ["", "a", "é", "a a a b a b", "tab\there\nand\x01there", "  lead and trail  ", "ÀÉ 12 x7 X7!"]
+    return [t.encode() for t in fixed] + [" ".join(words(rng, rng.randint(1, 60))).encode() for _ in range(n)]
+
+
+def test_features_by_definition():
+    for t in texts():
+        assert quality.features(np.frombuffer(t, np.uint8)).tolist() == slow_features(t)
+
+
+def test_chunks_of_a_long_text_lose_no_gram(monkeypatch):
+    t = b"".join(texts())
+    whole = set(slow_features(t))
+    monkeypatch.setattr(quality, "_CHUNK", 50)
+    monkeypatch.setattr(quality, "_echoes", lambda data: np.zeros(0, np.uint8))
+    got = set(quality.features(np.frombuffer(t, np.uint8)).tolist())
+    assert got <= whole and len(whole - got) <= 4 ** 4  # all but the word-repeat grams
+
+
+def test_scores_by_definition():
+    """Ratios, margins and the logistic curve from plain sums over the training rows."""
+    rng = random.Random(9)
+    rows = [np.array(sorted(rng.sample(range(60), rng.randint(1, 20)))) for _ in range(80)]
+    y = np.array([int(r.mean() + rng.gauss(0, 5) > 30) for r in rows])
+    m = quality.fit(rows, y)
+    train = [i for i in range(80) if i % quality.FOLDS != quality.FOLDS - 1]
+    up, down = [rows[i] for i in train if y[i]], [rows[i] for i in train if not y[i]]
+    ratio = np.array([np.log((1 + sum(f in r for r in up)) / (2 + len(up))) - np.log((1 + sum(f in r for r in down)) / (2 + len(down))) for f in range(60)])
+    assert np.allclose(m.squares[:60], ratio ** 2)
+    w = np.divide(m.weights[:60], ratio, out=np.zeros(60), where=ratio != 0)
+    margin = np.array([sum(w[f] * ratio[f] for f in r) / np.sqrt(sum(ratio[f] ** 2 for f in r)) + m.bias for r in rows])
+    judged = [i for i in range(80) if i not in train]
+    target = np.where(y[judged] == 1, (y[judged].sum() + 1) / (y[judged].sum() + 2), 1 / ((1 - y[judged]).sum() + 2))
+    loss = lambda a, b: -(target * np.log(1 / (1 + np.exp(-a * margin[judged] - b))) + (1 - target) * np.log(1 / (1 + np.exp(a * margin[judged] + b)))).sum() + 5e-7 * a * a
+    best = loss(m.slope, m.shift)
+    assert all(best <= loss(m.slope + da, m.shift + db) + 1e-9 for da in (-0.01, 0, 0.01) for db in (-0.01, 0, 0.01))
+    assert all(m.score(r) == pytest.approx(1 / (1 + np.exp(-m.slope * g - m.shift))) for r, g in zip(rows, margin))
+
+
+def test_a_common_id_is_learned_from_once(spark):
+    docs, labels, _ = labelled(spark, n=120)
+    common_id = docs.where("doc_id = 1")
+    many = docs.unionByName(common_id.crossJoin(spark.range(2000)).select(*docs.columns))
+    a, b = (dict(quality.classify(d, labels).select("doc_id", "score").distinct().collect()) for d in (docs, many))
+    assert a == b
+
+
 def test_awkward_rows_and_no_labels(spark):
     docs, labels, _ = labelled(spark, n=100)
     odd = documents(spark)
