@@ -2,14 +2,11 @@
 
 Everything in the block marked FIXED VALUES must equal what the reference
 library uses (column lists, thresholds, defaults, bounds, weights); it is
-stated plainly and in the reference's natural order.  Engine-level knobs
-(scopes, exact/approximate switches) live in ``EngineConfig``.
+stated plainly and in the reference's natural order.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference's for the same results)
 # ---------------------------------------------------------------------------
@@ -204,23 +201,6 @@ DEFAULT_RECOMMENDATION = "Continue current strategy"
 # ---------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class EngineConfig:
-    """Engine knobs that the reference does not have (it is single-creator)."""
-
-    creator_col: str = "username"
-    date_col: str = "date"
-    # [] = statistics over the whole table (what the reference does on its
-    # one frame); ["username"] = per creator
-    scope: tuple = field(default_factory=tuple)
-    # exact quantiles use a distributed selection; approx uses sketches
-    exact_quantiles: bool = True
-    approx_accuracy: int = 100000
-
-
-DEFAULT = EngineConfig()
-
-
 # cross-validation report: metrics and limits (fixed values)
 CV_METRICS = ("r2", "mse", "mae")
 CV_STABLE_BELOW = 0.2      # coefficient of variation of a stable metric

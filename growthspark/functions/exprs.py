@@ -280,16 +280,6 @@ def growth_category(pred) -> Column:
     return F.when(p.isNotNull(), expr.otherwise(C.GROWTH_CATEGORY_FLOOR))
 
 
-# correlation that never raises (T2) -----------------------------------------
-def safe_corr_from_moments(cov_pop: Column, sd_x: Column, sd_y: Column) -> Column:
-    return F.try_divide(cov_pop, sd_x * sd_y)
-
-
 def null_if_nan(c) -> Column:
     c = col(c)
     return F.when(~F.isnan(c), c)
-
-
-def edge_round(c, scale: int = 6) -> Column:
-    """Presentation rounding at the query edge: half-up, and -0.0 -> 0.0."""
-    return F.round(col(c), scale) + F.lit(0.0)

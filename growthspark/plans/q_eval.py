@@ -362,9 +362,17 @@ def _dict_row(spark, d: dict):
     return M.rows_to_df(spark, [{k: v for k, v in d.items()}])
 
 
-@register("dg3")
+# least squares of e on 1, t, t^2 with t = (p - mean) / deviation, by Cramer's rule (the sum of t is 0)
+DG3_SQL = f"""SELECT r AS correlation_with_fitted, quad AS quadratic_coefficient, ABS(r) < 0.1 AND quad < 0.01 AS passed FROM (
+  SELECT r, ABS((n * (t2 * e2 - t3 * e1) - e0 * t2 * t2) / (n * (t2 * t4 - t3 * t3) - t2 * t2 * t2)) / (s * s) AS quad FROM (
+    SELECT COUNT(*) AS n, SUM(POW(t, 2)) AS t2, SUM(POW(t, 3)) AS t3, SUM(POW(t, 4)) AS t4, SUM(e) AS e0, SUM(e * t) AS e1,
+           SUM(e * t * t) AS e2, ANY_VALUE(s) AS s, {corr_sql('p', 'e')} AS r
+    FROM (SELECT p, e, s, (p - m) / s AS t FROM pe, (SELECT AVG(p) AS m, STDDEV_POP(p) AS s FROM pe) z) x) y) w"""
+
+
+@register("dg3", doubles=("correlation_with_fitted", "quadratic_coefficient"), sql=qp(DG3_SQL))
 def dg3(spark, sf):
-    """DG3 linearity: r(y_hat, e) and quadratic coefficient from moments (rows-only)."""
+    """DG3 linearity: r(y_hat, e) and quadratic coefficient from moments."""
     return _dict_row(spark, D.linearity(predictions(spark, sf)))
 
 
