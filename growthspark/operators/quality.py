@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.stats import merge_rows
+from ..session import write_once
 
 ISSUE_SCHEMA = "check_name string, column_name string, n bigint, value double, is_issue boolean"
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -136,6 +137,7 @@ def reference_comparison(df: DataFrame, ref: DataFrame) -> DataFrame:
 def validate_data_integrity(df: DataFrame, reference: DataFrame | None = None,
                             creator: str = "username", date_col: str = "date") -> DataFrame:
     """Duplicates, empty rows, negatives, date gaps (+ reference comparison)."""
+    df = write_once(df)  # three checks read it
     parts = [duplicate_rows(df),
              column_checks(df, ranges={}).where(F.col("check_name").isin("empty_rows", "negative_values"))]
     if date_col in df.columns:
