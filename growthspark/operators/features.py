@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions import exprs as X
 from ..functions.stats import global_order_stats, interpolate, scoped_quantiles
-from ..session import cut_lineage
+from ..session import write_once
 from . import weekly as W
 from . import windows as WN
 
@@ -243,7 +243,7 @@ def transform_to_model_ready(daily: DataFrame, target_frequency: str = "weekly",
     weekly shuffle run once instead of once per statistics job, and a lost
     executor never forces recomputation from the raw daily data.
     """
-    cut = cut_lineage if checkpoint else (lambda d: d)
+    cut = write_once if checkpoint else (lambda d: d)
     if target_frequency == "weekly":
         t = W.weekly_feature_table(daily, scope, checkpoint=checkpoint)
     else:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import dist
 from ..functions.stats import global_quantiles
-from ..session import cut_lineage
+from ..session import write_once
 from . import gram as G
 from .metrics import regression_metrics
 
@@ -212,7 +212,7 @@ def build_design(df: DataFrame, features=None, target=None, date_col: str | None
     # the narrow design frame (keys, p features, target) feeds ~5 passes
     # (nulls, medians, means, dates, Gram, scoring): write it once to the
     # shared checkpoint folder instead of recomputing the feature pipeline
-    d = cut_lineage(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in feats + [tgt]]))
+    d = write_once(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in feats + [tgt]]))
     med = training_medians(d, feats + [tgt])
     d = impute(d, med)
     shift = G.global_means(d, feats + [tgt])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import exprs as X
 from ..functions.stats import attach_scope_stats
-from ..session import cut_lineage
+from ..session import write_once
 
 
 def add_week_columns(df: DataFrame, date_col: str = "date") -> DataFrame:
@@ -146,7 +146,8 @@ def finish_weekly(partials: DataFrame, growth_from: str = "sum", creator_col: st
 
     The modal post time is the one of most days, the smallest of equals.
     """
-    merged = merge_partials(partials, creator_col)
+    # both levels group within a creator: one shuffle
+    merged = merge_partials(partials.repartition(creator_col), creator_col)
     keys = [creator_col, "week_start"]
     aggs = _merged(merged, keys)
     if "post_time" in merged.columns:  # missing post times do not vote
@@ -210,7 +211,7 @@ def weekly_feature_table(daily: DataFrame, scope=(), checkpoint: bool = True) ->
     """
     w = add_content_mix_features(create_weekly_features(daily))
     if checkpoint and not scope:
-        w = cut_lineage(w)
+        w = write_once(w)
     return add_roi_features(w, scope)
 
 
