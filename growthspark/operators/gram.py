@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PINV_RCOND = 1e-10
+PENALTIES_A_DECADE = 16   # steps of a penalty path
+PATH_PASSES = 1000        # coordinate passes at a step that is only on the way
 
 
 @dataclass
@@ -274,15 +276,29 @@ def coordinate_descent(Szz, Szy, n, alpha, l1_ratio, tol=1e-9, max_iter=20000, w
 
     Cyclic updates on the p x p Gram (no data pass); stops when the largest
     coefficient change is below ``tol`` relative to the largest coefficient.
-    ``w0`` warm-starts along an alpha path.
+    ``w0`` warm-starts along an alpha path.  Where the features are linearly
+    dependent (shares that add up to 1) and the penalty is weak, the updates
+    hardly move along the dependence; then the solution is followed down from
+    the penalty that leaves no coefficient.
     """
-    p = len(Szy)
-    w = np.zeros(p) if w0 is None else w0.copy()
     l1, l2 = n * alpha * l1_ratio, n * alpha * (1.0 - l1_ratio)
+    w, done = _descend(Szz, Szy, l1, l2, tol, max_iter, np.zeros(len(Szy)) if w0 is None else w0.copy())
+    top = float(np.max(np.abs(Szy), initial=0.0))
+    if not done and 0 < l1 < top:
+        w = np.zeros(len(Szy))
+        for t in np.geomspace(top, l1, 2 + PENALTIES_A_DECADE * int(np.ceil(np.log10(top / l1)))):
+            w, done = _descend(Szz, Szy, t, l2 * t / l1, tol, max_iter if t == l1 else PATH_PASSES, w)
+    if not done:
+        raise ArithmeticError(f"coordinate descent did not converge in {max_iter} passes")
+    return w
+
+
+def _descend(Szz, Szy, l1, l2, tol, max_iter, w):
+    """(coefficients, whether they are a solution) after ``max_iter`` passes at most from ``w``, which is updated."""
     diag = np.diag(Szz)
     for it in range(max_iter):
         wmax, dmax = 0.0, 0.0
-        for j in range(p):
+        for j in range(len(Szy)):
             if diag[j] == 0:
                 w[j] = 0.0
                 continue
@@ -292,14 +308,12 @@ def coordinate_descent(Szz, Szy, n, alpha, l1_ratio, tol=1e-9, max_iter=20000, w
             w[j] = new
             wmax = max(wmax, abs(new))
         if dmax <= tol * max(wmax, 1.0):
-            break
+            return w, True
         if it % 25 == 24:
             exact = _active_set_solution(Szz, Szy, l1, l2, w)
             if exact is not None:
-                return exact
-    else:
-        raise ArithmeticError(f"coordinate descent did not converge in {max_iter} passes")
-    return w
+                return exact, True
+    return w, False
 
 
 def _active_set_solution(Szz, Szy, l1, l2, w):
