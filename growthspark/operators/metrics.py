@@ -42,9 +42,9 @@ def metric_columns(y="y_true", yhat="y_pred") -> dict[str, Column]:
 
 
 def regression_metrics(pred: DataFrame, y="y_true", yhat="y_pred", by=None,
-                       with_bias: bool = False) -> DataFrame:
-    """ML11 (and DG14 with ``with_bias``): one row (per ``by`` group)."""
-    cols = metric_columns(y, yhat)
+                       with_bias: bool = False, extra: dict[str, Column] | None = None) -> DataFrame:
+    """ML11 (and DG14 with ``with_bias``): one row (per ``by`` group); ``extra``: more aggregates of the same pass."""
+    cols = metric_columns(y, yhat) | (extra or {})
     if with_bias:
         cols["bias"] = F.avg(_c(yhat).cast("double") - _c(y).cast("double"))
     aggs = [e.alias(n) for n, e in cols.items()]

@@ -227,8 +227,17 @@ def build_design(df: DataFrame, features=None, target=None, date_col: str | None
     return Design(d, feats, tgt, date_col, med, grams, plan, shift)
 
 
-def _pred_for(fit: G.Fit):
-    return G.predict_expr(fit)
+def predicted(df: DataFrame, target: str, fits: dict, selector=None) -> DataFrame:
+    """(_fid, y_true, y_pred): every row once per fit that it belongs to, with that fit's prediction.
+
+    The prediction is made before the rows are exploded, so the aggregates
+    after it read a column and do not compute it again.
+    """
+    made = [F.struct(F.lit(i).alias("_fid"), G.predict_expr(f).alias("y_pred")) for i, f in enumerate(fits.values())]
+    if selector is not None:
+        made = [F.when(selector[n], s) for n, s in zip(fits, made)]
+    x = df.select(F.col(target).alias("y_true"), F.explode(F.array_compact(F.array(*made))).alias("_x"))
+    return x.select("_x._fid", "y_true", "_x.y_pred")
 
 
 def scored_metrics(df: DataFrame, target: str, fits: dict, selector=None) -> dict:
@@ -238,17 +247,7 @@ def scored_metrics(df: DataFrame, target: str, fits: dict, selector=None) -> dic
     rows are exploded over the fits they belong to.
     """
     names = list(fits)
-    idx = {n: i for i, n in enumerate(names)}
-    if selector is None:
-        member = F.array(*[F.lit(i) for i in range(len(names))])
-    else:
-        member = F.filter(F.array(*[F.when(selector[n], F.lit(idx[n])) for n in names]), lambda x: x.isNotNull())
-    pred = None
-    for n in names:
-        e = _pred_for(fits[n])
-        pred = F.when(F.col("_fid") == idx[n], e) if pred is None else pred.when(F.col("_fid") == idx[n], e)
-    x = df.select("*", F.explode(member).alias("_fid")).withColumn("y_pred", pred)
-    rows = regression_metrics(x.withColumn("y_true", F.col(target)), by=["_fid"]).collect()
+    rows = regression_metrics(predicted(df, target, fits, selector), by=["_fid"]).collect()
     return {names[r["_fid"]]: {k: r[k] for k in ("n", "mse", "rmse", "mae", "r2", "mape", "directional_accuracy")}
             for r in rows}
 

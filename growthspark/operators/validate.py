@@ -87,17 +87,9 @@ def cross_validate(df: DataFrame, model_type: str = "linear", alpha: float = 1.0
 def fold_detail(des: M.Design, fits: dict, sel: dict) -> list[dict]:
     """CV4: per fold train/test MSE, MAE, R2, direction, mean actual/predicted, range, top 5."""
     names = list(fits)
-    idx = {n: i for i, n in enumerate(names)}
-    member = F.filter(F.array(*[F.when(sel[n], F.lit(idx[n])) for n in names]), lambda x: x.isNotNull())
-    pred = None
-    for n in names:
-        e = G.predict_expr(fits[n])
-        pred = F.when(F.col("_fid") == idx[n], e) if pred is None else pred.when(F.col("_fid") == idx[n], e)
-    x = (des.df.select("*", F.explode(member).alias("_fid")).withColumn("y_pred", pred)
-         .withColumn("y_true", F.col(des.target)))
-    m = regression_metrics(x, by=["_fid"]).join(
-        x.groupBy("_fid").agg(F.avg("y_pred").alias("mean_prediction"), F.avg("y_true").alias("mean_actual"),
-                              (F.max("y_pred") - F.min("y_pred")).alias("prediction_range")), "_fid").collect()
+    m = regression_metrics(M.predicted(des.df, des.target, fits, sel), by=["_fid"], extra={
+        "mean_prediction": F.avg("y_pred"), "mean_actual": F.avg("y_true"),
+        "prediction_range": F.max("y_pred") - F.min("y_pred")}).collect()
     by = {names[r["_fid"]]: r.asDict() for r in m}
     k = len([n for n in names if n.startswith("test")])
     out = []
