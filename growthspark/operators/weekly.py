@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from ..functions.stats import attach_scope_stats
+from ..functions.stats import attach_scalars, attach_scope_stats
 from ..session import write_once
 
 
@@ -175,7 +175,7 @@ def add_content_mix_features(df: DataFrame) -> DataFrame:
                .withColumn("reels_focused", (F.col("share_reels") > 0.5).cast("int")))
 
 
-def add_roi_features(df: DataFrame, scope=(), freq_col: str = "weekly_posting_frequency") -> DataFrame:
+def add_roi_features(df: DataFrame, scope=(), freq_col: str = "weekly_posting_frequency", eager: bool = True) -> DataFrame:
     """FE2 + FE3: efficiency ratios and the max-normalised ROI score."""
     eng = F.col("post_likes") + F.col("comments") + F.col("saves") + F.col("shares")
     out = (df.withColumn("follows_per_minute", X.safe_divide("follows", "minutes_spent"))
@@ -185,15 +185,20 @@ def add_roi_features(df: DataFrame, scope=(), freq_col: str = "weekly_posting_fr
              .withColumn("reach_per_post", X.safe_divide("reach", freq_col))
              .withColumn("reach_efficiency", X.safe_divide("follows", "reach"))
              .withColumn("profile_visit_conversion", X.safe_divide("follows", "profile_visits")))
-    return add_roi_score(out, scope)
+    return add_roi_score(out, scope, eager)
 
 
-def add_roi_score(df: DataFrame, scope=()) -> DataFrame:
-    """FE3: .4 roi/max + .3 follows_per_post/max + .3 reach_eff/max; missing -> 0."""
+def add_roi_score(df: DataFrame, scope=(), eager: bool = True) -> DataFrame:
+    """FE3: .4 roi/max + .3 follows_per_post/max + .3 reach_eff/max; missing -> 0.
+
+    Without a scope the maxima are a job on the frame, or with ``eager`` off a part of the plan."""
     w1, w2, w3 = C.ROI_SCORE_WEIGHTS
     stats = {"_mx_roi": F.max("roi_follows_per_hour"), "_mx_fpp": F.max("follows_per_post"),
              "_mx_re": F.max("reach_efficiency")}
-    out = attach_scope_stats(df, stats, scope)
+    if scope or eager:
+        out = attach_scope_stats(df, stats, scope)
+    else:
+        out = attach_scalars(df, df.agg(*[e.alias(n) for n, e in stats.items()]))
     score = (w1 * F.try_divide(F.col("roi_follows_per_hour"), F.col("_mx_roi"))
              + w2 * F.try_divide(F.col("follows_per_post"), F.col("_mx_fpp"))
              + w3 * F.try_divide(F.col("reach_efficiency"), F.col("_mx_re")))
@@ -207,12 +212,14 @@ def weekly_feature_table(daily: DataFrame, scope=(), checkpoint: bool = True) ->
     With whole-table scope the ROI maxima are a statistics job over the weekly
     table; ``checkpoint`` writes the weekly table once to the shared
     checkpoint folder first, so that job and every later pass read it instead
-    of repeating the daily -> weekly shuffle.
+    of repeating the daily -> weekly shuffle.  Without ``checkpoint`` nothing
+    runs here, and a caller that selects some columns gets only their work;
+    one that reads the ROI score pays for the weekly table twice.
     """
     w = add_content_mix_features(create_weekly_features(daily))
     if checkpoint and not scope:
         w = write_once(w)
-    return add_roi_features(w, scope)
+    return add_roi_features(w, scope, eager=checkpoint)
 
 
 # DQ12: what the full processed table has beside the weekly features -----------

@@ -21,6 +21,7 @@ from ..operators import models as M
 from ..operators import select as S
 from ..operators import validate as V
 from ..operators import weekly as W
+from ..session import write_once
 from ..sources import fixtures as FX
 from .q_weekly import METRICS_SQL, ML_SQL_FIT, flagship_df
 from .registry import register
@@ -33,8 +34,10 @@ MF_SQL = weekly_feature_ctes("f1") + (",\nmf AS (SELECT *, CAST(month(week_start
 
 
 def model_frame(spark, sf):
-    w = W.weekly_feature_table(FX.daily_metrics(spark, sf))
-    return w.withColumn("month", F.month("week_start")).withColumn("quarter", F.quarter("week_start"))
+    """The keys, the model's features and its target: the weekly table narrowed first, then written once."""
+    w = W.weekly_feature_table(FX.daily_metrics(spark, sf), checkpoint=False)
+    w = w.withColumn("month", F.month("week_start")).withColumn("quarter", F.quarter("week_start"))
+    return write_once(w.select("username", "week_start", *MODEL_FEATURES, "weekly_growth"))
 
 
 @register("ml1", doubles=tuple(c for c in MODEL_FEATURES if c not in ("month", "quarter", "weekly_posting_frequency",
