@@ -299,5 +299,5 @@ def ag12s(spark, sf):
 def dq12t(spark, sf):
     """DQ12 columns of the full processed table: smoothed engagement rate, share of optimal post times."""
     d = FX.daily_metrics(spark, sf)
-    full = W.add_processed_columns(W.weekly_feature_table(d), d)
+    full = W.add_processed_columns(W.weekly_feature_table(d, checkpoint=False), d)
     return full.select("username", "week_start", "engagement_rate_smoothed", "posted_in_optimal_window")
