@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -201,14 +201,23 @@ def _with_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def _finalize_scoped(df: DataFrame, numeric, scope) -> DataFrame:
-    """Clip, fill and round by the statistics of each row's scope: two window passes, no job of its own."""
-    num, cols = set(numeric), df.columns
-    wide = scoped_quantiles(df, {f"_{k}_{c}": (c, p) for c in numeric for k, p in (("lo", 0.001), ("hi", 0.999))}, scope)
-    clip = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_lo_{c}"), F.least(F.col(f"_hi_{c}"), F.col(c))))
-    clipped = wide.select(*[clip(c).alias(c) if c in num else F.col(f"`{c}`") for c in cols])
-    medians = scoped_quantiles(clipped, {f"_md_{c}": (c, 0.5) for c in numeric if not _fill_zero(c)}, scope)
-    fill = lambda c: F.lit(0.0) if _fill_zero(c) else F.col(f"_md_{c}")
-    return medians.select(*[X.round_half_even(F.coalesce(F.col(c), fill(c)), 6).alias(c) if c in num else F.col(f"`{c}`") for c in cols])
+    """Clip, fill and round by the statistics of each row's scope: one window pass, no job of its own.
+
+    Of three or more values the clip, which moves none past its neighbours,
+    leaves the median as it is; the median of two is that of the clipped two.
+    """
+    num, w = set(numeric), Window.partitionBy(*scope)
+    medians = [c for c in numeric if not _fill_zero(c)]
+    wide = df.select("*", *[F.percentile(F.col(c), F.array(*[F.lit(p) for p in ((0.001, 0.999) if _fill_zero(c) else (0.001, 0.999, 0.5))])).over(w).alias(f"_q_{c}") for c in numeric],
+                     *[F.count(c).over(w).alias(f"_n_{c}") for c in medians])
+
+    def fixed(c):
+        lo, hi = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+        fill = F.lit(0.0) if _fill_zero(c) else F.when((F.col(f"_n_{c}") == 2) & (lo != hi), 0.5 * lo + 0.5 * hi).otherwise(F.col(f"_q_{c}")[2])
+        # a missing value must not become a bound: greatest and least skip it
+        return X.round_half_even(F.when(F.col(c).isNotNull(), F.greatest(lo, F.least(hi, F.col(c)))).otherwise(fill), 6)
+
+    return wide.select(*[fixed(c).alias(c) if c in num else F.col(f"`{c}`") for c in df.columns])
 
 
 FEATURE_CATEGORIES = {
