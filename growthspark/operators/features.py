@@ -250,9 +250,11 @@ def transform_to_model_ready(daily: DataFrame, target_frequency: str = "weekly",
     With ``checkpoint`` the table is written to the shared checkpoint folder
     before each multi-pass statistics step, so the (large) daily scan and the
     weekly shuffle run once instead of once per statistics job, and a lost
-    executor never forces recomputation from the raw daily data.
+    executor never forces recomputation from the raw daily data.  With a
+    ``scope`` no step is a job of its own: nothing is written, and the steps
+    follow one another in the partitions of one shuffle by creator.
     """
-    cut = write_once if checkpoint else (lambda d: d)
+    cut = write_once if checkpoint and not scope else (lambda d: d)
     if target_frequency == "weekly":
         t = W.weekly_feature_table(daily, scope, checkpoint=checkpoint)
     else:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from growthspark.functions import exprs as X
 from growthspark.operators import features as FE
 from growthspark.plans import q_features, registry  # noqa: F401  (registers fe4)
+from growthspark.sources import fixtures as FX
 
 SCHEMA = "username string, date date, note string, posts long, engagement_rate double, reach float, odd double, none double, price decimal(12,2), growth int"
 
@@ -67,6 +68,12 @@ def test_scoped_finalize_takes_one_pass_of_percentiles(spark):
     assert len(re.findall(r"Window \[percentile\(", p)) == 1 and "Join" not in p
 
 
+def test_daily_path_per_creator_takes_one_shuffle_and_writes_nothing(spark, sf):
+    d = FE.transform_to_model_ready(FX.daily_metrics(spark, sf), "daily", scope=["username"])
+    assert not any("/once-" in f for f in d.inputFiles())
+    assert plan(d).count("Exchange hashpartitioning") == 1
+
+
 def test_queries_run_with_methods_the_jvm_compiles(spark, sf):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
     registry.spark_queries()["fe4"](spark, sf)
